@@ -41,3 +41,9 @@ def text_of(df: DataFrame, name: str = "text") -> Column:
 def fold(column: Column) -> Column:
     """The remainder base of every fold: crc32 of the id as text; a null id counts as empty."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary"))
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that Python stages get, by rows and bytes: texts may be very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))

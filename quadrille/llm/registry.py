@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrille.llm import licenses, pii, quality_rules, sharding
+from quadrille.llm import bpe, decontaminate, licenses, near_dup, pii, quality_rules, sharding
 from quadrille.llm.common import table
 
 
@@ -16,6 +16,25 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    """Where the tokenizer file is; the package of public tokenizers comes with the installation."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.tokens(table(spark, sf_dir, "documents"), tokenizer_path(), digest=True)
+
+
+def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -25,5 +44,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
 
 
-QUERIES = {"op2_pii": op2_pii, "op3_licenses": op3_licenses, "op7_sharding": op7_sharding, "op10_quality_rules": op10_quality_rules}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_licenses, op5_bpe, op7_sharding, op8_near_dup, op9_decontaminate, op10_quality_rules)}
 ORACLE: dict[str, str] = {}
