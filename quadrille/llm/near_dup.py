@@ -188,3 +188,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of_node = nodes.select("node", F.col("doc_id").alias("own")).join(smallest.select("node", "label").join(least, "label").select("node", "component"), "node", "left").select("node", F.coalesce("component", "own").alias("component"))
     placed = rows.drop("bands").join(of_node, "node", "left")
     return placed.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept: of each component the one with the least doc_id, once.
+
+    Rows without doc_id stay unless their text has a copy with an id.
+    """
+    found = staged(near_duplicates(docs), "op8-found")
+    kept = found.filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    own = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return own.select(*docs.columns).union(docs.filter("doc_id IS NULL"))

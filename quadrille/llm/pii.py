@@ -133,3 +133,10 @@ def pii_digest(docs: DataFrame) -> DataFrame:
         joined(F.col("findings")).alias("spans"),
         F.coalesce(F.array_max(F.transform("findings", lambda x: x["score"])), F.lit(0.0)).alias("max_score"),
     )
+
+
+def redacted_documents(docs: DataFrame) -> DataFrame:
+    """The documents with redacted texts, in their own columns; n_chars becomes the new length where it was not null."""
+    columns = docs.columns
+    done = redact(docs)
+    return done.withColumn("n_chars", F.when(F.col("n_chars").isNotNull() & F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*columns)

@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrille.llm import bpe, decontaminate, licenses, near_dup, pii, quality_rules, sharding
+from quadrille.llm import bpe, decontaminate, hmm, html_text, licenses, near_dup, pii, pu_quality, quality_rules, sharding
 from quadrille.llm.common import table
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+def op4_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
@@ -44,5 +56,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_licenses, op5_bpe, op7_sharding, op8_near_dup, op9_decontaminate, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_pii, op3_licenses, op4_pu_quality, op5_bpe, op6_hmm, op7_sharding, op8_near_dup, op9_decontaminate, op10_quality_rules)}
 ORACLE: dict[str, str] = {}
