@@ -5,9 +5,9 @@ HALVES x HALVES tables need only 2 x HALVES x ROWS minhashes: about the square r
 per half band and 12 halves, a pair at similarity 0.75 meets in some table with probability 0.9999.
 
 Copies collapse to one node first. Half bands that only one node has are dropped before keys are formed, which removes most
-nodes. In each table bucket every member meets the bucket's least member and its neighbour in order of size; links are
-confirmed on the full shingle sets. Then every pair of a bucket whose members are still in different components, and was not
-tried, is tried too: no cap is set on buckets, and nothing is lost to the first, cheaper round.
+nodes. In each table bucket every member is compared with the bucket's centre on the full shingle sets. Two members that the
+centre did not bring together can only be linked through shingles outside the centre, or by sharing enough with it: these
+pairs are found by a prefix filter and compared too. No cap is set on buckets, and no link between members is lost.
 Nodes, links and components stay distributed; each step that is read again is written to the shared folder.
 """
 
@@ -18,7 +18,8 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm.common import bound_batches, staged
@@ -76,71 +77,81 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInPandas(run, "doc_id long, text_key long, node long, n_shingles long, bands array<long>")
 
 
-def bucket_members(nodes: DataFrame) -> DataFrame:
-    """(key, node, n) of every tensored table bucket with two nodes or more."""
-    half = nodes.select("node", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("at", "value"))
-    shared = half.groupBy("at", "value").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    side = lambda first: F.collect_list(F.when((F.col("at") < HALVES) == first, F.xxhash64("at", "value")))
-    per = half.join(shared, ["at", "value"]).groupBy("node", "n").agg(side(True).alias("a"), side(False).alias("b"))
-    keys = per.select("node", "n", "b", F.explode("a").alias("x")).select("node", "n", "x", F.explode("b").alias("y")).select("node", "n", F.xxhash64("x", "y").alias("key"))
-    full = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("n", "node")).alias("first")).filter("m > 1")
-    return keys.join(full, "key").select("key", "node", "n", "m", F.col("first.node").alias("centre"), F.col("first.n").alias("centre_n"))
-
-
-def long_enough(a: str, b: str) -> Column:
-    """Sizes that allow the similarity at all."""
-    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
-
-
-def ordered_pair(a: str, b: str) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+def bucket_pairs(nodes: DataFrame) -> DataFrame:
+    """(node, centre) for each member of each tensored table bucket of two nodes or more.
 
+    The centre is the member whose half bands are the most common, the likeliest origin of the others. Sizes must allow a link
+    only between pairs that are tried, so members are held against their centre whatever their sizes.
+    """
+    half = nodes.select("node", F.posexplode("bands").alias("at", "value"))
+    shared = half.groupBy("at", "value").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    side = lambda first: F.collect_list(F.when((F.col("at") < HALVES) == first, F.xxhash64("at", "value")))
+    per = half.join(shared, ["at", "value"]).groupBy("node").agg(F.sum("c").alias("common"), side(True).alias("a"), side(False).alias("b"))
+    keys = per.select("node", "common", "b", F.explode("a").alias("x")).select("node", "common", "x", F.explode("b").alias("y")).select("node", "common", F.xxhash64("x", "y").alias("key"))
+    full = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("common", "node")).alias("top")).filter("m > 1").select("key", F.col("top.node").alias("centre"))
+    return keys.join(full, "key").filter("node <> centre").select("node", "centre").distinct()
 
-def first_candidates(members: DataFrame) -> DataFrame:
-    """Each member with its bucket's first member and with the one before it in order of size."""
-    w = Window.partitionBy("key").orderBy("n", "node")
-    seen = members.select("node", "n", "centre", "centre_n", F.lag("node").over(w).alias("prev"), F.lag("n").over(w).alias("prev_n"))
-    star = seen.filter((F.col("node") != F.col("centre")) & long_enough("n", "centre_n")).select(*ordered_pair("node", "centre"))
-    chain = seen.filter(F.col("prev").isNotNull() & long_enough("n", "prev_n")).select(*ordered_pair("node", "prev"))
-    return star.union(chain).distinct()
 
+def word_shingles(text: str) -> set[bytes]:
+    """The shingles themselves, so that links rest on no hash."""
+    w = split_lower(text)
+    return {b" ".join(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))} if w else set()
 
-def rest_candidates(members: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
-    """Every untried pair of a bucket whose members are in different components."""
-    known = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-    open_ = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-    left = known.join(open_, "key")
-    right = left.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-    pairs = left.join(right, "key").filter((F.col("node") < F.col("node2")) & (F.col("label") != F.col("label2")) & long_enough("n", "n2"))
-    return pairs.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
 
+def compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Compare the full sets of each pair (node, centre): node, centre, n, centre_n, both, linked, and lead.
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough. Only texts of candidate nodes travel beyond the first join."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id", "text_key"), "node")
+    ``lead``: the node's shingles outside the centre, by hash, as many as a link past the centre must share one of.
+    Only texts of candidate nodes travel beyond the first join.
+    """
+    wanted = pairs.select(F.explode(F.array("node", "centre")).alias("node")).distinct().join(nodes.select("node", "doc_id", "text_key"), "node")
     whole = docs.filter("text IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     # Repeated rows become one again; the grouping keeps the join's partitioning.
     texts = staged(wanted.join(whole, ["doc_id", "text_key"]).groupBy("doc_id", "text_key", "node").agg(F.first("text").alias("text")).select("node", "text"), "op8-texts")
-    sides = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
-
-    def shingles(text: str) -> set[bytes]:
-        w = split_lower(text)
-        return {b" ".join(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))} if w else set()
+    sides = pairs.join(texts, "node").join(texts.withColumnsRenamed({"node": "centre", "text": "centre_text"}), "centre")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, held = None, set()
-        for part in text_runs(batches, "text_a"):
-            good = []
-            for a, b, text_a, text_b in part[["a", "b", "text_a", "text_b"]].itertuples(index=False):
-                if b != last:  # rows come in order of b
-                    last, held = b, shingles(text_b)
-                other = shingles(text_a)
-                both = len(held & other)
-                if 100 * both >= PERCENT * (len(held) + len(other) - both):
-                    good.append((a, b))
-            yield pd.DataFrame(good, columns=["a", "b"], dtype=np.int64)
-
-    return sides.mapInPandas(run, "a long, b long")
+        for part in text_runs(batches):
+            rows = []
+            for node, centre, text, centre_text in part[["node", "centre", "text", "centre_text"]].itertuples(index=False):
+                if centre != last:  # rows come in order of the centre
+                    last, held = centre, word_shingles(centre_text)
+                own = word_shingles(text)
+                extra = own - held
+                n, both = len(own), len(own) - len(extra)
+                lead = []
+                if extra:
+                    # A link of this node past the centre shares at least `least` of its extras with the other node.
+                    least = max(1, -((100 * both - PERCENT * n) // 100))
+                    if least <= len(extra):
+                        lead = sorted(xxhash.xxh64_intdigest(x) >> 1 for x in extra)[: len(extra) - least + 1]
+                rows.append((node, centre, n, len(held), both, 100 * both >= PERCENT * (n + len(held) - both), lead))
+            yield pd.DataFrame(rows, columns=["node", "centre", "n", "centre_n", "both", "linked", "lead"])
+
+    return sides.mapInPandas(run, "node long, centre long, n long, centre_n long, both long, linked boolean, lead array<long>")
+
+
+def rest_candidates(seen: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs that share a centre, are in different components and can still be linked, as (node, centre).
+
+    Of nodes x and y with centre c, at least one is not linked with c. What x and y share is shared with c as well, or lies
+    outside c in both. So a link needs a shingle outside c that both have (found by their leads, a prefix filter), or both
+    must share enough with c alone. Every pair that passes either test is returned: nothing is capped.
+    """
+    known = seen.join(labels, "node", "left").select("centre", "node", "n", "both", "linked", "lead", F.coalesce("label", "node").alias("label"))
+    open_ = known.groupBy("centre").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("centre")
+    left = staged(known.join(open_, "centre"), "op8-open")
+    right = lambda *more: left.select("centre", *more, F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("label").alias("label2"), F.col("both").alias("both2"), F.col("linked").alias("linked2"))
+    sizes = 100 * F.least("n", "n2") >= PERCENT * F.greatest("n", "n2")
+    differ = (F.col("label") != F.col("label2")) & sizes
+    x, y = left.select("centre", "node", "n", "label", "linked", F.explode("lead").alias("shingle")), right(F.explode("lead").alias("shingle"))
+    by_lead = x.join(y, ["centre", "shingle"]).filter((F.col("node") < F.col("node2")) & differ & ~(F.col("linked") & F.col("linked2"))).select("node", "node2").distinct()
+    room = lambda both, n: F.floor((100 + PERCENT) * F.col(both) / F.lit(PERCENT)).cast("long") - F.col(n)
+    least_n = left.groupBy("centre").agg(F.min("n").alias("least_n"))
+    roomy = left.filter("NOT linked").join(least_n, "centre").filter(room("both", "n") >= F.col("least_n")).select("centre", "node", "n", "label", "both")
+    by_centre = roomy.join(right(), "centre").filter((F.col("node") != F.col("node2")) & differ & (F.col("n2") <= room("both", "n")) & (F.col("n") <= room("both2", "n2"))).select(F.least("node", "node2").alias("node"), F.greatest("node", "node2").alias("node2")).distinct()
+    return by_lead.union(by_centre).distinct().select("node", F.col("node2").alias("centre"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -174,13 +185,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     rows = staged(signatures(docs), "op8-rows")
     nodes = staged(rows.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")).select("node", "row.*", "n_shingles", "bands"), "op8-nodes")
-    members = staged(bucket_members(nodes), "op8-members")
-    tried = staged(first_candidates(members), "op8-pairs")
-    links = staged(confirmed(tried, nodes, docs), "op8-links")
+    seen = staged(compared(staged(bucket_pairs(nodes), "op8-pairs"), nodes, docs), "op8-compared")
+    links = seen.filter("linked").select(F.col("node").alias("a"), F.col("centre").alias("b"))
     labels = components(links)
-    rest = staged(rest_candidates(members, labels, tried), "op8-rest")
+    rest = staged(rest_candidates(seen, labels), "op8-rest")
     if not rest.isEmpty():
-        more = staged(confirmed(rest, nodes, docs), "op8-more")
+        more = staged(compared(rest, nodes, docs).filter("linked").select(F.col("node").alias("a"), F.col("centre").alias("b")), "op8-more")
         if not more.isEmpty():
             labels = components(links.union(more))
     smallest = labels.join(nodes.select("node", "doc_id"), "node").select("label", "node", "doc_id")
