@@ -28,6 +28,8 @@ WINDOW = 8
 #: The least number of words of a run that are no placeholders.
 LITERALS = 5
 COVER = 0.5
+#: The least share of an item's slots whose value stands for one value of the document.
+CONSISTENT = 0.8
 #: An item with fewer words is never looked for; one with fewer than WINDOW is looked for as a whole.
 LEAST_WORDS = 4
 #: Words of the benchmark in one broadcast.
@@ -47,28 +49,36 @@ class Canon(dict):
     def __init__(self) -> None:
         super().__init__()
         self.plain: list[str] = []
-        self.new: list[tuple[int, int, bool]] = []
+        self.kinds: list[int] = []
+        self.stops: list[bool] = []
         self.hashes, self.may_be, self.ends = np.empty(0, np.uint64), np.empty(0, np.int8), np.empty(0, bool)
 
     def __missing__(self, word: str) -> int:
         self[word] = index = len(self.plain)
-        core = EDGE.sub("", word)
-        plain = core.lower() or word
-        kind = NUM if NUMBER.fullmatch(core) else UNIT if plain in UNITS else NAME if core[:1].isupper() else LITERAL
+        if word.isalpha() and word.islower():
+            plain, kind = word, UNIT if word in UNITS else LITERAL
+        else:
+            core = EDGE.sub("", word)
+            plain = core.lower() or word
+            kind = NUM if NUMBER.fullmatch(core) else UNIT if plain in UNITS else NAME if core[:1].isupper() else LITERAL
         self.plain.append(plain)
-        self.new.append((xxhash.xxh64_intdigest(plain.encode("utf-8", "surrogatepass")), kind, word[-1] in ".!?:"))
+        self.kinds.append(kind)
+        self.stops.append(word[-1] in ".!?:")
         return index
 
-    def read(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index, plain hash, kind) of each word of one text."""
+    def read(self, words: list[str], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index, plain hash, kind) of each word of texts that begin at ``starts``."""
         index = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
-        if self.new:
-            h, k, e = zip(*self.new, strict=True)
-            self.hashes, self.may_be, self.ends = np.append(self.hashes, np.array(h, np.uint64)), np.append(self.may_be, np.array(k, np.int8)), np.append(self.ends, np.array(e, bool))
-            self.new = []
-        kind = self.may_be[index].copy()
-        before_ends = np.append(True, self.ends[index[:-1]]) if len(index) else np.empty(0, bool)
-        before_num = np.append(False, kind[:-1] == NUM) if len(index) else np.empty(0, bool)
+        known = len(self.hashes)
+        if known < len(self.plain):
+            new = [xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in self.plain[known:]]
+            self.hashes = np.append(self.hashes, np.array(new, np.uint64))
+            self.may_be, self.ends = np.append(self.may_be, np.array(self.kinds[known:], np.int8)), np.append(self.ends, np.array(self.stops[known:], bool))
+        kind = self.may_be[index]
+        before_ends, before_num = np.ones(len(index), bool), np.zeros(len(index), bool)
+        before_ends[1:], before_num[1:] = self.ends[index[:-1]], kind[:-1] == NUM
+        first = starts[starts < len(index)]
+        before_ends[first], before_num[first] = True, False
         kind[(kind == NAME) & before_ends] = LITERAL
         kind[(kind == UNIT) & ~before_num] = LITERAL
         return index, self.hashes[index], kind
@@ -91,7 +101,7 @@ class Index:
         self.places: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
         canon = Canon()
         for row, (_, text) in enumerate(items):
-            index, plain, kind = canon.read((text or "").split())
+            index, plain, kind = canon.read((text or "").split(), np.zeros(1, np.int64))
             n = len(index)
             if n < LEAST_WORDS:
                 continue
@@ -103,43 +113,61 @@ class Index:
                     if (row, at) not in self.places[k, int(hashes[at])]:
                         self.places[k, int(hashes[at])].append((row, at))
         self.ids = [i for i, _ in items]
-        self.sorted = {k: np.unique(np.array([h for kk, h in self.places if kk == k], np.uint64)) for k in {k for k, _ in self.places}}
+        self.sorted = {k: np.unique(np.array([h for kk, h in self.places if kk == k], np.uint64)) for k in sorted({k for k, _ in self.places})}
+        self.maybe = {k: np.zeros(1 << 20, bool) for k in self.sorted}
+        for k, known in self.sorted.items():
+            self.maybe[k][known >> np.uint64(44)] = True
 
-    def hits(self, plain: np.ndarray, kind: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(place in the text, words, item row, place in the item) of every window that is known."""
+    def hits(self, plain: np.ndarray, kind: np.ndarray) -> list[tuple[int, int, int]]:
+        """(place, words, hash) of every window that is known, in order."""
+        both, found = template(plain, kind), set()
         for k, known in self.sorted.items():
-            both = template(plain, kind)
-            found: set[tuple[int, int]] = set()
             for hashes in (windows(both, k), windows(plain, k)):
-                at = np.searchsorted(known, hashes)
-                at[at == len(known)] = 0
-                for i in np.flatnonzero(known[at] == hashes).tolist():
-                    found.add((i, int(hashes[i])))
-            for i, h in sorted(found):
-                for row, at in self.places[k, h]:
-                    yield i, k, row, at
-
-    def judge(self, words: list[str], plain: np.ndarray, kind: np.ndarray) -> list[tuple[int, float, bool]]:
-        """(item row, share of its words covered, whether slots were filled anew) of every item found in a text."""
+                at = np.flatnonzero(self.maybe[k][hashes >> np.uint64(44)])
+                at = at[np.isin(hashes[at], known)]
+                found |= {(i, k, int(hashes[i])) for i in at.tolist()}
+        return sorted(found)
+
+    def judge(self, words: list[str], kind: np.ndarray, hits: list[tuple[int, int, int]]) -> list[tuple[int, float, bool]]:
+        """(item row, share of its words covered, whether slots were filled anew) of every item found in a text, from its hits."""
         cover: dict[int, set[int]] = defaultdict(set)
         slots: dict[int, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
-        for i, k, row, at in self.hits(plain, kind):
-            item_words, item_kind, _ = self.words[row]
-            pairs = [(words[i + j], item_words[at + j], int(kind[i + j]), int(item_kind[at + j])) for j in range(k)]
-            if all(a == b or (x == y != LITERAL) for a, b, x, y in pairs):
-                for j, (a, b, _, y) in enumerate(pairs):
-                    if at + j not in cover[row]:
-                        cover[row].add(at + j)
-                        if y != LITERAL:
-                            slots[row][b][a] += 1
+        for i, k, h in hits:
+            for row, at in self.places[k, h]:
+                item_words, item_kind, _ = self.words[row]
+                pairs = [(words[i + j], item_words[at + j], int(kind[i + j]), int(item_kind[at + j])) for j in range(k)]
+                if all(a == b or (x == y != LITERAL) for a, b, x, y in pairs):
+                    for j, (a, b, _, y) in enumerate(pairs):
+                        if at + j not in cover[row]:
+                            cover[row].add(at + j)
+                            if y != LITERAL:
+                                slots[row][b][a] += 1
         out = []
         for row, covered in cover.items():
             share = len(covered) / len(self.words[row][0])
-            consistent = sum(max(c.values()) for c in slots[row].values()) >= 0.8 * sum(sum(c.values()) for c in slots[row].values())
+            consistent = sum(max(c.values()) for c in slots[row].values()) >= CONSISTENT * sum(sum(c.values()) for c in slots[row].values())
             if share >= COVER and consistent:
                 out.append((row, share, any(a != b for b, c in slots[row].items() for a in c)))
         return out
 
+    def search(self, texts: list[str], canon: Canon) -> list[list[tuple[int, float, bool]]]:
+        """What each text contains. Windows of all texts are looked up at once; those across two texts don't count."""
+        split = [t.split() for t in texts]
+        sizes = np.array([len(w) for w in split], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        index, plain, kind = canon.read([w for ws in split for w in ws], starts)
+        of: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        for i, k, h in self.hits(plain, kind):
+            text = int(np.searchsorted(starts, i, side="right")) - 1
+            if i + k <= starts[text] + sizes[text]:
+                of[text].append((i - int(starts[text]), k, h))
+        out: list[list[tuple[int, float, bool]]] = [[] for _ in texts]
+        for text, hits in of.items():
+            part = slice(int(starts[text]), int(starts[text] + sizes[text]))
+            out[text] = self.judge([canon.plain[i] for i in index[part]], kind[part], hits)
+        canon.trim()
+        return out
+
 
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The benchmark's rows in blocks of about BLOCK_WORDS words; each block alone reaches the driver."""
@@ -162,12 +190,7 @@ def matches(docs: DataFrame, items: list[tuple[int, str]], last: bool = True) ->
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         canon = Canon()
         for part in text_runs(batches):
-            found = []
-            for text in part["text"].where(part["text"].notna(), ""):
-                at, plain, kind = canon.read(text.split())
-                hit = len(at) >= LEAST_WORDS and _any(index.value, plain, kind)
-                found.append(index.value.judge([canon.plain[i] for i in at], plain, kind) if hit else [])
-            canon.trim()
+            found = index.value.search(part["text"].where(part["text"].notna(), "").tolist(), canon)
             ids = index.value.ids
             out = {"doc_id": long_column(part["doc_id"])} | ({} if last else {"text": part["text"]})
             yield pd.DataFrame(out | {"items": [sorted({ids[r] for r, *_ in f}.union(old)) for f, old in zip(found, part["items"], strict=True)], "coverage": [max((c for _, c, _ in f), default=0.0) for f in found], "reparameterised": [any(x for *_, x in f) for f in found]}).assign(
@@ -177,10 +200,6 @@ def matches(docs: DataFrame, items: list[tuple[int, str]], last: bool = True) ->
     return docs.mapInPandas(run, "doc_id long, " + ("" if last else "text string, ") + "items array<long>, coverage double, reparameterised boolean")
 
 
-def _any(index: Index, plain: np.ndarray, kind: np.ndarray) -> bool:
-    return next(index.hits(plain, kind), None) is not None
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Every row of ``docs`` with the items it contains: doc_id, contaminated, n_items, items, coverage, reparameterised.
 
@@ -207,10 +226,8 @@ def _without(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
     @F.pandas_udf("boolean")
     def leaks(texts: pd.Series) -> pd.Series:
         canon, out = Canon(), []
-        for text in texts.where(texts.notna(), ""):
-            at, plain, kind = canon.read(text.split())
-            out.append(bool(len(at) >= LEAST_WORDS and _any(index.value, plain, kind) and index.value.judge([canon.plain[i] for i in at], plain, kind)))
-            canon.trim()
+        for part in text_runs(iter([pd.DataFrame({"text": texts})])):
+            out += [bool(f) for f in index.value.search(part["text"].where(part["text"].notna(), "").tolist(), canon)]
         return pd.Series(out, dtype=bool)
 
     return docs.filter(~leaks("text"))
