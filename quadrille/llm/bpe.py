@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import struct
 import unicodedata
 from collections.abc import Iterator
 from hashlib import sha256
@@ -48,16 +49,23 @@ class Encoder:
         self.vocab: dict[str, int] = dict(model["vocab"])
         self.end: str = model["end_of_word_suffix"] or ""
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.rank = {p: i for i, p in enumerate(pairs)}
+        #: Codes of mergeable pairs to their rank; and the token that each rank makes.
+        self.rank = {self.vocab[a] << 20 | self.vocab[b]: i for i, (a, b) in enumerate(pairs)}
+        self.made = [self.vocab[a + b] for a, b in pairs]
+        #: Tokens inside a word and at its end, by their letters; and the longest token by its first two letters.
+        cut = len(self.end)
+        self.ending = {t[:-cut]: i for t, i in self.vocab.items() if cut and t.endswith(self.end) and len(t) > cut} if cut else self.vocab
+        self.inside = {t: i for t, i in self.vocab.items() if not (cut and t.endswith(self.end) and len(t) > cut)}
+        self.reach: dict[str, int] = {}
+        for t in (*self.ending, *self.inside):
+            self.reach[t[:2]] = max(self.reach.get(t[:2], 1), len(t))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         names = self.vocab | self.special
         self.name_of = {i: t for t, i in names.items()}
-        self.longest = max(map(len, self.vocab))
         self.letters = byte_letters()
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(pattern.replace(r"\s", WHITE))  # the file has it inside brackets only
-        self.white = regex.compile(f"[{WHITE}]+")
         self.good: np.ndarray = np.empty(0, np.int64)  # pairs that are compatible, sorted
         self.bad: np.ndarray = np.empty(0, np.int64)
         self.ids: dict[str, bytes] = {}
@@ -65,55 +73,77 @@ class Encoder:
         self.counts = {"words": 0, "merged": 0}
 
     def normal(self, text: str) -> str:
-        """NFC, runs of white space as one space, lower case letter by letter (no rule for final sigma)."""
+        """NFC and lower case, letter by letter (no rule for final sigma). White space only parts words, so its runs may stay."""
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        return self.white.sub(" ", text).replace("Σ", "σ").lower()
-
-    def symbols(self, word: str) -> list[str]:
-        out = [self.letters[b] for b in word.encode()]
-        out[-1] += self.end
-        return out
-
-    def merge(self, parts: list[str]) -> list[str]:
-        """Exact BPE: the pair of least rank first, the leftmost of equals; a heap and linked neighbours."""
-        n = len(parts)
-        parts, before, after = list(parts), [*range(-1, n - 1)], [*range(1, n), -1]
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := self.rank.get((parts[i], parts[i + 1]))) is not None]
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        return text.lower()
+
+    def letters_of(self, word: str) -> str:
+        return word if word.isascii() and word.isprintable() else "".join([self.letters[b] for b in word.encode()])
+
+    def symbols(self, letters: str) -> list[int]:
+        """The tokens of single letters, before any merge."""
+        return [*(self.inside[c] for c in letters[:-1]), self.ending[letters[-1]]]
+
+    def merge(self, ids: list[int]) -> list[int]:
+        """Exact BPE: of all neighbours, the pair of least rank first, the leftmost of equals."""
+        if len(ids) > 64:
+            return self.merge_long(ids)
+        get, none = self.rank.get, len(self.made)
+        ranks = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:])]  # noqa: B905
+        while ranks and (least := min(ranks)) < none:
+            i = ranks.index(least)
+            ids[i : i + 2] = [self.made[least]]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = get(ids[i] << 20 | ids[i + 1], none)
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << 20 | ids[i], none)
+        return ids
+
+    def merge_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap and linked neighbours, for words of any length."""
+        n, get = len(ids), self.rank.get
+        before, after, gone = [*range(-1, n - 1)], [*range(1, n), -1], bytearray(n)
+        heap = [(r, i, ids[i] << 20 | ids[i + 1]) for i in range(n - 1) if (r := get(ids[i] << 20 | ids[i + 1])) is not None]
         heapq.heapify(heap)
-        gone = bytearray(n)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            r, i, code = heapq.heappop(heap)
             j = after[i]
-            if gone[i] or j < 0 or parts[i] != a or parts[j] != b:
+            if gone[i] or j < 0 or ids[i] << 20 | ids[j] != code:
                 continue
-            parts[i], gone[j] = a + b, 1
+            ids[i], gone[j] = self.made[r], 1
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
             for x, y in ((before[i], i), (i, k)):
-                if x >= 0 and y >= 0 and (r := self.rank.get((parts[x], parts[y]))) is not None:
-                    heapq.heappush(heap, (r, x, parts[x], parts[y]))
-        return [p for p, g in zip(parts, gone, strict=True) if not g]
+                if x >= 0 and y >= 0 and (r := get(ids[x] << 20 | ids[y])) is not None:
+                    heapq.heappush(heap, (r, x, ids[x] << 20 | ids[y]))
+        return [t for t, g in zip(ids, gone, strict=True) if not g]
 
-    def propose(self, word: str) -> list[int]:
+    def propose(self, s: str) -> list[int]:
         """Longest known prefixes, one after the other."""
-        s, out, at = "".join(self.letters[b] for b in word.encode()), [], 0
-        while at < len(s):
-            for to in range(min(len(s), at + self.longest), at, -1):
-                found = self.vocab.get(s[at:to] + self.end * (to == len(s)))
-                if found is not None:
+        n, at, out = len(s), 0, []
+        inside, ending, reach = self.inside, self.ending, self.reach
+        while at < n:
+            far = at + reach.get(s[at : at + 2], 1)
+            if far >= n:
+                if (found := ending.get(s[at:])) is not None:
+                    out.append(found)
+                    break
+                far = n - 1
+            for to in range(far, at, -1):
+                if (found := inside.get(s[at:to])) is not None:
                     out.append(found)
+                    at = to
                     break
-            at = to
         return out
 
-    def parts_of(self, token: int) -> list[str]:
+    def parts_of(self, token: int) -> list[int]:
         name = self.name_of[token]
         if self.end and name.endswith(self.end) and len(name) > len(self.end):
-            name = name[: -len(self.end)]
-            return [*name[:-1], name[-1] + self.end]
-        return list(name)
+            return self.symbols(name[: -len(self.end)])
+        return [self.inside[c] for c in name]
 
     def settle(self, codes: np.ndarray) -> None:
         """Find out exactly which pairs are compatible. A code is first * 2^20 + second; a lone token has second 2^20 - 1."""
@@ -121,7 +151,7 @@ class Encoder:
         for code in codes.tolist():
             a, b = code >> 20, code & 0xFFFFF
             lone = b == 0xFFFFF
-            want = [self.name_of[a]] if lone else [self.name_of[a], self.name_of[b]]
+            want = [a] if lone else [a, b]
             (good if self.merge(self.parts_of(a) + ([] if lone else self.parts_of(b))) == want else bad).append(code)
         self.good, self.bad = np.union1d(self.good, np.array(good, np.int64)), np.union1d(self.bad, np.array(bad, np.int64))
 
@@ -129,7 +159,8 @@ class Encoder:
         """Tokens of each word: proposals for all, one vectorised check of all pairs, exact merging for those that fail."""
         if not words:
             return []
-        proposals = [self.propose(w) for w in words]
+        letters = [self.letters_of(w) for w in words]
+        proposals = [self.propose(s) for s in letters]
         sizes = np.fromiter(map(len, proposals), np.int64, len(words))
         flat = np.fromiter((t for p in proposals for t in p), np.int64, int(sizes.sum()))
         ends = np.cumsum(sizes)
@@ -146,7 +177,7 @@ class Encoder:
         self.counts["words"] += len(words)
         self.counts["merged"] += int(fails.sum())
         for i in np.flatnonzero(fails).tolist():
-            proposals[i] = [self.vocab[p] for p in self.merge(self.symbols(words[i]))]
+            proposals[i] = self.merge(self.symbols(letters[i]))
         return proposals
 
     def learn(self, words: set[str]) -> None:
@@ -155,8 +186,8 @@ class Encoder:
             self.names.clear()
         new = [w for w in words if w not in self.ids]
         for w, tokens in zip(new, self.encode_words(new), strict=True):
-            self.ids[w] = np.array(tokens, "<u4").tobytes()
-            self.names[w] = " ".join(self.name_of[t] for t in tokens)
+            self.ids[w] = struct.pack(f"<{len(tokens)}I", *tokens)
+            self.names[w] = " ".join([self.name_of[t] for t in tokens])
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """For each text, its ids as little-endian 32-bit integers, and the decoded text: the tokens' names with spaces between, as the file names no decoder."""
@@ -165,7 +196,7 @@ class Encoder:
             for text in texts[at:to]:
                 pieces = self.split_special.split(text) if self.split_special else [text]
                 split.append([p if i % 2 else self.words.findall(self.normal(p)) for i, p in enumerate(pieces)])
-            seen = {w for pieces in split for p in pieces if isinstance(p, list) for w in p}
+            seen = set().union(*(p for pieces in split for p in pieces if isinstance(p, list)))
             self.learn(seen)
             for pieces in split:
                 ids, names = [], []
@@ -174,8 +205,8 @@ class Encoder:
                         ids.append(np.array([self.special[p]], "<u4").tobytes())
                         names.append(p)
                     else:
-                        ids += [self.ids[w] for w in p]
-                        names += [self.names[w] for w in p]
+                        ids += map(self.ids.__getitem__, p)
+                        names += map(self.names.__getitem__, p)
                 yield b"".join(ids), " ".join(names)
             for w in seen:
                 if len(w) > LONG_WORD:
