@@ -13,13 +13,14 @@ Nodes, links and components stay distributed; each step that is read again is wr
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm.common import bound_batches, staged
@@ -28,6 +29,10 @@ from quadrille.llm.words import WordTable, long_column, mixed, split_lower, text
 SHINGLE = 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 75
+#: From this similarity on a centre may be a node's home.
+ALIKE = 20
+#: Sizes of sets are taken in bands of this ratio; so many bands to either side may still be linked.
+BAND, BANDS = 1.1, 4
 HALVES, ROWS = 12, 2
 SEEDS = mixed(np.arange(1, 2 * HALVES * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -78,18 +83,17 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def bucket_pairs(nodes: DataFrame) -> DataFrame:
-    """(node, centre) for each member of each tensored table bucket of two nodes or more.
+    """(node, centre, weight) for each member of each tensored table bucket of two nodes or more.
 
-    The centre is the member whose half bands are the most common, the likeliest origin of the others. Sizes must allow a link
-    only between pairs that are tried, so members are held against their centre whatever their sizes.
+    The centre is the member whose half bands are the most common (its weight), the likeliest origin of the others.
     """
     half = nodes.select("node", F.posexplode("bands").alias("at", "value"))
     shared = half.groupBy("at", "value").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     side = lambda first: F.collect_list(F.when((F.col("at") < HALVES) == first, F.xxhash64("at", "value")))
     per = half.join(shared, ["at", "value"]).groupBy("node").agg(F.sum("c").alias("common"), side(True).alias("a"), side(False).alias("b"))
     keys = per.select("node", "common", "b", F.explode("a").alias("x")).select("node", "common", "x", F.explode("b").alias("y")).select("node", "common", F.xxhash64("x", "y").alias("key"))
-    full = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("common", "node")).alias("top")).filter("m > 1").select("key", F.col("top.node").alias("centre"))
-    return keys.join(full, "key").filter("node <> centre").select("node", "centre").distinct()
+    full = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("common", "node")).alias("top")).filter("m > 1").select("key", F.col("top.node").alias("centre"), F.col("top.common").alias("weight"))
+    return keys.join(full, "key").filter("node <> centre").select("node", "centre", "weight").distinct()
 
 
 def word_shingles(text: str) -> set[bytes]:
@@ -99,12 +103,11 @@ def word_shingles(text: str) -> set[bytes]:
 
 
 def compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Compare the full sets of each pair (node, centre): node, centre, n, centre_n, both, linked, and lead.
+    """Compare the full sets of each pair (node, centre): node, centre, n, centre_n, both, linked, and extra, the hashes of the node's shingles outside the centre.
 
-    ``lead``: the node's shingles outside the centre, by hash, as many as a link past the centre must share one of.
     Only texts of candidate nodes travel beyond the first join.
     """
-    wanted = pairs.select(F.explode(F.array("node", "centre")).alias("node")).distinct().join(nodes.select("node", "doc_id", "text_key"), "node")
+    wanted = pairs.select("node").union(pairs.select("centre")).distinct().join(nodes.select("node", "doc_id", "text_key"), "node")
     whole = docs.filter("text IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     # Repeated rows become one again; the grouping keeps the join's partitioning.
     texts = staged(wanted.join(whole, ["doc_id", "text_key"]).groupBy("doc_id", "text_key", "node").agg(F.first("text").alias("text")).select("node", "text"), "op8-texts")
@@ -120,37 +123,67 @@ def compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
                 own = word_shingles(text)
                 extra = own - held
                 n, both = len(own), len(own) - len(extra)
-                lead = []
-                if extra:
-                    # A link of this node past the centre shares at least `least` of its extras with the other node.
-                    least = max(1, -((100 * both - PERCENT * n) // 100))
-                    if least <= len(extra):
-                        lead = sorted(xxhash.xxh64_intdigest(x) >> 1 for x in extra)[: len(extra) - least + 1]
-                rows.append((node, centre, n, len(held), both, 100 * both >= PERCENT * (n + len(held) - both), lead))
-            yield pd.DataFrame(rows, columns=["node", "centre", "n", "centre_n", "both", "linked", "lead"])
+                rows.append((node, centre, n, len(held), both, 100 * both >= PERCENT * (n + len(held) - both), [xxhash.xxh64_intdigest(x) >> 1 for x in extra]))
+            yield pd.DataFrame(rows, columns=["node", "centre", "n", "centre_n", "both", "linked", "extra"])
 
-    return sides.mapInPandas(run, "node long, centre long, n long, centre_n long, both long, linked boolean, lead array<long>")
+    return sides.mapInPandas(run, "node long, centre long, n long, centre_n long, both long, linked boolean, extra array<long>")
 
 
-def rest_candidates(seen: DataFrame, labels: DataFrame) -> DataFrame:
+def homes(seen: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, home): the heaviest centre that is at all similar to a node, or the home of that, and so on for three steps. Weights rise from step to step."""
+    alike = seen.filter(100 * F.col("both") >= ALIKE * (F.col("n") + F.col("centre_n") - F.col("both"))).select("node", "centre")
+    first = staged(pairs.join(alike, ["node", "centre"]).groupBy("node").agg(F.max(F.struct("weight", "centre")).alias("top")).select("node", F.col("top.centre").alias("home")), "op8-homes")
+    out = first
+    for _ in range(2):
+        out = out.join(first.select(F.col("node").alias("home"), F.col("home").alias("next")), "home", "left").select("node", F.coalesce("next", "home").alias("home"))
+    return out
+
+
+def least_shared(both: Column, n: Column, other: Column) -> Column:
+    """How many shingles outside the centre a link needs at least: overlap must reach PERCENT of the union, and within the centre it is ``both`` at most."""
+    return F.greatest(F.ceil(F.lit(PERCENT) * (n + other) / F.lit(100 + PERCENT)).cast("long") - both, F.lit(1).cast("long"))
+
+
+def leads(open_: DataFrame) -> DataFrame:
+    """Prefix filter rows of nodes that share a centre: centre, own and aimed-at size band, shingle, and the node's columns.
+
+    A node's shingles outside the centre are ordered by how many nodes of the centre have them, the rarest first. To link with
+    a node of some size it must share so many of them that one is among the first; how many are first depends on the size, so
+    each band of sizes has its own prefix. Shingles that no other node has take their places and are left out.
+    """
+    keys = ["centre", "node", "n", "both", "linked", "label", "home"]
+    each = open_.select(*keys, F.size("extra").alias("n_extra"), F.explode("extra").alias("shingle"))
+    common = each.groupBy("centre", "shingle").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    shared = each.join(common, ["centre", "shingle"]).groupBy(*keys, "n_extra").agg(F.array_sort(F.collect_list(F.struct("f", "shingle"))).alias("shared"))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(BAND))).cast("int")
+    aimed = shared.withColumn("band", band).withColumn("other", F.explode(F.sequence(band - BANDS, band + BANDS)))
+    smallest = F.greatest(F.ceil(F.pow(F.lit(BAND), F.col("other")) - 1e-6).cast("long"), F.ceil(F.col("n") * PERCENT / 100).cast("long"))
+    first = F.col("n_extra") - least_shared(F.col("both"), F.col("n"), smallest) + 1 - (F.col("n_extra") - F.size("shared"))
+    return aimed.withColumn("shingle", F.explode(F.slice("shared", F.lit(1), F.greatest(first, F.lit(0)).cast("int")))).select(*keys, "band", "other", F.col("shingle.shingle").alias("shingle"))
+
+
+def rest_candidates(seen: DataFrame, home: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs that share a centre, are in different components and can still be linked, as (node, centre).
 
     Of nodes x and y with centre c, at least one is not linked with c. What x and y share is shared with c as well, or lies
-    outside c in both. So a link needs a shingle outside c that both have (found by their leads, a prefix filter), or both
-    must share enough with c alone. Every pair that passes either test is returned: nothing is capped.
+    outside c in both. So a link needs enough shingles outside c that both have (found by their leads), or both must share
+    enough with c alone. Every pair that passes either test is returned: nothing is capped. A pair with one home is tested at
+    home only, as both were compared with it.
     """
-    known = seen.join(labels, "node", "left").select("centre", "node", "n", "both", "linked", "lead", F.coalesce("label", "node").alias("label"))
-    open_ = known.groupBy("centre").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("centre")
-    left = staged(known.join(open_, "centre"), "op8-open")
-    right = lambda *more: left.select("centre", *more, F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("label").alias("label2"), F.col("both").alias("both2"), F.col("linked").alias("linked2"))
-    sizes = 100 * F.least("n", "n2") >= PERCENT * F.greatest("n", "n2")
-    differ = (F.col("label") != F.col("label2")) & sizes
-    x, y = left.select("centre", "node", "n", "label", "linked", F.explode("lead").alias("shingle")), right(F.explode("lead").alias("shingle"))
-    by_lead = x.join(y, ["centre", "shingle"]).filter((F.col("node") < F.col("node2")) & differ & ~(F.col("linked") & F.col("linked2"))).select("node", "node2").distinct()
+    known = seen.join(labels, "node", "left").join(home, "node", "left").select("centre", "node", "n", "both", "linked", "extra", F.coalesce("label", "node").alias("label"), F.coalesce("home", "node").alias("home"))
+    mixed_ = known.groupBy("centre").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("centre")
+    open_ = staged(known.join(mixed_, "centre"), "op8-open")
+    renamed = {"node": "node2", "n": "n2", "label": "label2", "home": "home2", "both": "both2", "linked": "linked2"}
+    ends = [F.least("node", "node2").alias("node"), F.greatest("node", "node2").alias("node2")]
+    apart = (F.col("node") != F.col("node2")) & (F.col("label") != F.col("label2")) & ((F.col("home") != F.col("home2")) | (F.col("home") == F.col("centre")))
+    apart = apart & (100 * F.least("n", "n2") >= PERCENT * F.greatest("n", "n2"))
+    rows = staged(leads(open_), "op8-leads")
+    other = rows.select("centre", "shingle", F.col("band").alias("other"), F.col("other").alias("band"), *(F.col(a).alias(b) for a, b in renamed.items()))
+    by_lead = rows.filter("NOT linked").join(other, ["centre", "shingle", "band", "other"]).filter(apart).select(*ends).distinct()
     room = lambda both, n: F.floor((100 + PERCENT) * F.col(both) / F.lit(PERCENT)).cast("long") - F.col(n)
-    least_n = left.groupBy("centre").agg(F.min("n").alias("least_n"))
-    roomy = left.filter("NOT linked").join(least_n, "centre").filter(room("both", "n") >= F.col("least_n")).select("centre", "node", "n", "label", "both")
-    by_centre = roomy.join(right(), "centre").filter((F.col("node") != F.col("node2")) & differ & (F.col("n2") <= room("both", "n")) & (F.col("n") <= room("both2", "n2"))).select(F.least("node", "node2").alias("node"), F.greatest("node", "node2").alias("node2")).distinct()
+    least_n = open_.groupBy("centre").agg(F.min("n").alias("least_n"))
+    roomy = open_.filter("NOT linked").join(least_n, "centre").filter(room("both", "n") >= F.col("least_n")).drop("extra", "least_n")
+    by_centre = roomy.join(open_.drop("extra").withColumnsRenamed(renamed), "centre").filter(apart & (F.col("n2") <= room("both", "n")) & (F.col("n") <= room("both2", "n2"))).select(*ends).distinct()
     return by_lead.union(by_centre).distinct().select("node", F.col("node2").alias("centre"))
 
 
@@ -185,10 +218,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     rows = staged(signatures(docs), "op8-rows")
     nodes = staged(rows.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")).select("node", "row.*", "n_shingles", "bands"), "op8-nodes")
-    seen = staged(compared(staged(bucket_pairs(nodes), "op8-pairs"), nodes, docs), "op8-compared")
+    pairs = staged(bucket_pairs(nodes), "op8-pairs")
+    seen = staged(compared(pairs.select("node", "centre"), nodes, docs), "op8-compared")
+    home = staged(homes(seen, pairs), "op8-home")
+    farther = staged(home.filter("node <> home").select("node", F.col("home").alias("centre")).join(pairs, ["node", "centre"], "left_anti"), "op8-farther")
+    if not farther.isEmpty():
+        seen = seen.union(staged(compared(farther, nodes, docs), "op8-compared"))
     links = seen.filter("linked").select(F.col("node").alias("a"), F.col("centre").alias("b"))
     labels = components(links)
-    rest = staged(rest_candidates(seen, labels), "op8-rest")
+    rest = staged(rest_candidates(seen, home, labels), "op8-rest")
     if not rest.isEmpty():
         more = staged(compared(rest, nodes, docs).filter("linked").select(F.col("node").alias("a"), F.col("centre").alias("b")), "op8-more")
         if not more.isEmpty():
