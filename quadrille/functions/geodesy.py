@@ -15,6 +15,10 @@ A, E2 = 6378137.0, 6.6943799901413165e-3
 
 def ecef(lon: Column, lat: Column, height: Column) -> Column:
     """Geodetic position to earth-centred x, y, z."""
+    return M.let(_ecef, lon, lat, height)
+
+
+def _ecef(lon: Column, lat: Column, height: Column) -> Column:
     s, c = F.sin(F.radians(lat)), F.cos(F.radians(lat))
     sl, cl = F.sin(F.radians(lon)), F.cos(F.radians(lon))
     n = A / F.sqrt(1 - E2 * s * s)
@@ -23,9 +27,12 @@ def ecef(lon: Column, lat: Column, height: Column) -> Column:
 
 def enu_frame(lon: Column, lat: Column, height: Column) -> Column:
     """Matrix from east, north, up at a place to earth-centred."""
+    return M.let(lambda a, b, p: _enu_frame(a, b, p), lon, lat, ecef(lon, lat, height))
+
+
+def _enu_frame(lon: Column, lat: Column, p: Column) -> Column:
     s, c = F.sin(F.radians(lat)), F.cos(F.radians(lat))
     sl, cl = F.sin(F.radians(lon)), F.cos(F.radians(lon))
-    p = ecef(lon, lat, height)
     return M.vector(-sl, cl, 0, 0, -s * cl, -s * sl, c, 0, c * cl, c * sl, s, 0, F.get(p, 0), F.get(p, 1), F.get(p, 2), 1)
 
 
@@ -60,12 +67,19 @@ def _product(x: tuple[Column, Column], y: tuple[Column, Column]) -> tuple[Column
 
 def region_bounds(west: Column, south: Column, east: Column, north: Column, low: Column, high: Column) -> Column:
     """Conservative earth-centred (min x, y, z, max x, y, z) of a region in radians; east below west crosses the date line. Interval arithmetic, so every point of the region is inside."""
-    to = F.when(east < west, east + 2 * math.pi).otherwise(east)
+    return M.let(_region_bounds, west, south, F.when(east < west, east + 2 * math.pi).otherwise(east), north, low, high)
+
+
+def _region_bounds(west: Column, south: Column, to: Column, north: Column, low: Column, high: Column) -> Column:
     cos_lon, sin_lon = _cos_bounds(west, to), _cos_bounds(west - math.pi / 2, to - math.pi / 2)
     cos_lat, sin_lat = _cos_bounds(south, north), (F.sin(south), F.sin(north))
     squares = (F.when((south <= 0) & (north >= 0), 0.0).otherwise(F.least(sin_lat[0] * sin_lat[0], sin_lat[1] * sin_lat[1])), F.greatest(sin_lat[0] * sin_lat[0], sin_lat[1] * sin_lat[1]))
     radius = (A / F.sqrt(1 - E2 * squares[0]), A / F.sqrt(1 - E2 * squares[1]))
-    flat = _product((radius[0] + low, radius[1] + high), cos_lat)
-    x, y = _product(flat, cos_lon), _product(flat, sin_lon)
+    of = lambda c: (F.get(c, 0), F.get(c, 1))
     z = _product((radius[0] * (1 - E2) + low, radius[1] * (1 - E2) + high), sin_lat)
-    return M.vector(x[0], y[0], z[0], x[1], y[1], z[1])
+
+    def body(flat: Column, lon_c: Column, lon_s: Column, up: Column) -> Column:
+        x, y = _product(of(flat), of(lon_c)), _product(of(flat), of(lon_s))
+        return M.vector(x[0], y[0], F.get(up, 0), x[1], y[1], F.get(up, 1))
+
+    return M.let(body, F.array(*_product((radius[0] + low, radius[1] + high), cos_lat)), F.array(*cos_lon), F.array(*sin_lon), F.array(*z))

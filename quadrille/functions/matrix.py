@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,12 @@ from pyspark.sql import functions as F
 SINGULAR = 1e-15
 
 
+def let(body: Callable[..., Column], *values: Column) -> Column:
+    """``body`` of the values, each of which is evaluated once, however often the body uses it; keeps nested expressions small."""
+    bound = F.array(F.struct(*(v.alias(f"v{i}") for i, v in enumerate(values))))
+    return F.get(F.transform(bound, lambda s: body(*(s[f"v{i}"] for i in range(len(values))))), 0)
+
+
 def at(m: Column, row: int, col: int) -> Column:
     """Element of a column-major matrix."""
     return F.get(m, col * 4 + row)
@@ -28,11 +36,19 @@ def translation(x: Column, y: Column, z: Column) -> Column:
 
 def multiply(a: Column, b: Column) -> Column:
     """a * b, so that a point goes through b first."""
+    return let(_multiply, a, b)
+
+
+def _multiply(a: Column, b: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: sum((F.get(a, (i % 4) + 4 * k) * F.get(b, F.floor(i / 4).cast("int") * 4 + k) for k in range(1, 4)), F.get(a, i % 4) * F.get(b, F.floor(i / 4).cast("int") * 4)))
 
 
 def transform_point(m: Column, p: Column, perspective: bool = False) -> Column:
     """m * (p, 1); with ``perspective`` divided by w where that is not nearly zero."""
+    return let(lambda a, b: _transform_point(a, b, perspective), m, p)
+
+
+def _transform_point(m: Column, p: Column, perspective: bool) -> Column:
     out = [at(m, r, 0) * F.get(p, 0) + at(m, r, 1) * F.get(p, 1) + at(m, r, 2) * F.get(p, 2) + at(m, r, 3) for r in range(4)]
     if not perspective:
         return vector(*out[:3])
@@ -41,7 +57,7 @@ def transform_point(m: Column, p: Column, perspective: bool = False) -> Column:
 
 def transform_direction(m: Column, d: Column) -> Column:
     """The linear part only."""
-    return vector(*(at(m, r, 0) * F.get(d, 0) + at(m, r, 1) * F.get(d, 1) + at(m, r, 2) * F.get(d, 2) for r in range(3)))
+    return let(lambda a, v: vector(*(at(a, r, 0) * F.get(v, 0) + at(a, r, 1) * F.get(v, 1) + at(a, r, 2) * F.get(v, 2) for r in range(3))), m, d)
 
 
 def cofactors(m: Column) -> list[list[Column]]:
@@ -61,6 +77,10 @@ def determinant3(m: Column) -> Column:
 
 def affine_inverse(m: Column) -> Column:
     """Inverse of an affine matrix; null where it is singular."""
+    return let(_affine_inverse, m)
+
+
+def _affine_inverse(m: Column) -> Column:
     co, det = cofactors(m), determinant3(m)
     inv = [[co[c][r] / det for c in range(3)] for r in range(3)]
     moved = [-(inv[r][0] * at(m, 0, 3) + inv[r][1] * at(m, 1, 3) + inv[r][2] * at(m, 2, 3)) for r in range(3)]
@@ -70,6 +90,10 @@ def affine_inverse(m: Column) -> Column:
 
 def is_affine(m: Column) -> Column:
     """Sixteen finite numbers, last row (0, 0, 0, 1), not singular."""
+    return let(_is_affine, m)
+
+
+def _is_affine(m: Column) -> Column:
     finite = F.forall(m, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     last = (at(m, 3, 0) == 0) & (at(m, 3, 1) == 0) & (at(m, 3, 2) == 0) & (at(m, 3, 3) == 1)
     return F.coalesce((F.size(m) == 16) & finite & last & (F.abs(determinant3(m)) >= SINGULAR), F.lit(False))
@@ -86,6 +110,10 @@ def relative_transform(parent: Column, child: Column) -> Column:
 
 def trs(t: Column, q: Column, s: Column) -> Column:
     """Matrix of translation, rotation (x, y, z, w) and scale; null unless the quaternion has length 1 within 1e-5."""
+    return let(_trs, t, q, s)
+
+
+def _trs(t: Column, q: Column, s: Column) -> Column:
     x, y, z, w = (F.get(q, i) for i in range(4))
     a, b, c = (F.get(s, i) for i in range(3))
     m = vector(
@@ -107,6 +135,10 @@ def box_half_extents(box: Column, m: Column | None = None) -> list[Column]:
 
 def box_aabb(box: Column, m: Column | None = None) -> Column:
     """(min x, y, z, max x, y, z) of a box in the frame that ``m`` leads to."""
+    return let(_box_aabb, box) if m is None else let(_box_aabb, box, m)
+
+
+def _box_aabb(box: Column, m: Column | None = None) -> Column:
     centre = F.slice(box, 1, 3)
     if m is not None:
         centre = transform_point(m, centre)
@@ -122,11 +154,9 @@ def aabb_box(lo: list[Column], hi: list[Column], least: float = 0.0) -> Column:
 
 def box_to_local(box: Column, world: Column) -> Column:
     """A world box as an axis-aligned box in the frame of ``world``; unchanged where that can't be inverted."""
-    inverse = affine_inverse(world)
-    hull = box_aabb(box)
-    corner_box = aabb_box([F.get(hull, i) for i in range(3)], [F.get(hull, i + 3) for i in range(3)])
-    local = box_aabb(corner_box, inverse)
-    return F.when(inverse.isNull(), box).otherwise(aabb_box([F.get(local, i) for i in range(3)], [F.get(local, i + 3) for i in range(3)]))
+    as_box = lambda hull: aabb_box([F.get(hull, i) for i in range(3)], [F.get(hull, i + 3) for i in range(3)])
+    inside = lambda inverse: F.when(inverse.isNull(), box).otherwise(let(as_box, box_aabb(let(as_box, box_aabb(box)), inverse)))
+    return let(inside, affine_inverse(world))
 
 
 def box_diagonal(box: Column) -> Column:
@@ -136,5 +166,9 @@ def box_diagonal(box: Column) -> Column:
 
 def scale_bound(m: Column) -> Column:
     """A bound of how much a matrix stretches: the root of its greatest column sum times its greatest row sum."""
+    return let(_scale_bound, m)
+
+
+def _scale_bound(m: Column) -> Column:
     a = [[F.abs(at(m, r, c)) for c in range(3)] for r in range(3)]
     return F.sqrt(F.greatest(*(a[0][c] + a[1][c] + a[2][c] for c in range(3))) * F.greatest(*(a[r][0] + a[r][1] + a[r][2] for r in range(3))))
