@@ -159,7 +159,9 @@ def leads(open_: DataFrame) -> DataFrame:
     aimed = shared.withColumn("band", band).withColumn("other", F.explode(F.sequence(band - BANDS, band + BANDS)))
     smallest = F.greatest(F.ceil(F.pow(F.lit(BAND), F.col("other")) - 1e-6).cast("long"), F.ceil(F.col("n") * PERCENT / 100).cast("long"))
     first = F.col("n_extra") - least_shared(F.col("both"), F.col("n"), smallest) + 1 - (F.col("n_extra") - F.size("shared"))
-    return aimed.withColumn("shingle", F.explode(F.slice("shared", F.lit(1), F.greatest(first, F.lit(0)).cast("int")))).select(*keys, "band", "other", F.col("shingle.shingle").alias("shingle"))
+    placed = aimed.withColumn("unshared", F.col("n_extra") - F.size("shared")).select(*keys, "n_extra", "unshared", "band", "other", F.posexplode(F.slice("shared", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("at", "x"))
+    # after: how many shingles of the order are left from this one on.
+    return placed.select(*keys, "band", "other", F.col("x.shingle").alias("shingle"), (F.col("n_extra") - F.col("unshared") - F.col("at")).cast("long").alias("after"))
 
 
 def rest_candidates(seen: DataFrame, home: DataFrame, labels: DataFrame) -> DataFrame:
@@ -178,8 +180,10 @@ def rest_candidates(seen: DataFrame, home: DataFrame, labels: DataFrame) -> Data
     apart = (F.col("node") != F.col("node2")) & (F.col("label") != F.col("label2")) & ((F.col("home") != F.col("home2")) | (F.col("home") == F.col("centre")))
     apart = apart & (100 * F.least("n", "n2") >= PERCENT * F.greatest("n", "n2"))
     rows = staged(leads(open_), "op8-leads")
-    other = rows.select("centre", "shingle", F.col("band").alias("other"), F.col("other").alias("band"), *(F.col(a).alias(b) for a, b in renamed.items()))
-    by_lead = rows.filter("NOT linked").join(other, ["centre", "shingle", "band", "other"]).filter(apart).select(*ends).distinct()
+    other = rows.select("centre", "shingle", F.col("band").alias("other"), F.col("other").alias("band"), F.col("after").alias("after2"), *(F.col(a).alias(b) for a, b in renamed.items()))
+    # The first shingle that a linked pair shares leaves as many in both orders as the pair must share; its actual sizes say how many.
+    enough = F.least("after", "after2") >= least_shared(F.least("both", "both2"), F.col("n"), F.col("n2"))
+    by_lead = rows.filter("NOT linked").join(other, ["centre", "shingle", "band", "other"]).filter(apart & enough).select(*ends).distinct()
     room = lambda both, n: F.floor((100 + PERCENT) * F.col(both) / F.lit(PERCENT)).cast("long") - F.col(n)
     least_n = open_.groupBy("centre").agg(F.min("n").alias("least_n"))
     roomy = open_.filter("NOT linked").join(least_n, "centre").filter(room("both", "n") >= F.col("least_n")).drop("extra", "least_n")
