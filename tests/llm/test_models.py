@@ -197,7 +197,7 @@ def test_forward_equals_the_sum_over_all_paths():
     model = small_model(rng)
     pi, move, emit = model
     sequences = [rng.integers(0, hmm.CLASSES, n) for n in (1, 5, 3, 5, 2)]
-    ll, _, _ = hmm.Pack(sequences).forward(model, False)
+    ll, _, _ = hmm.Pack(sequences).forward(model)
     for s, got in zip(sequences, ll, strict=True):
         paths = np.array(np.meshgrid(*[range(3)] * len(s))).reshape(len(s), -1).T
         total = sum(pi[p[0]] * emit[s[0], p[0]] * math.prod(move[a, b] * emit[x, b] for a, b, x in zip(p, p[1:], s[1:], strict=False)) for p in paths)
