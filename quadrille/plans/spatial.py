@@ -28,8 +28,8 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BLOCKS_SQL = """blocks AS (SELECT s_suppkey AS block_id, CAST(s_suppkey % 16 AS INT) AS gx, CAST(floor(s_suppkey / 16.0) AS INT) AS gy,
- (s_suppkey % 16) * 100 - 50.0 AS min_x, floor(s_suppkey / 16.0) * 100 - 50.0 AS min_y, (s_suppkey % 16) * 100 + 50.0 AS max_x, floor(s_suppkey / 16.0) * 100 + 50.0 AS max_y,
- greatest(s_acctbal, 0.0) AS max_z, (s_suppkey % 16) * 100.0 AS cx, floor(s_suppkey / 16.0) * 100.0 + s_suppkey % 7 AS cy FROM supplier)"""
+ CAST((s_suppkey % 16) * 100 - 50.0 AS DOUBLE) AS min_x, floor(s_suppkey / 16.0) * 100 - 50.0 AS min_y, CAST((s_suppkey % 16) * 100 + 50.0 AS DOUBLE) AS max_x, floor(s_suppkey / 16.0) * 100 + 50.0 AS max_y,
+ greatest(s_acctbal, 0.0) AS max_z, CAST((s_suppkey % 16) * 100.0 AS DOUBLE) AS cx, floor(s_suppkey / 16.0) * 100.0 + s_suppkey % 7 AS cy FROM supplier)"""
 
 
 def representations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,7 +125,7 @@ def directory_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.directory_bytes(table(spark, sf_dir, "documents").select(F.length("text").alias("length")))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'default' ELSE printf('mat%d:%.3f,%.3f,%.3f,%.3f', p_size, 0.5, 0.25, 1.0, 1.0) END || CASE WHEN p_size % 3 = 0 THEN '#tex:' || substr(md5(p_name), 1, 16) ELSE '' END AS key, CASE WHEN p_size % 4 = 0 THEN 1.0 ELSE 0.5 END AS red FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'default' ELSE printf('mat%d:%.3f,%.3f,%.3f,%.3f', p_size, 0.5, 0.25, 1.0, 1.0) END || CASE WHEN p_size % 3 = 0 THEN '#tex:' || substr(md5(p_name), 1, 16) ELSE '' END AS key, CAST(CASE WHEN p_size % 4 = 0 THEN 1.0 ELSE 0.5 END AS DOUBLE) AS red FROM part")
 def material_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = F.when(F.col("p_size") % 4 != 0, F.col("p_size"))
     key = T.material_key(index, F.array(*map(F.lit, (0.5, 0.25, 1.0, 1.0))), F.when(F.col("p_size") % 3 == 0, F.md5(F.col("p_name").cast("binary"))))
