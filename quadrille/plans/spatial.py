@@ -67,9 +67,10 @@ def quadtree_child_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quadtree.child_lists(blocks(spark, sf_dir)).withColumn("child_ids", F.array_join("child_ids", ","))
 
 
-@query()
+@query(LEVELS_SQL.replace("FROM supplier)", "FROM supplier WHERE s_suppkey IN (SELECT l_orderkey FROM lineitem))") + """, r AS (SELECT l_orderkey AS b, CAST(round(l_extendedprice) AS BIGINT) AS triangles, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity <= 20.0 DESC, CASE WHEN l_quantity <= 20.0 THEN -l_quantity ELSE l_quantity END, l_linenumber, CASE WHEN l_quantity <= 20.0 THEN -round(l_extendedprice) ELSE round(l_extendedprice) END) AS i FROM lineitem)
+ SELECT CAST(level AS INT) AS level, count(*) AS n_nodes, CAST(sum(n_blocks) AS BIGINT) AS n_blocks, min(min_x) AS min_x, min(min_y) AS min_y, CAST(min(min_z) AS DOUBLE) AS min_z, max(max_x) AS max_x, max(max_y) AS max_y, max(max_z) AS max_z, (SELECT CAST(sum(triangles) AS BIGINT) FROM r WHERE i = 1) AS triangles FROM n JOIN k USING (level) GROUP BY 1""")
 def quadtree_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: levels with nodes and bounds, and the triangles selected for the blocks (an order stands for the supplier of its number)."""
+    """The flagship: levels with nodes and bounds of the suppliers that have an order of their number, and the triangles selected over all orders."""
     return quadtree.rollup(blocks(spark, sf_dir), representations(spark, sf_dir), 40.0)
 
 
