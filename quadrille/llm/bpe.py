@@ -12,6 +12,7 @@ followed as the file states them: special tokens first, then the normaliser, the
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 import struct
 import unicodedata
@@ -28,7 +29,7 @@ from quadrille.llm.common import bound_batches
 #: White space as the file's ``\s`` means it (Unicode's property; Python's also has four control characters).
 WHITE = "\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Words longer than this are not kept; as many words are kept as CACHE says.
-LONG_WORD, CACHE = 64, 400_000
+LONG_WORD, CACHE = 64, 600_000
 #: Texts are handled in runs of about so many characters.
 RUN = 1 << 20
 
@@ -40,6 +41,13 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def member(known: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in a sorted array; its cost hardly grows with the array."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
 class Encoder:
     """One tokenizer file of kind BPE with word ends."""
 
@@ -170,10 +178,10 @@ class Encoder:
         matters = second != 0xFFFFF
         matters[ends[sizes == 1] - 1] = True  # the last token of a longer word stands in the pair before it
         distinct = np.unique(codes[matters])
-        unknown = distinct[~np.isin(distinct, self.good) & ~np.isin(distinct, self.bad)]
+        unknown = distinct[~member(self.good, distinct) & ~member(self.bad, distinct)]
         if len(unknown):
             self.settle(unknown)
-        fails = np.logical_or.reduceat(matters & np.isin(codes, self.bad), ends - sizes)
+        fails = np.logical_or.reduceat(matters & member(self.bad, codes), ends - sizes)
         self.counts["words"] += len(words)
         self.counts["merged"] += int(fails.sum())
         for i in np.flatnonzero(fails).tolist():
@@ -181,9 +189,9 @@ class Encoder:
         return proposals
 
     def learn(self, words: set[str]) -> None:
-        if len(self.ids) > CACHE:
-            self.ids.clear()
-            self.names.clear()
+        if len(self.ids) > CACHE:  # the words met first are the frequent ones: they stay
+            for w in list(itertools.islice(self.ids, CACHE // 2, None)):
+                del self.ids[w], self.names[w]
         new = [w for w in words if w not in self.ids]
         for w, tokens in zip(new, self.encode_words(new), strict=True):
             self.ids[w] = struct.pack(f"<{len(tokens)}I", *tokens)
