@@ -140,7 +140,7 @@ def evict(entries: DataFrame, capacity: int, key: str, mtime: str, size: str) ->
     sums = slices.groupBy("__slice").agg(F.sum(size).alias("__sum"))
     newer = sums.select("__slice", (F.sum("__sum").over(Window.orderBy(F.desc("__slice"))) - F.col("__sum")).alias("__newer"))
     inside = F.sum(size).over(Window.partitionBy("__slice").orderBy(F.desc(mtime), F.desc(key)))
-    return slices.join(F.broadcast(newer), "__slice").withColumn("__in", inside).withColumn("bytes_upto", F.col("__newer") + F.col("__in")).withColumn("kept", F.col("bytes_upto") <= capacity).drop("__slice", "__newer", "__in")
+    return slices.join(newer, "__slice").withColumn("__in", inside).withColumn("bytes_upto", F.col("__newer") + F.col("__in")).withColumn("kept", F.col("bytes_upto") <= capacity).drop("__slice", "__newer", "__in")
 
 
 def transitions(states: DataFrame, task: str = "task_id", seq: str = "seq") -> DataFrame:
