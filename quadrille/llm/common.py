@@ -30,9 +30,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quadrille/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    gone_at_exit(spark, path)  # only what exists can be marked
     return spark.read.schema(df.schema).parquet(path)
 
 
+def gone_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the store delete a path when the driver's JVM ends: results are lazy, so their tables are needed until then."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def text_of(df: DataFrame, name: str = "text") -> Column:
     """The text, empty where null."""
     return F.coalesce(df[name], F.lit(""))
