@@ -1,8 +1,8 @@
 """Quality rules whose cutoffs carry a guarantee.
 
 Every rule rejects texts above a cutoff. Labelled clean documents are a holdout: for each stratum, rule and candidate cutoff
-the exact binomial tail tells whether the rate of false rejections is below the allowed risk, at a confidence divided by the
-number of tests (Bonferroni). Of the cutoffs that pass, the one that catches most known bad documents is taken, and of equals
+the exact binomial tail tells whether the rate of false rejections is below the allowed risk. The chance of error is divided
+among strata and rules (Bonferroni), and within a rule cutoffs are tested in a fixed order. Of the cutoffs that pass, the one that catches most known bad documents is taken, and of equals
 the most lenient. A stratum with too few labels gets no cutoff. Rows are handled by DataFrame functions alone; the driver sees
 counts per stratum, rule and cutoff.
 """
@@ -30,7 +30,7 @@ RULES = {
     "repeat_share": (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8),
 }
 #: Allowed false rejections per stratum over all rules, and the chance that any of the guarantees fails.
-RISK, DELTA = 0.01, 0.05
+RISK, DELTA = 0.05, 0.05
 MIN_WORDS = 50
 
 
@@ -110,17 +110,20 @@ class Cutoff:
 
 
 def choose(counts: list[dict], risk: float = RISK, delta: float = DELTA) -> list[Cutoff]:
-    """The certified cutoff of each stratum and rule. ``counts``: clean rows, and clean and bad rows above each cutoff."""
-    tests = len(counts) * sum(map(len, RULES.values()))
-    each = risk / len(RULES)
+    """The certified cutoff of each stratum and rule. ``counts``: clean rows, and clean and bad rows above each cutoff.
+
+    Cutoffs are tested from the most lenient to the strictest until one fails, so a sequence costs one share of ``delta``.
+    """
+    level, each = delta / max(1, len(counts) * len(RULES)), risk / len(RULES)
     found = []
     for row in counts:
         for rule, cutoffs in RULES.items():
-            passed = [
-                Cutoff(row["stratum"], rule, c, row["clean"], row[f"{rule}_{i}_clean"], row[f"{rule}_{i}_bad"])
-                for i, c in enumerate(cutoffs)
-                if binomial_tail(row[f"{rule}_{i}_clean"], row["clean"], each) <= delta / tests
-            ]
+            passed = []
+            for i in sorted(range(len(cutoffs)), key=lambda i: -cutoffs[i]):
+                c = Cutoff(row["stratum"], rule, cutoffs[i], row["clean"], row[f"{rule}_{i}_clean"], row[f"{rule}_{i}_bad"])
+                if binomial_tail(c.false_rejections, c.clean, each) > level:
+                    break
+                passed.append(c)
             if passed and (best := max(passed, key=lambda x: (x.caught, x.cutoff))).caught:
                 found.append(best)
     return found

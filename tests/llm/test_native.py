@@ -126,9 +126,9 @@ def test_cutoffs_are_certified():
     assert quality_rules.binomial_tail(0, 10, 0.5) == pytest.approx(0.5**10)
     assert quality_rules.binomial_tail(2, 5, 0.3) == pytest.approx(0.83692)
     zero = {f"{r}_{i}_{m}": 0 for r, cs in quality_rules.RULES.items() for i in range(len(cs)) for m in ("clean", "bad")}
-    many = {"stratum": "en", "clean": 100_000} | zero | {"symbol_share_0_bad": 50, "symbol_share_1_bad": 50, "upper_share_0_bad": 90, "upper_share_0_clean": 500, "upper_share_1_bad": 10}
+    many = {"stratum": "en", "clean": 100_000} | zero | {"symbol_share_0_bad": 50, "symbol_share_1_bad": 50, "upper_share_0_bad": 90, "upper_share_0_clean": 1500, "upper_share_1_bad": 10}
     found = {c.rule: c.cutoff for c in quality_rules.choose([many])}
-    assert found == {"symbol_share": 0.02, "upper_share": 0.15}  # the lenient of equals; 500 of 100,000 are too many
+    assert found == {"symbol_share": 0.02, "upper_share": 0.15}  # the lenient of equals; 1,500 of 100,000 are too many
     assert quality_rules.choose([many | {"clean": 100}]) == []
 
 
