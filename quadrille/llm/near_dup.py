@@ -220,6 +220,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Null and empty texts, or such without words, have no set, form their own component and are kept. Repeated rows share a
     component. A row without doc_id is in a component if a copy with an id is; otherwise its component is null, and it is kept.
     """
+    found = grouped(docs)
+    return found.select("doc_id", "n_shingles", "component_id").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id, and first_key: the text key of the component's first row (by id, then key)."""
     rows = staged(signatures(docs), "op8-rows")
     nodes = staged(rows.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")).select("node", "row.*", "n_shingles", "bands"), "op8-nodes")
     pairs = staged(bucket_pairs(nodes), "op8-pairs")
@@ -235,19 +241,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         more = staged(compared(rest, nodes, docs).filter("linked").select(F.col("node").alias("a"), F.col("centre").alias("b")), "op8-more")
         if not more.isEmpty():
             labels = components(links.union(more))
-    smallest = labels.join(nodes.select("node", "doc_id"), "node").select("label", "node", "doc_id")
-    least = smallest.groupBy("label").agg(F.min("doc_id").alias("component"))
-    of_node = nodes.select("node", F.col("doc_id").alias("own")).join(smallest.select("node", "label").join(least, "label").select("node", "component"), "node", "left").select("node", F.coalesce("component", "own").alias("component"))
+    own = nodes.select("node", F.struct("doc_id", "text_key").alias("own"))
+    labelled = labels.join(own, "node").select("label", "node", "own")
+    least = labelled.groupBy("label").agg(F.min("own").alias("first"))
+    of_node = own.join(labelled.select("node", "label").join(least, "label").select("node", "first"), "node", "left").select("node", F.coalesce("first", "own").alias("first"))
     placed = rows.drop("bands").join(of_node, "node", "left")
-    return placed.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    return placed.select("doc_id", "text_key", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"), F.coalesce("first.text_key", "text_key").alias("first_key"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept: of each component the one with the least doc_id, once.
-
-    Rows without doc_id stay unless their text has a copy with an id.
-    """
-    found = staged(near_duplicates(docs), "op8-found")
-    kept = found.filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    own = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The rows of ``docs`` that stay: of each component the one with the least doc_id (of equal ids the least hash of the text), once. Rows without doc_id stay."""
+    found = staged(grouped(docs), "op8-found")
+    first = found.filter("doc_id IS NOT NULL AND doc_id = component_id AND text_key = first_key").select("doc_id", F.col("text_key").alias("__key")).distinct()
+    keyed = docs.withColumn("__key", F.xxhash64("text"))
+    own = keyed.join(first, ["doc_id", "__key"], "left_semi").dropDuplicates(["doc_id", "__key"])
     return own.select(*docs.columns).union(docs.filter("doc_id IS NULL"))

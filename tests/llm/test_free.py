@@ -124,6 +124,12 @@ def test_near_duplicates_in_chains_and_large_buckets(spark):
     assert by_key(tuple(r) for r in near_dup.near_duplicates(frame).collect()) == by_key(brute_components(rows))
 
 
+def test_one_of_each_with_shared_ids(spark):
+    rows = [(1, "a b c d e f g"), (1, "A b c d e f g"), (1, "other words are in this text"), (2, "a b c d e f g"), (2, "alone but of a shared id"), (3, ""), (3, None), (None, "a b c d e f g")]
+    got = near_dup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, (r.text or "").lower()) for r in got) == [(0, "a b c d e f g"), (1, "a b c d e f g"), (1, "other words are in this text"), (2, "alone but of a shared id"), (3, ""), (3, "")]
+
+
 def test_near_duplicates_without_ids_or_rows(spark):
     got = {r.doc_id: r for r in near_dup.near_duplicates(edge.frame(spark)).collect() if r.doc_id is None}
     assert got[None].component_id is None and got[None].kept
