@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.operators.grid import upper_median
+from quadrille.operators.lineage import cut
 
 AXES = ("x", "y", "z")
 
@@ -82,6 +83,7 @@ def nearest(points: DataFrame, targets: DataFrame, keys: list[str], cell: str =
 
     points and targets: keys, cell, x, y, z (and the point's id).
     """
+    targets = cut(targets.select(*keys, cell, *AXES))
     todo, done = points.join(targets.select(*keys).distinct(), keys, "left_semi"), None
     scale = 1.0
     for _ in range(rounds):
@@ -91,9 +93,10 @@ def nearest(points: DataFrame, targets: DataFrame, keys: list[str], cell: str =
         near = todo.select("*", *own).withColumn("dx", step).withColumn("dy", step).withColumn("dz", step).withColumns({f"c{a}": F.col(f"c{a}") + F.col(f"d{a}") for a in AXES}).drop("dx", "dy", "dz")
         there = targets.select(*keys, *own, *(F.col(a).alias(f"q{a}") for a in AXES))
         best = near.join(there, [*keys, "cx", "cy", "cz"]).groupBy(*keys, id_).agg(F.min(distance()).alias("d"))
-        sure = todo.join(best, [*keys, id_]).filter(F.col("d") <= size).select(*keys, id_, "d")
+        tried = cut(todo.join(best, [*keys, id_], "left"))
+        sure = tried.filter(F.col("d") <= size).select(*keys, id_, "d")
         done = sure if done is None else done.union(sure)
-        todo = todo.join(sure.select(*keys, id_), [*keys, id_], "left_anti")
+        todo = tried.filter(F.col("d").isNull() | (F.col("d") > size)).drop("d")
         if todo.isEmpty():
             break
         scale *= growth

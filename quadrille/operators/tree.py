@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrille.operators.lineage import cut
+
 MAX_DEPTH = 128
 
 
@@ -35,10 +37,11 @@ def with_world(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     from quadrille.functions import matrix as M
 
     local = F.coalesce("transform", M.identity())
+    nodes = cut(nodes.select("id", "parent_id", "transform"))
     level = nodes.filter("parent_id IS NULL").select("id", F.lit(0).alias("depth"), local.alias("world"))
     out = level
     for depth in range(1, max_depth + 1):
-        level = nodes.join(level.select(F.col("id").alias("parent_id"), F.col("world").alias("up")), "parent_id").select("id", F.lit(depth).alias("depth"), M.multiply(F.col("up"), local).alias("world"))
+        level = cut(nodes.join(level.select(F.col("id").alias("parent_id"), F.col("world").alias("up")), "parent_id").select("id", F.lit(depth).alias("depth"), M.multiply(F.col("up"), local).alias("world")))
         if level.isEmpty():
             break
         out = out.union(level)
