@@ -58,6 +58,7 @@ def test_structure():
     <aside>Side</aside><form><input name=q><p>Search</p></form><div class='comments'><p>First!</p></div><p hidden>secret</p><p style="display: none">gone</p>
     <ul><li>x</li><li>y</li></ul></main><footer>&copy; us</footer>"""
     assert [t for level, t in html_text.blocks(page) if level == html_text.MAIN] == ["A & B", "Onetwo three", "four <x>", "x", "y"]
+    assert html_text.blocks('<article><p title="a hidden gem">x</p><header>h</header><p hidden="">y</p></article><div class="page-header">z</div>') == [(3, "x"), (3, "h"), (-1, "z")]
     assert html_text.blocks("") == [] and html_text.blocks("<p") == [(0, "<p")]
     assert html_text.blocks("<p title=\"un>closed</p>text<div class=ad>x") == [(0, "closed"), (0, "text"), (-1, "x")]
     long = "<div>" * 20_000 + "deep" + "</div>" * 20_000 + '<a b="' * 2000
