@@ -1,6 +1,7 @@
 """Streams give what the batch operators give."""
 
 import json
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -26,7 +27,9 @@ def write_log(folder, n_files=3):
         rows.append(e)
     for i in range(n_files):
         part = [json.dumps(e) for e in rows[i * 40 : (i + 1) * 40]]
-        (folder / f"{i}.jsonl").write_text("\n".join([*part, "no json", '{"schemaVersion": 2, "taskId": "t0", "seq": 1, "type": "log"}']))
+        part_file = folder / f"{i}.jsonl"
+        part_file.write_text("\n".join([*part, "no json", '{"schemaVersion": 2, "taskId": "t0", "seq": 1, "type": "log"}']))
+        os.utime(part_file, (1_700_000_000 + i * 100,) * 2)  # a stream takes files by their time
     return rows
 
 
@@ -57,6 +60,8 @@ def test_throttle_equals_batch(spark, tmp_path):
     schema = "task_id long, seq long, at_ms long, completed long, total long"
     for i in range(3):
         spark.createDataFrame(rows[i * 30 : i * 30 + 30], schema).coalesce(1).write.mode("append").parquet(str(src))
+    for n, f in enumerate(sorted(src.glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)):
+        os.utime(f, (1_700_000_000 + n * 100,) * 2)
     stream = spark.readStream.schema(schema).parquet(str(src)).withColumn("task_id", F.col("task_id").cast("string"))
     q = events.throttled(stream).writeStream.outputMode("append").format("memory").queryName("throttle").option("checkpointLocation", str(tmp_path / "c")).start()
     q.processAllAvailable()
