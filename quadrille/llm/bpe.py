@@ -29,7 +29,7 @@ from quadrille.llm.common import bound_batches
 #: White space as the file's ``\s`` means it (Unicode's property; Python's also has four control characters).
 WHITE = "\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Words longer than this are not kept; as many words are kept as CACHE says.
-LONG_WORD, CACHE = 64, 600_000
+LONG_WORD, CACHE = 64, 300_000
 #: Texts are handled in runs of about so many characters.
 RUN = 1 << 20
 
