@@ -1,8 +1,8 @@
 """Main text of web pages: structure first, then repeats across the pages of a host.
 
 A page is cut into blocks, each with a level: boilerplate by its tags or names (menus, headers, footers, notices, ...), loose,
-or inside a named content area, <main>, or <article>. The highest level with text is the main text. Pages that mark no main
-area are left with loose blocks; of these, what a host repeats is removed.
+or inside a named content area, <main>, or <article>. The highest level that holds enough of the words is the main text, with
+the headline before it. Pages that mark no main area are left with loose blocks; of these, what a host repeats is removed.
 
 The repeats come from a suffix array over the token streams of all boilerplate and loose blocks, kept as a distributed table:
 one row per token position, keyed by host and the suffix's first RUN tokens. Suffixes that agree there sort together, and a run
@@ -44,8 +44,13 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 BAD_NAMES = frozenset("ad ads advert advertisement advertising adsense banner cookie cookies consent notice gdpr sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus share sharing social related promo sponsored sponsor newsletter subscribe popup modal overlay widget toolbar pagination pager skip login signup".split())
 HEAD_NAMES = frozenset("header topbar siteheader".split())
 GOOD_NAMES = frozenset("article content post entry story main maincontent articlebody".split())
+#: Words that make a name a state of its element, as in has-sidebar or comments-open.
+STATES = frozenset("has have no not with without is open closed enabled disabled allow allowed".split())
 LOOSE, AREA, MAIN, ARTICLE = range(4)
-BAD, GONE = -1, -2
+#: SOFT is boilerplate by a part of a name only: an article or main inside is none.
+BAD, GONE, SOFT = -1, -2, -3
+#: The least share of a page's words (boilerplate aside) that a main area holds, by its level.
+BULK = {AREA: 0.5, MAIN: 0.25, ARTICLE: 0.25}
 
 
 def level_of(tag: str, attributes: str, now: int) -> int:
@@ -53,27 +58,40 @@ def level_of(tag: str, attributes: str, now: int) -> int:
     if now == GONE or tag in HIDDEN:
         return GONE
     names: set[str] = set()
+    whole: set[str] = set()
     role = ""
     if attributes and "=" in attributes:
         for name, *values in ATTRIBUTE.findall(attributes):
             value = "".join(values).lower()
             if name.lower() in ("class", "id"):
-                names.update(re.split(r"[^a-z0-9]+", value))
+                for name_ in value.split():
+                    parts = set(re.split(r"[^a-z0-9]+", name_))
+                    if not (parts & STATES and parts & BAD_NAMES):
+                        names |= parts
+                        whole.add(name_)
             elif name.lower() == "role":
                 role = value
             elif name.lower() == "style" and "display:none" in value.replace(" ", ""):
                 return GONE
     if "hidden" in (attributes or "") and re.search(r"(?:^|\s)hidden(?:\s|=|$)", QUOTED.sub("", attributes)):
         return GONE
-    if now == BAD or tag in BOILERPLATE or role in ROLES or (names & BAD_NAMES and tag not in ("body", "html")) or (tag == "header" or names & HEAD_NAMES) and now < AREA:
+    area = tag in ("article", "main") or role == "main"
+    if now == BAD or tag in BOILERPLATE or role in ROLES or (whole & BAD_NAMES and tag not in ("body", "html")) or (tag == "header" or names & HEAD_NAMES and not area) and now < AREA:
         return BAD
+    if not area and (now == SOFT or names & BAD_NAMES and tag not in ("body", "html")):
+        return SOFT
     found = ARTICLE if tag == "article" else MAIN if tag == "main" or role == "main" else AREA if names & GOOD_NAMES and tag not in ("body", "html") else LOOSE
     return max(now, found)
 
 
 def blocks(page: str) -> list[tuple[int, str]]:
     """(level, text) of each block with text, in page order; references decoded, white space as one space."""
-    out: list[tuple[int, str]] = []
+    return [(level, text) for level, text, _ in marked_blocks(page)]
+
+
+def marked_blocks(page: str) -> list[tuple[int, str, bool]]:
+    """The blocks, and whether each is a headline (in <h1>)."""
+    out: list[tuple[int, str, bool]] = []
     stack: list[tuple[str, int]] = []
     level, pieces, at, end = LOOSE, [], 0, len(page)
 
@@ -81,7 +99,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
         if pieces:
             text = " ".join(entities.unescape("".join(pieces)).split())
             if text:
-                out.append((level, text))
+                out.append((BAD if level == SOFT else level, text, any(t == "h1" for t, _ in stack[-8:])))
             pieces.clear()
 
     while at < end:
@@ -124,6 +142,18 @@ def blocks(page: str) -> list[tuple[int, str]]:
     return out
 
 
+def main_area(found: list[tuple[int, str, bool]]) -> tuple[int, list[int]]:
+    """The level of a page's main area, and the places of its blocks: the highest level that holds its BULK of the words that are no boilerplate. An area without headline gets the last one before it."""
+    sizes = [len(text.split()) for _, text, _ in found]
+    of = lambda least: sum(n for n, (level, *_) in zip(sizes, found, strict=True) if level >= least)
+    best = next((x for x in (ARTICLE, MAIN, AREA) if of(x) and of(x) >= BULK[x] * of(LOOSE)), LOOSE)
+    at = [i for i, (level, *_) in enumerate(found) if level >= best]
+    if best > LOOSE and not any(found[i][2] for i in at):
+        before = [i for i in range(at[0]) if found[i][2] and found[i][0] >= LOOSE]
+        at = before[-1:] + at
+    return best, at
+
+
 def leads(table: WordTable, texts: list[str]) -> list[np.ndarray]:
     """For each block, the numbers of its suffixes' first RUN tokens; a shorter block has one number, for all its tokens."""
     words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
@@ -143,11 +173,11 @@ def parsed(pages: DataFrame) -> DataFrame:
         for part in text_runs(batches, "html"):
             rows = []
             for page in part["html"].where(part["html"].notna(), ""):
-                found = blocks(page)
-                best = max((level for level, _ in found), default=LOOSE)
-                loose = [t for level, t in found if level == LOOSE]
-                suffixes = leads(table, [t for level, t in found if level <= LOOSE])
-                text = " ".join(t for level, t in found if level == best) if best > LOOSE else None
+                found = marked_blocks(page)
+                best, at = main_area(found)
+                loose = [found[i][1] for i in at]
+                suffixes = leads(table, [t for level, t, _ in found if level <= LOOSE or best == LOOSE])
+                text = " ".join(loose) if best > LOOSE else None
                 rows.append((text, [] if best > LOOSE else loose, np.unique(np.concatenate(suffixes)) if suffixes else np.empty(0, np.int64)))
                 table.trim()
             out = pd.DataFrame(rows, columns=["text", "loose", "suffixes"])

@@ -65,6 +65,16 @@ def test_structure():
     assert html_text.blocks(long)[0] == (0, "deep")
 
 
+def test_names_of_state_and_the_bulk_of_a_page():
+    area = lambda page: (lambda found: [found[i][1] for i in html_text.main_area(found)[1]])(html_text.marked_blocks(page))
+    for page in ('<div class="wrapper has-sidebar"><article>a b c</article></div>', '<main class="content no-sidebar">a b c</main>', '<article class="post comments-open">a b c</article>', '<div class="content-sidebar-wrap"><article>a b c</article><p>side</p></div>'):
+        assert area(page) == ["a b c"]
+    assert area('<div class="comments"><article>first</article></div><p>x</p>') == ["x"]
+    assert area('<h1 class="entry-title">T</h1><p>all of the body</p>') == ["T", "all of the body"]
+    assert area("<main><h1>T</h1><article>body</article></main>") == ["T", "body"]
+    assert area("<header><h1>Site</h1></header><article><h1>T</h1>body</article><p>more</p>") == ["T", "body"]
+
+
 def brute_unique(pages):
     """Tokens of loose blocks that no other page of the host shares in a run of RUN; whole blocks where shorter."""
     def runs(block):
