@@ -4,11 +4,15 @@ A page is cut into blocks, each with a level: boilerplate by its tags or names (
 or inside a named content area, <main>, or <article>. The highest level that holds enough of the words is the main text, with
 the headline before it. Pages that mark no main area are left with loose blocks; of these, what a host repeats is removed.
 
-The repeats come from a suffix array over the token streams of all boilerplate and loose blocks, kept as a distributed table:
-one row per token position, keyed by host and the suffix's first RUN tokens. Suffixes that agree there sort together, and a run
-that lies in two distinct pages is a repeat; a longer repeat is a union of overlapping runs, so the covered tokens are those
-of every repeated substring of RUN tokens or more. Positions are summed up by key before they are shuffled, so neither a large
-host nor a line on all its pages meets in one task. Blocks shorter than RUN count as a whole.
+A repeat is a run of REPEAT tokens, or a whole shorter block. It goes from the text where it stands on a share of the host's
+pages (SHARE) and on LEAST pages at least, more for a short block, which may be a subheading; a longer repeat is a union of overlapping runs, so all of it goes and no more.
+Pages of which frequent runs make more than COPY of the words give no evidence: copies of one article don't make its text
+boilerplate, whatever their number.
+
+Runs are too many to be shuffled. Of the short grams in a run, the one with the least hash is its anchor, so equal runs have
+equal anchors, and only one position in four is one. Anchors are counted first; runs are formed only where their anchor is
+frequent. Everything is summed up by key before it is shuffled, so neither a large host nor a line on all its pages meets in
+one task.
 """
 
 from __future__ import annotations
@@ -23,12 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm.common import bound_batches, staged
-from quadrille.llm.words import WordTable, long_column, text_runs, windows
+from quadrille.llm.words import WordTable, long_column, mixed, text_runs, windows
 
-#: Tokens of a repeat, at least.
-RUN = 6
-#: A page without a main area that is covered to this share is a copy of another page: it is kept whole.
-COPY = 0.9
+#: Tokens of a repeat, at least, and of the grams that anchor it.
+REPEAT, RUN = 12, 6
+#: The pages of a host that a repeat stands on: their least number, and share; and those of a whole block of fewer tokens.
+LEAST, SHARE = 2, 0.2
+SHORT_LEAST, SHORT_SHARE = 3, 0.5
+#: A page with a larger share of frequent words is taken for a copy.
+COPY = 0.5
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|</?([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+)/?>|</?([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -154,33 +161,47 @@ def main_area(found: list[tuple[int, str, bool]]) -> tuple[int, list[int]]:
     return best, at
 
 
-def leads(table: WordTable, texts: list[str]) -> list[np.ndarray]:
-    """For each block, the numbers of its suffixes' first RUN tokens; a shorter block has one number, for all its tokens."""
+def leads(table: WordTable, texts: list[str], run: int = RUN) -> list[np.ndarray]:
+    """For each block, the numbers of its runs of so many tokens; a shorter block has one number, for all its tokens."""
     words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
     out = []
     for w in words:
         index = table.indexes(w)
-        out.append(windows(table.hashes[index], min(RUN, len(w))).view(np.int64))
+        out.append(windows(table.hashes[index], min(run, len(w))).view(np.int64))
     return out
 
 
+def anchors(table: WordTable, texts: list[str]) -> list[np.ndarray]:
+    """For each block, the anchor of each of its runs, in the order of ``leads`` of REPEAT tokens."""
+    out = []
+    for t in texts:
+        w = t.encode("utf-8", "surrogatepass").split()
+        hashes = table.hashes[index] if len(index := table.indexes(w)) else np.empty(0, np.uint64)
+        if len(w) < REPEAT:
+            out.append(windows(hashes, len(w)).view(np.int64))
+        else:
+            out.append(np.lib.stride_tricks.sliding_window_view(windows(hashes, RUN), REPEAT - RUN + 1).min(1).view(np.int64))
+    return out
+
+
+def of_host(numbers: np.ndarray, host: int, short: bool = False) -> np.ndarray:
+    """Numbers of runs as those of one host; the last bit says whether they are short blocks."""
+    return short | ~1 & mixed(numbers.view(np.uint64) + mixed(np.array([host], np.int64).view(np.uint64))).view(np.int64)
+
+
 def parsed(pages: DataFrame) -> DataFrame:
-    """One row per page: the main text, or for pages without a main area their loose blocks and those blocks' suffixes; and the suffixes of all boilerplate and loose blocks."""
+    """One row per page: the blocks of its main area (all loose ones where it has none), whether it has one, and its other blocks."""
     bound_batches(pages.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = WordTable()
         for part in text_runs(batches, "html"):
             rows = []
             for page in part["html"].where(part["html"].notna(), ""):
                 found = marked_blocks(page)
                 best, at = main_area(found)
-                loose = [found[i][1] for i in at]
-                suffixes = leads(table, [t for level, t, _ in found if level <= LOOSE or best == LOOSE])
-                text = " ".join(loose) if best > LOOSE else None
-                rows.append((text, [] if best > LOOSE else loose, np.unique(np.concatenate(suffixes)) if suffixes else np.empty(0, np.int64)))
-                table.trim()
-            out = pd.DataFrame(rows, columns=["text", "loose", "suffixes"])
+                inside = set(at)
+                rows.append((best > LOOSE, [found[i][1] for i in at], [text for i, (_, text, _) in enumerate(found) if i not in inside]))
+            out = pd.DataFrame(rows, columns=["area", "blocks", "others"])
             out.insert(0, "host", part["host"])
             out.insert(0, "page_key", part["page_key"])
             out.insert(0, "url", part["url"])
@@ -188,42 +209,111 @@ def parsed(pages: DataFrame) -> DataFrame:
             yield out
 
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1), F.lit("")))
-    rows = pages.select("page_id", "url", "html", F.xxhash64(F.coalesce(F.col("page_id").cast("string"), "url")).alias("page_key"), host.alias("host"))
-    return rows.mapInPandas(run, "page_id long, url string, page_key long, host string, text string, loose array<string>, suffixes array<long>").withColumn("rid", F.monotonically_increasing_id())
+    rows = pages.select("page_id", "url", "html", F.xxhash64(F.coalesce(F.col("page_id").cast("string"), "url")).alias("page_key"), F.xxhash64(host).alias("host"))
+    return rows.mapInPandas(run, "page_id long, url string, page_key long, host long, area boolean, blocks array<string>, others array<string>").withColumn("rid", F.monotonically_increasing_id())
 
 
-def repeated_suffixes(table: DataFrame) -> DataFrame:
-    """(host, lead) of the suffixes whose first tokens stand in two distinct pages of the host."""
-    positions = table.select("host", "page_key", F.explode("suffixes").alias("lead"))
-    return positions.groupBy("host", "lead").agg(F.min("page_key").alias("lo"), F.max("page_key").alias("hi")).filter("lo < hi").select("host", "lead")
+def anchor_rows(table: DataFrame) -> DataFrame:
+    """(rid, anchor) of every page, each once."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = WordTable()
+        for part in batches:
+            out = []
+            for host, texts, others in zip(part["host"], part["blocks"], part["others"], strict=True):
+                found = anchors(words, [*texts, *others])
+                out.append(np.unique(of_host(np.concatenate(found), host)) if found else np.empty(0, np.int64))
+                words.trim()
+            yield pd.DataFrame({"rid": part["rid"], "anchors": out})
+
+    return table.select("rid", "host", "blocks", "others").mapInPandas(run, "rid long, anchors array<long>").select("rid", F.explode("anchors").alias("anchor"))
+
+
+def run_rows(table: DataFrame) -> DataFrame:
+    """Of pages with ``frequent`` anchors: the runs at these in the main area (``blocks``) and elsewhere, as (rid, host, page_key, area, own, others)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = WordTable()
+        for part in batches:
+            own, others = [], []
+            for host, texts, rest, frequent in zip(part["host"], part["blocks"], part["others"], part["frequent"], strict=True):
+                known = np.asarray(frequent, np.int64)
+                for blocks_, out in ((texts, own), (rest, others)):
+                    texts_ = list(blocks_)
+                    found = [np.empty(0, np.int64)]
+                    for text, lead, anchor in zip(texts_, leads(words, texts_, REPEAT), anchors(words, texts_), strict=True):
+                        hit = np.isin(of_host(anchor, host), known)
+                        if hit.any():
+                            found.append(of_host(lead[hit], host, len(text.split()) < REPEAT))
+                    out.append(np.unique(np.concatenate(found)))
+                words.trim()
+            yield part[["rid", "host", "page_key", "area"]].assign(own=own, others=others)
+
+    return table.mapInPandas(run, "rid long, host long, page_key long, area boolean, own array<long>, others array<long>")
+
+
+def covered(texts: list[str], host: int, known: np.ndarray, table: WordTable) -> list[np.ndarray]:
+    """For each block, which of its tokens lie in known runs."""
+    out = []
+    for text, lead in zip(texts, leads(table, texts, REPEAT), strict=True):
+        n = len(text.split())
+        hit = np.flatnonzero(np.isin(of_host(lead, host, n < REPEAT), known)) if len(known) else np.empty(0, int)
+        edge = np.zeros(n + 1, int)
+        np.add.at(edge, hit, 1)
+        np.add.at(edge, np.minimum(hit + min(REPEAT, n), n), -1)
+        out.append(np.cumsum(edge)[:n] > 0)
+    return out
+
+
+def evidence(texts: list[str], host: int, known: np.ndarray, table: WordTable) -> bool:
+    """Whether frequent runs leave enough of a page, so that it is no copy."""
+    gone = covered(texts, host, known, table)
+    return sum(int(g.sum()) for g in gone) <= COPY * sum(map(len, gone))
+
+
+def uncovered(texts: list[str], host: int, known: np.ndarray, table: WordTable) -> str:
+    """What known runs leave of blocks."""
+    kept = (" ".join(w for w, g in zip(t.split(), gone, strict=True) if not g) if gone.any() else t for t, gone in zip(texts, covered(texts, host, known, table), strict=True))
+    return " ".join(t for t in kept if t)
+
+
+def boilerplate(table: DataFrame) -> DataFrame:
+    """(rid, gone): the runs of each page that its host repeats. A page of which no run goes has no row."""
+    seen = anchor_rows(table)
+    frequent = staged(seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST).select("anchor"), "op1-anchors")
+    of_page = staged(seen.join(frequent, "anchor").groupBy("rid").agg(F.collect_list("anchor").alias("frequent")), "op1-frequent")
+    runs = staged(run_rows(table.join(of_page, "rid").select("rid", "host", "page_key", "area", "blocks", "others", "frequent")), "op1-runs")
+    size = table.groupBy("host").agg(F.countDistinct("page_key").alias("pages"))
+
+    # Runs on enough pages, before copies are told.
+    least = lambda n, share: F.greatest(F.lit(n), F.ceil(F.col("pages") * share))
+    enough = F.when(F.col("lead").bitwiseAND(F.lit(1)) == 1, least(SHORT_LEAST, SHORT_SHARE)).otherwise(least(LEAST, SHARE))
+    own = runs.select("rid", "host", "page_key", F.explode("own").alias("lead"))
+    other = runs.select("host", "page_key", F.explode("others").alias("lead"))
+    count = lambda rows: rows.distinct().groupBy("host", "lead").agg(F.count(F.lit(1)).alias("n")).join(size, "host").filter(F.col("n") >= enough).select("lead")
+    common = staged(count(own.select("host", "page_key", "lead").union(other)), "op1-common")
+    held = staged(own.join(common, "lead").groupBy("rid").agg(F.collect_list("lead").alias("gone")), "op1-held")
+
+    @F.pandas_udf("boolean")
+    def tells(blocks_: pd.Series, host: pd.Series, gone: pd.Series) -> pd.Series:
+        words = WordTable()
+        return pd.Series([evidence(list(t), h, np.asarray(g, np.int64), words) for t, h, g in zip(blocks_, host, gone, strict=True)], dtype=bool)
 
-def unique_runs(texts: list[str], repeated: set[int], table: WordTable) -> str:
-    """What repeats leave of loose blocks; everything where nearly all is covered."""
-    kept, covered, total = [], 0, 0
-    for text, lead in zip(texts, leads(table, texts), strict=True):
-        words = text.split()
-        k, gone = min(RUN, len(words)), np.zeros(len(words), bool)
-        for i, x in enumerate(lead.tolist()):
-            if x in repeated:
-                gone[i : i + k] = True
-        covered, total = covered + int(gone.sum()), total + len(words)
-        kept.append(" ".join(w for w, g in zip(words, gone, strict=True) if not g))
-    return " ".join(texts) if total and covered >= COPY * total else " ".join(t for t in kept if t)
+    told = table.join(held, "rid").select("rid", "host", "page_key", tells("blocks", "host", "gone").alias("told"), "gone")
+    told = staged(told.filter("told").select("host", "page_key", F.explode("gone").alias("lead")), "op1-told")
+    sure = staged(count(told.union(other.join(common, "lead").select("host", "page_key", "lead"))), "op1-sure")
+    return held.select("rid", F.explode("gone").alias("lead")).join(sure, "lead").groupBy("rid").agg(F.collect_list("lead").alias("gone"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row. Null and empty pages give an empty text; repeated rows repeat and are no distinct pages."""
     table = staged(parsed(pages), "op1-parsed")
-    direct = table.filter("text IS NOT NULL").select("page_id", "url", "text")
-    open_ = table.filter("text IS NULL")
-    inside = open_.select("rid", "host", F.explode("suffixes").alias("lead")).join(repeated_suffixes(table), ["host", "lead"]).groupBy("rid").agg(F.collect_list("lead").alias("repeated"))
-    rest = open_.select("rid", "page_id", "url", "loose").join(inside, "rid", "left")
+    rest = table.select("rid", "page_id", "url", "host", "area", "blocks").join(staged(boilerplate(table), "op1-gone"), "rid", "left")
 
     @F.pandas_udf("string")
-    def cut(loose: pd.Series, repeated: pd.Series) -> pd.Series:
+    def cut(blocks_: pd.Series, host: pd.Series, area: pd.Series, gone: pd.Series) -> pd.Series:
         words = WordTable()
-        return pd.Series([unique_runs(list(t), set() if r is None else set(r), words) for t, r in zip(loose, repeated, strict=True)], dtype=object)
+        return pd.Series([" ".join(t) if g is None or a else uncovered(list(t), h, np.asarray(g, np.int64), words) for t, h, a, g in zip(blocks_, host, area, gone, strict=True)], dtype=object)
 
-    both = direct.union(rest.select("page_id", "url", cut("loose", "repeated").alias("text")))
-    return both.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    text = F.when(F.col("gone").isNull() | F.col("area"), F.array_join("blocks", " ")).otherwise(cut("blocks", "host", "area", "gone"))
+    return rest.select("page_id", "url", text.alias("text")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

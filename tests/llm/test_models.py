@@ -123,6 +123,21 @@ def test_repeats_are_removed_from_loose_pages(spark):
     assert html_text.main_text(frame.limit(0)).count() == 0
 
 
+def test_chance_phrases_and_copies_stay(spark):
+    rng = random.Random(8)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    phrase, article, foot, line = words(8), words(60).split(), words(14), words(4)
+    pages = {}
+    for i in range(40):
+        body = words(30).split()
+        pages[i] = [" ".join(body[:15] + (phrase.split() if i < 2 else []) + body[15:]), *(["Introduction here"] if i < 2 else [])]
+    for i in range(40, 52):  # near copies, more than LEAST and SHARE of the host
+        pages[i] = [" ".join(article[:30] + words(8).split() + article[30:])]
+    rows = [(i, "http://hot.example/x", "".join(f"<p>{b}</p>" for b in [*blocks, foot, line])) for i, blocks in pages.items()]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: " ".join(blocks) for i, blocks in pages.items()}
+
+
 def test_leads_tell_runs_apart():
     table = WordTable()
     a, b, c = html_text.leads(table, ["a b c d e f g", "b c d e f g h", "x y"])
