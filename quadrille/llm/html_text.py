@@ -5,7 +5,7 @@ or inside a named content area, <main>, or <article>. The highest level that hol
 the headline before it. Pages that mark no main area are left with loose blocks; of these, what a host repeats is removed.
 
 A repeat is a run of REPEAT tokens, or a whole shorter block. It goes from the text where it stands on a share of the host's
-pages (SHARE) and on LEAST pages at least, more for a short block, which may be a subheading; a longer repeat is a union of overlapping runs, so all of it goes and no more.
+pages (SHARE) and on LEAST pages at least, more for a short block, which may be a subheading, and in main areas, which are mostly prose; a longer repeat is a union of overlapping runs, so all of it goes and no more.
 Pages of which frequent runs make more than COPY of the words give no evidence: copies of one article don't make its text
 boilerplate, whatever their number.
 
@@ -34,6 +34,8 @@ REPEAT, RUN = 12, 6
 #: The pages of a host that a repeat stands on: their least number, and share; and those of a whole block of fewer tokens.
 LEAST, SHARE = 2, 0.2
 SHORT_LEAST, SHORT_SHARE = 3, 0.5
+#: In a main area every repeat must stand on as many pages as a short block, and has so many tokens at least.
+AREA_TOKENS = 5
 #: A page with a larger share of frequent words is taken for a copy.
 COPY = 0.5
 
@@ -171,24 +173,46 @@ def leads(table: WordTable, texts: list[str], run: int = RUN) -> list[np.ndarray
     return out
 
 
-def anchors(table: WordTable, texts: list[str]) -> list[np.ndarray]:
-    """For each block, the anchor of each of its runs, in the order of ``leads`` of REPEAT tokens."""
-    out = []
-    for t in texts:
-        w = t.encode("utf-8", "surrogatepass").split()
-        hashes = table.hashes[index] if len(index := table.indexes(w)) else np.empty(0, np.uint64)
-        if len(w) < REPEAT:
-            out.append(windows(hashes, len(w)).view(np.int64))
-        else:
-            out.append(np.lib.stride_tricks.sliding_window_view(windows(hashes, RUN), REPEAT - RUN + 1).min(1).view(np.int64))
-    return out
-
-
 def of_host(numbers: np.ndarray, host: int, short: bool = False) -> np.ndarray:
     """Numbers of runs as those of one host; the last bit says whether they are short blocks."""
     return short | ~1 & mixed(numbers.view(np.uint64) + mixed(np.array([host], np.int64).view(np.uint64))).view(np.int64)
 
 
+def all_runs(table: WordTable, pages: list[list[str]], hosts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(page, run, anchor) of all runs of blocks of pages, in bulk; numbers are those of the host, and the same as from ``leads``."""
+    words = [t.encode("utf-8", "surrogatepass").split() for texts in pages for t in texts]
+    sizes = np.array([len(w) for w in words], np.int64)
+    starts, page = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(pages)), [len(texts) for texts in pages])
+    hashes = table.hashes[index] if len(index := table.indexes([w for ws in words for w in ws])) else np.empty(0, np.uint64)
+    table.trim()
+    salt = mixed(hosts.astype(np.int64).view(np.uint64))
+    out = []
+    if len(hashes) >= REPEAT:
+        block = np.repeat(np.arange(len(sizes)), sizes)[: len(hashes) - REPEAT + 1]
+        at = np.flatnonzero(np.arange(len(block)) + REPEAT <= (starts + sizes)[block])
+        least = np.lib.stride_tricks.sliding_window_view(windows(hashes, RUN), REPEAT - RUN + 1).min(1)
+        out.append((page[block[at]], windows(hashes, REPEAT)[at], least[at], 0))
+    for k in range(1, REPEAT):
+        of = np.flatnonzero(sizes == k)
+        if len(of):
+            number = windows(hashes[starts[of][:, None] + np.arange(k)].T, k)[0] if k > 1 else windows(hashes[starts[of]], 1)
+            out.append((page[of], number, number, 1))
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    host = lambda p, x: mixed(x + salt[p]).view(np.int64) & ~1
+    return np.concatenate([p for p, *_ in out]), np.concatenate([host(p, x) | short for p, x, _, short in out]), np.concatenate([host(p, a) for p, _, a, _ in out])
+
+
+def by_page(page: np.ndarray, numbers: np.ndarray, n: int) -> list[np.ndarray]:
+    """The distinct numbers of each of n pages."""
+    order = np.lexsort((numbers, page))
+    page, numbers = page[order], numbers[order]
+    new = np.ones(len(page), bool)
+    new[1:] = (page[1:] != page[:-1]) | (numbers[1:] != numbers[:-1])
+    page, numbers = page[new], numbers[new]
+    return np.split(numbers, np.searchsorted(page, np.arange(1, n))) if n else []
+
+
 def parsed(pages: DataFrame) -> DataFrame:
     """One row per page: the blocks of its main area (all loose ones where it has none), whether it has one, and its other blocks."""
     bound_batches(pages.sparkSession)
@@ -219,12 +243,8 @@ def anchor_rows(table: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordTable()
         for part in batches:
-            out = []
-            for host, texts, others in zip(part["host"], part["blocks"], part["others"], strict=True):
-                found = anchors(words, [*texts, *others])
-                out.append(np.unique(of_host(np.concatenate(found), host)) if found else np.empty(0, np.int64))
-                words.trim()
-            yield pd.DataFrame({"rid": part["rid"], "anchors": out})
+            page, _, anchor = all_runs(words, [[*t, *o] for t, o in zip(part["blocks"], part["others"], strict=True)], part["host"].to_numpy())
+            yield pd.DataFrame({"rid": part["rid"], "anchors": by_page(page, anchor, len(part))})
 
     return table.select("rid", "host", "blocks", "others").mapInPandas(run, "rid long, anchors array<long>").select("rid", F.explode("anchors").alias("anchor"))
 
@@ -235,19 +255,12 @@ def run_rows(table: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordTable()
         for part in batches:
-            own, others = [], []
-            for host, texts, rest, frequent in zip(part["host"], part["blocks"], part["others"], part["frequent"], strict=True):
-                known = np.asarray(frequent, np.int64)
-                for blocks_, out in ((texts, own), (rest, others)):
-                    texts_ = list(blocks_)
-                    found = [np.empty(0, np.int64)]
-                    for text, lead, anchor in zip(texts_, leads(words, texts_, REPEAT), anchors(words, texts_), strict=True):
-                        hit = np.isin(of_host(anchor, host), known)
-                        if hit.any():
-                            found.append(of_host(lead[hit], host, len(text.split()) < REPEAT))
-                    out.append(np.unique(np.concatenate(found)))
-                words.trim()
-            yield part[["rid", "host", "page_key", "area"]].assign(own=own, others=others)
+            known, found = np.unique(np.concatenate([*part["frequent"], np.empty(0, np.int64)]).astype(np.int64)), {}
+            for name, column in (("own", "blocks"), ("others", "others")):
+                page, lead, anchor = all_runs(words, [list(t) for t in part[column]], part["host"].to_numpy())
+                hit = np.isin(anchor, known)
+                found[name] = by_page(page[hit], lead[hit], len(part))
+            yield part[["rid", "host", "page_key", "area"]].assign(**found)
 
     return table.mapInPandas(run, "rid long, host long, page_key long, area boolean, own array<long>, others array<long>")
 
@@ -271,9 +284,9 @@ def evidence(texts: list[str], host: int, known: np.ndarray, table: WordTable) -
     return sum(int(g.sum()) for g in gone) <= COPY * sum(map(len, gone))
 
 
-def uncovered(texts: list[str], host: int, known: np.ndarray, table: WordTable) -> str:
-    """What known runs leave of blocks."""
-    kept = (" ".join(w for w, g in zip(t.split(), gone, strict=True) if not g) if gone.any() else t for t, gone in zip(texts, covered(texts, host, known, table), strict=True))
+def uncovered(texts: list[str], host: int, known: np.ndarray, table: WordTable, tokens: int = 0) -> str:
+    """What known runs leave of blocks; blocks of less than so many tokens stay."""
+    kept = (" ".join(w for w, g in zip(t.split(), gone, strict=True) if not g) if gone.any() and len(gone) >= tokens else t for t, gone in zip(texts, covered(texts, host, known, table), strict=True))
     return " ".join(t for t in kept if t)
 
 
@@ -288,21 +301,21 @@ def boilerplate(table: DataFrame) -> DataFrame:
     # Runs on enough pages, before copies are told.
     least = lambda n, share: F.greatest(F.lit(n), F.ceil(F.col("pages") * share))
     enough = F.when(F.col("lead").bitwiseAND(F.lit(1)) == 1, least(SHORT_LEAST, SHORT_SHARE)).otherwise(least(LEAST, SHARE))
-    own = runs.select("rid", "host", "page_key", F.explode("own").alias("lead"))
+    own = runs.select("rid", "host", "page_key", "area", F.explode("own").alias("lead"))
     other = runs.select("host", "page_key", F.explode("others").alias("lead"))
-    count = lambda rows: rows.distinct().groupBy("host", "lead").agg(F.count(F.lit(1)).alias("n")).join(size, "host").filter(F.col("n") >= enough).select("lead")
-    common = staged(count(own.select("host", "page_key", "lead").union(other)), "op1-common")
-    held = staged(own.join(common, "lead").groupBy("rid").agg(F.collect_list("lead").alias("gone")), "op1-held")
+    count = lambda rows: rows.distinct().groupBy("host", "lead").agg(F.count(F.lit(1)).alias("n")).join(size, "host").filter(F.col("n") >= enough).select("lead", (F.col("n") >= least(SHORT_LEAST, SHORT_SHARE)).alias("wide"))
+    common = staged(count(own.select("host", "page_key", "lead").union(other)).select("lead"), "op1-common")
+    held = staged(own.join(common, "lead").groupBy("rid", "area").agg(F.collect_list("lead").alias("gone")), "op1-held")
 
     @F.pandas_udf("boolean")
     def tells(blocks_: pd.Series, host: pd.Series, gone: pd.Series) -> pd.Series:
         words = WordTable()
         return pd.Series([evidence(list(t), h, np.asarray(g, np.int64), words) for t, h, g in zip(blocks_, host, gone, strict=True)], dtype=bool)
 
-    told = table.join(held, "rid").select("rid", "host", "page_key", tells("blocks", "host", "gone").alias("told"), "gone")
+    told = table.join(held.drop("area"), "rid").select("rid", "host", "page_key", tells("blocks", "host", "gone").alias("told"), "gone")
     told = staged(told.filter("told").select("host", "page_key", F.explode("gone").alias("lead")), "op1-told")
     sure = staged(count(told.union(other.join(common, "lead").select("host", "page_key", "lead"))), "op1-sure")
-    return held.select("rid", F.explode("gone").alias("lead")).join(sure, "lead").groupBy("rid").agg(F.collect_list("lead").alias("gone"))
+    return held.select("rid", "area", F.explode("gone").alias("lead")).join(sure, "lead").filter("wide OR NOT area").groupBy("rid").agg(F.collect_list("lead").alias("gone"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -313,7 +326,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     @F.pandas_udf("string")
     def cut(blocks_: pd.Series, host: pd.Series, area: pd.Series, gone: pd.Series) -> pd.Series:
         words = WordTable()
-        return pd.Series([" ".join(t) if g is None or a else uncovered(list(t), h, np.asarray(g, np.int64), words) for t, h, a, g in zip(blocks_, host, area, gone, strict=True)], dtype=object)
+        return pd.Series([" ".join(t) if g is None else uncovered(list(t), h, np.asarray(g, np.int64), words, AREA_TOKENS if a else 0) for t, h, a, g in zip(blocks_, host, area, gone, strict=True)], dtype=object)
 
-    text = F.when(F.col("gone").isNull() | F.col("area"), F.array_join("blocks", " ")).otherwise(cut("blocks", "host", "area", "gone"))
+    text = F.when(F.col("gone").isNull(), F.array_join("blocks", " ")).otherwise(cut("blocks", "host", "area", "gone"))
     return rest.select("page_id", "url", text.alias("text")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

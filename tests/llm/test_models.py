@@ -138,6 +138,21 @@ def test_chance_phrases_and_copies_stay(spark):
     assert got == {i: " ".join(blocks) for i, blocks in pages.items()}
 
 
+def test_repeats_go_from_main_areas_too(spark):
+    rng = random.Random(9)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    letter, advert, prose = words(8), words(15), words(20)
+    rows, want = [], {}
+    for i in range(12):
+        texts = ["Read on", words(40), *([prose] if i < 4 else [])]
+        shown = [*texts, letter, *([advert] if i % 3 else [])]
+        rows.append((i, "http://a.example/x", "<nav>Menu</nav><article>" + "".join(f"<p>{t}</p>" for t in shown) + "</article>"))
+        want[i] = " ".join(texts)
+    rows += [(100 + i, "http://copies.example/x", f"<article><p>{prose}</p><p>{letter}</p></article>") for i in range(5)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want | {100 + i: f"{prose} {letter}" for i in range(5)}
+
+
 def test_leads_tell_runs_apart():
     table = WordTable()
     a, b, c = html_text.leads(table, ["a b c d e f g", "b c d e f g h", "x y"])
