@@ -4,6 +4,9 @@ Template words are ordered by their frequency in the corpus, rarest first. A blo
 ``threshold`` of a template must hold one of its first words (prefix filter); the places of the shared word in both orders
 bound the overlap (positional filter) and the number of template words in the block bounds it too (length filter).
 What remains is verified on the whole sets. Templates are a fixed list, so their index is small whatever the corpus.
+
+Blocks are lines, and overlapping windows of words across lines for notices that are wrapped: for each template, windows of
+twice its words, a template's words apart, so that a notice lies in one of them wherever it begins.
 """
 
 from __future__ import annotations
@@ -112,6 +115,26 @@ def block_matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return pairs.filter(overlap >= F.col("least")).select("doc_id", "text_key", "line", "template", (overlap / F.col("size")).alias("containment")).distinct()
 
 
+def most_in_window(n: int, own: Column) -> Column:
+    """The most distinct words of a template of n words in any window of ``words``."""
+    return F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(F.size("words"), F.lit(1)), F.lit(n)), lambda s: F.size(F.array_intersect(F.slice("words", s, F.lit(2 * n)), own))))
+
+
+def wrapped_matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Every (row, template) of which a window of words, whatever its lines, contains at least ``threshold`` of the template's words, with the containment."""
+    text, cells = text_of(docs), []
+    held = docs.select("doc_id", F.xxhash64(text).alias("text_key"), known_words(text).alias("held"), text.alias("block"))
+    for name, template in TEMPLATES.items():
+        known, n = words_in(template), len(re.findall(WORD + "+", template))
+        least, own = math.ceil(threshold * len(known) - 1e-9), F.split(F.lit(" ".join(known)), " ")
+        most = most_in_window(n, own)
+        cells.append((name, F.size(F.array_intersect("held", own)) >= least, F.when(F.array_contains("fits", name), most), least, len(known)))
+    fits = F.array_compact(F.array(*(F.when(fit, F.lit(name)) for name, fit, *_ in cells)))
+    near = held.withColumn("fits", fits).filter(F.size("fits") > 0).withColumn("words", F.array_remove(F.split(F.lower("block"), BREAK + "+"), ""))
+    each = F.array(*(F.struct(F.lit(name).alias("template"), most.alias("most"), F.lit(least).alias("least"), F.lit(size).alias("size")) for name, _, most, least, size in cells))
+    return near.select("doc_id", "text_key", F.explode(each).alias("x")).filter("x.most >= x.least").select("doc_id", "text_key", "x.template", (F.col("x.most") / F.col("x.size")).alias("containment"))
+
+
 def label_of(template: Column) -> Column:
     """Templates of a phrase's license share its label."""
     return F.when(template.startswith("mit"), "mit").when(template.startswith("apache"), "apache").when(template.startswith("gpl"), "gpl").otherwise(template)
@@ -121,7 +144,8 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Labels of every row. Null and empty texts have no words and no labels; equal rows get equal answers; only narrow rows are shuffled."""
     text = text_of(docs)
     base = docs.select("doc_id", F.xxhash64(text).alias("text_key"), *(c.alias(k) for k, c in base_columns(text).items()))
-    found = block_matches(docs, threshold).groupBy("doc_id", "text_key").agg(F.collect_set(label_of(F.col("template"))).alias("more"), F.max("containment").alias("best"))
+    matched = block_matches(docs, threshold).drop("line").union(wrapped_matches(docs, threshold))
+    found = matched.groupBy("doc_id", "text_key").agg(F.collect_set(label_of(F.col("template"))).alias("more"), F.max("containment").alias("best"))
     found = found.withColumnsRenamed({"doc_id": "__id", "text_key": "__key"})
     both = base.join(found, base["doc_id"].eqNullSafe(found["__id"]) & (base["text_key"] == found["__key"]), "left")
     more = F.coalesce("more", F.array().cast("array<string>"))

@@ -1,4 +1,5 @@
 import re
+import textwrap
 import zlib
 from collections import Counter
 from hashlib import sha256
@@ -100,6 +101,26 @@ def test_license_blocks_equal_brute_force(spark, sf_dir):
         assert expected
 
 
+def test_wrapped_notices_are_found(spark):
+    rows, want = [], {}
+    for i, (name, template) in enumerate(licenses.TEMPLATES.items()):
+        for at, width in ((0, 24), (1, 40), (2, 76)):
+            lines = textwrap.wrap("Some words of a file stand here before it. " * at + template, width)
+            rows.append((10 * i + at, "\n".join(f" * {line}" for line in lines)))
+            want[10 * i + at] = name
+    rows.append((1000, "\n".join(f"{w} and many other words that lie between those of one notice" * 3 for w in licenses.words_in(licenses.TEMPLATES["mpl-2.0"]))))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {}
+    for r in licenses.wrapped_matches(frame).collect():
+        found.setdefault(r.doc_id, set()).add(r.template)
+        assert r.containment >= licenses.THRESHOLD
+    assert all(name in found[i] for i, name in want.items()) and 1000 not in found
+    got = {r.doc_id: r for r in licenses.scan(frame).collect()}
+    for i, name in want.items():
+        assert any(name.startswith(x) for x in got[i].labels.split(",") if x) and got[i].score >= licenses.THRESHOLD
+    assert got[1000].labels == ""
+
+
 def brute_rules(text):
     text = text or ""
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
