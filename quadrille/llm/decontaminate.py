@@ -1,10 +1,12 @@
 """Benchmark decontamination by templates.
 
 Words become canonical: numbers, units after numbers, and names turn into typed placeholders. Runs of WINDOW canonical words
-of the benchmark are indexed by hash, and every run of every document is looked up; plain runs (no placeholder for names) are
-looked up too, so that a change of case hides nothing. Hits are confirmed word by word and put together per item: the share
-of the item's words that are covered must reach COVER, and its slots must be filled consistently (one value of the item
-always stands for one value of the document), which tells a question with new numbers from chance.
+of the benchmark are indexed by hash, and every run of every document is looked up; plain runs (no placeholders) are looked
+up too, so that a change of case hides nothing, and runs where names at the start of sentences are placeholders as well. Hits
+are confirmed word by word, extended to both sides, and put together per item: the share of the item's words that are covered
+must reach COVER, enough of them as they are, and its slots must be filled consistently (one value of the item always stands
+for one value of the document), which tells a question with new numbers from chance. A long verbatim run is enough by itself.
+Items of few words are found verbatim only, as wholes.
 
 The index is broadcast in blocks of a bounded number of words; a larger benchmark takes several passes over the documents.
 """
@@ -25,12 +27,14 @@ from quadrille.llm.common import bound_batches
 from quadrille.llm.words import long_column, text_runs, windows
 
 WINDOW = 8
-#: The least number of words of a run that are no placeholders.
-LITERALS = 5
+#: The least share of an item's covered words that must be the same words and no slots, unless all are the same, and their number.
+SAME, SAME_WORDS = 0.3, 3
+#: So many consecutive words of an item are reported whatever share of it they are.
+VERBATIM = 13
 COVER = 0.5
 #: The least share of an item's slots whose value stands for one value of the document.
 CONSISTENT = 0.8
-#: An item with fewer words is never looked for; one with fewer than WINDOW is looked for as a whole.
+#: An item with fewer words is looked for verbatim; one with fewer than WINDOW is looked for as a whole.
 LEAST_WORDS = 4
 #: Words of the benchmark in one broadcast.
 BLOCK_WORDS = 2_000_000
@@ -66,8 +70,8 @@ class Canon(dict):
         self.stops.append(word[-1] in ".!?:")
         return index
 
-    def read(self, words: list[str], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index, plain hash, kind) of each word of texts that begin at ``starts``."""
+    def read(self, words: list[str], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(index, plain hash, kind, kind with names at the start of sentences) of each word of texts that begin at ``starts``."""
         index = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
         known = len(self.hashes)
         if known < len(self.plain):
@@ -79,9 +83,10 @@ class Canon(dict):
         before_ends[1:], before_num[1:] = self.ends[index[:-1]], kind[:-1] == NUM
         first = starts[starts < len(index)]
         before_ends[first], before_num[first] = True, False
-        kind[(kind == NAME) & before_ends] = LITERAL
         kind[(kind == UNIT) & ~before_num] = LITERAL
-        return index, self.hashes[index], kind
+        named = kind.copy()
+        kind[(kind == NAME) & before_ends] = LITERAL
+        return index, self.hashes[index], kind, named
 
     def trim(self) -> None:
         if len(self.plain) > KEEP:
@@ -101,14 +106,15 @@ class Index:
         self.places: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
         canon = Canon()
         for row, (_, text) in enumerate(items):
-            index, plain, kind = canon.read((text or "").split(), np.zeros(1, np.int64))
+            index, plain, kind, named = canon.read((text or "").split(), np.zeros(1, np.int64))
             n = len(index)
-            if n < LEAST_WORDS:
+            if not n:
                 continue
             k = min(n, WINDOW)
-            self.words[row] = ([canon.plain[i] for i in index], kind, template(plain, kind))
-            literal = np.convolve(kind == LITERAL, np.ones(k, int), "valid") >= min(LITERALS, k)
-            for hashes, fits in ((windows(template(plain, kind), k), literal), (windows(plain, k), np.ones(n - k + 1, bool))):
+            self.words[row] = ([canon.plain[i] for i in index], kind, named)
+            # A run of placeholders alone says nothing by itself; extension reaches it from its neighbours.
+            some = lambda kinds: (np.convolve(kinds == LITERAL, np.ones(k, int), "valid") > 0) & (n >= LEAST_WORDS)  # noqa: E731, B023
+            for hashes, fits in ((windows(template(plain, kind), k), some(kind)), (windows(template(plain, named), k), some(named)), (windows(plain, k), np.ones(n - k + 1, bool))):
                 for at in np.flatnonzero(fits).tolist():
                     if (row, at) not in self.places[k, int(hashes[at])]:
                         self.places[k, int(hashes[at])].append((row, at))
@@ -118,36 +124,64 @@ class Index:
         for k, known in self.sorted.items():
             self.maybe[k][known >> np.uint64(44)] = True
 
-    def hits(self, plain: np.ndarray, kind: np.ndarray) -> list[tuple[int, int, int]]:
+    def hits(self, plain: np.ndarray, kind: np.ndarray, named: np.ndarray) -> list[tuple[int, int, int]]:
         """(place, words, hash) of every window that is known, in order."""
-        both, found = template(plain, kind), set()
+        forms, found = (template(plain, kind), template(plain, named), plain), set()
         for k, known in self.sorted.items():
-            for hashes in (windows(both, k), windows(plain, k)):
+            for hashes in (windows(form, k) for form in forms):
                 at = np.flatnonzero(self.maybe[k][hashes >> np.uint64(44)])
                 at = at[np.isin(hashes[at], known)]
                 found |= {(i, k, int(hashes[i])) for i in at.tolist()}
         return sorted(found)
 
-    def judge(self, words: list[str], kind: np.ndarray, hits: list[tuple[int, int, int]]) -> list[tuple[int, float, bool]]:
-        """(item row, share of its words covered, whether slots were filled anew) of every item found in a text, from its hits."""
-        cover: dict[int, set[int]] = defaultdict(set)
-        slots: dict[int, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
+    def judge(self, words: list[str], kind: np.ndarray, named: np.ndarray, hits: list[tuple[int, int, int]]) -> list[tuple[int, float, bool]]:
+        """(item row, share of its words covered, whether slots were filled anew) of every item found in a text, from its hits.
+
+        A hit places the whole item against the text: the words around it that match as well belong to it.
+        """
+        spans: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for i, k, h in hits:
             for row, at in self.places[k, h]:
-                item_words, item_kind, _ = self.words[row]
-                pairs = [(words[i + j], item_words[at + j], int(kind[i + j]), int(item_kind[at + j])) for j in range(k)]
-                if all(a == b or (x == y != LITERAL) for a, b, x, y in pairs):
-                    for j, (a, b, _, y) in enumerate(pairs):
-                        if at + j not in cover[row]:
-                            cover[row].add(at + j)
-                            if y != LITERAL:
-                                slots[row][b][a] += 1
+                shift, last = i - at, spans[row][i - at]
+                if last and at + k <= last[-1][1]:
+                    continue
+                item_words, item_kind, item_named = self.words[row]
+                fits = lambda j: words[shift + j] == item_words[j] or (named[shift + j] == item_named[j] != LITERAL) or (kind[shift + j] == item_kind[j] != LITERAL)  # noqa: E731, B023
+                if len(item_words) < LEAST_WORDS and words[i : i + k] != item_words or not all(map(fits, range(at, at + k))):
+                    continue
+                start, end = at, at + k
+                while start > max(0, -shift) and fits(start - 1):
+                    start -= 1
+                while end < min(len(item_words), len(words) - shift) and fits(end):
+                    end += 1
+                last.append((start, end))
         out = []
-        for row, covered in cover.items():
-            share = len(covered) / len(self.words[row][0])
-            consistent = sum(max(c.values()) for c in slots[row].values()) >= CONSISTENT * sum(sum(c.values()) for c in slots[row].values())
-            if share >= COVER and consistent:
-                out.append((row, share, any(a != b for b, c in slots[row].items() for a in c)))
+        for row, by_shift in spans.items():
+            item_words, item_kind, _ = self.words[row]
+            cover: set[int] = set()
+            slots: dict[str, Counter] = defaultdict(Counter)
+            same = run = longest = 0
+            for shift, found in by_shift.items():
+                for start, end in found:
+                    run = 0
+                    for j in range(start, end):
+                        a, b = words[shift + j], item_words[j]
+                        run = run + 1 if a == b else 0
+                        longest = max(longest, run)
+                        if j not in cover:
+                            cover.add(j)
+                            if item_kind[j] != LITERAL or a != b:
+                                slots[b][a] += 1
+                            else:
+                                same += 1
+            if not cover:
+                continue
+            share = len(cover) / len(item_words)
+            consistent = sum(max(c.values()) for c in slots.values()) >= CONSISTENT * sum(sum(c.values()) for c in slots.values())
+            anew = any(a != b for b, c in slots.items() for a in c)
+            likely = not anew or same >= max(SAME_WORDS, SAME * len(cover))
+            if share >= COVER and consistent and likely or longest >= VERBATIM:
+                out.append((row, share, anew))
         return out
 
     def search(self, texts: list[str], canon: Canon) -> list[list[tuple[int, float, bool]]]:
@@ -155,16 +189,16 @@ class Index:
         split = [t.split() for t in texts]
         sizes = np.array([len(w) for w in split], np.int64)
         starts = np.cumsum(sizes) - sizes
-        index, plain, kind = canon.read([w for ws in split for w in ws], starts)
+        index, plain, kind, named = canon.read([w for ws in split for w in ws], starts)
         of: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for i, k, h in self.hits(plain, kind):
+        for i, k, h in self.hits(plain, kind, named):
             text = int(np.searchsorted(starts, i, side="right")) - 1
             if i + k <= starts[text] + sizes[text]:
                 of[text].append((i - int(starts[text]), k, h))
         out: list[list[tuple[int, float, bool]]] = [[] for _ in texts]
         for text, hits in of.items():
             part = slice(int(starts[text]), int(starts[text] + sizes[text]))
-            out[text] = self.judge([canon.plain[i] for i in index[part]], kind[part], hits)
+            out[text] = self.judge([canon.plain[i] for i in index[part]], kind[part], named[part], hits)
         canon.trim()
         return out
 
@@ -203,7 +237,7 @@ def matches(docs: DataFrame, items: list[tuple[int, str]], last: bool = True) ->
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Every row of ``docs`` with the items it contains: doc_id, contaminated, n_items, items, coverage, reparameterised.
 
-    Null and empty texts contain nothing, nor does anything contain a null or very short item; repeated rows repeat.
+    Null and empty texts contain nothing, nor does anything contain a null or empty item; repeated rows repeat.
     """
     out, found = docs.select("doc_id", "text", *(F.expr(e).alias(k) for k, e in EMPTY.items())), list(blocks(benchmark))
     for i, block in enumerate(found):

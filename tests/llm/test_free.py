@@ -171,6 +171,19 @@ def test_decontamination_equals_brute_force(spark, sf_dir, monkeypatch):
     assert {r.doc_id: list(r["items"]) for r in decontaminate.decontaminate(frame, table).collect()} == want
 
 
+def test_decontamination_finds_what_is_dense_short_or_long(spark):
+    rng = random.Random(4)
+    long = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(100)).split()
+    items = [(1, "What is 12 times 7 plus 30?"), (2, "Alice has 3 apples. Bob has 5 pears. Carol buys 4 of them for 2 days."), (3, "Seven odd words"), (4, " ".join(long)), (5, "1 2 3 4 5 6 7 8 9 10")]
+    docs = [
+        (1, "so What is 15 times 9 plus 44? he said"), (2, "Then. Dora has 6 apples. Emil has 9 pears. Fritz buys 8 of them for 7 days. End"), (3, "these are seven odd words indeed"),
+        (4, "before " + " ".join(long[30:70]) + " after"), (5, "only " + " ".join(long[30:42]) + " here"), (6, "20 31 42 53 64 75 86 97 18 29 and 3 apples"), (7, "seven words"), (8, "x 1 2 3 4 5 6 7 8 9 10 y"),
+        (9, "What was 15 times in 9 and 44?"),
+    ]
+    got = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: (list(r["items"]), r.reparameterised) for r in got} == {1: ([1], True), 2: ([2], True), 3: ([3], False), 4: ([4], False), 5: ([], False), 6: ([], False), 7: ([], False), 8: ([5], False), 9: ([], False)}
+
+
 def test_decontamination_edges(spark, sf_dir):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     assert decontaminate.decontaminate(edge.frame(spark, edge.CLASHES), bench).count() == len(edge.rows())
