@@ -316,7 +316,8 @@ def score(docs: DataFrame) -> DataFrame:
     texts = docs.filter(~held_out(F.col("doc_id"))).count()
     whole = counts.agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n")).first()
     n, v = (whole["n"] or 0) + texts, whole["v"] + (texts > 0)
-    heavy = counts.filter(F.col("c") >= heavy_from(counts)).select("h", "c").toArrow().to_pandas()
+    least = heavy_from(counts)
+    heavy = counts.filter(F.col("c") >= least).select("h", "c").toArrow().to_pandas()
     lexicon = Lexicon(heavy["h"].to_numpy(np.int64), heavy["c"].to_numpy(np.int64))
     table = staged(encoded(docs, lexicon), "op6-encoded")
 
@@ -332,8 +333,7 @@ def score(docs: DataFrame) -> DataFrame:
         model = baum_welch(table, model)
 
     rare = table.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("h"), F.col("x.times").alias("m"))
-    least = int(lexicon.c.min()) if len(lexicon.c) else 0
-    found = rare.join(counts.filter(F.col("c") <= least).select("h", "c"), "h", "left").select("rid", "m", F.coalesce("c", F.lit(0)).alias("c"))
+    found = rare.join(counts.filter(F.col("c") < least).select("h", "c"), "h", "left").select("rid", "m", F.coalesce("c", F.lit(0)).alias("c"))
     sums = found.groupBy("rid").agg(F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("rare_known"), F.sum(F.col("m") * F.log10(F.col("c") + SMOOTH)).alias("rare_sum"))
     narrow = table.select("rid", "doc_id", "held_out", "n_tokens", "heavy_known", "heavy_sum", "heavy_shaped")
     joined = narrow.join(class_likelihood(table, model, room), "rid").join(sums, "rid", "left")

@@ -228,6 +228,14 @@ def test_language_model_base_equals_brute_force(spark, sf_dir, monkeypatch):
     assert hmm.score(edge.frame(spark).limit(0)).count() == 0
 
 
+def test_language_model_with_too_many_equal_counts(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "HEAVY", 20)  # the top step of counts has more tokens
+    rows = [(i, " ".join(f"id{i}x{j}" for j in range(6)) + " " + " ".join(f"all{j}" for j in range(30))) for i in range(12)]
+    got = hmm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert by_key((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got) == by_key(brute_base(rows))
+    assert all(math.isfinite(r.score) and r.score < 0 for r in got)
+
+
 def small_model(rng):
     norm = lambda x, axis: x / x.sum(axis, keepdims=True)
     return norm(rng.random(3), 0), norm(rng.random((3, 3)), 1), norm(rng.random((hmm.CLASSES, 3)), 0)
