@@ -1,25 +1,28 @@
-"""Main text of web pages: structure first, then repeats across the pages of a host.
+"""Main text of web pages: structure proposes the main area, a suffix array over the pages of each host removes what repeats.
 
 A page is cut into blocks, each with a level: boilerplate by its tags or names (menus, headers, footers, notices, ...), loose,
-or inside a named content area, <main>, or <article>. The highest level that holds enough of the words is the main text, with
-the headline before it. Pages that mark no main area are left with loose blocks; of these, what a host repeats is removed.
-
-A repeat is a run of REPEAT tokens, or a whole shorter block. It goes from the text where it stands on a share of the host's
-pages (SHARE) and on LEAST pages at least, more for a short block, which may be a subheading, and in main areas, which are mostly prose; a longer repeat is a union of overlapping runs, so all of it goes and no more.
-Pages of which frequent runs make more than COPY of the words give no evidence: copies of one article don't make its text
-boilerplate, whatever their number.
-
-Runs are too many to be shuffled. Of the short grams in a run, the one with the least hash is its anchor, so equal runs have
-equal anchors, and only one position in four is one. Anchors are counted first; runs are formed only where their anchor is
-frequent. Everything is summed up by key before it is shuffled, so neither a large host nor a line on all its pages meets in
-one task.
+or inside a named content area, <main>, or <article>. The highest level that holds enough of the words is the main area, with
+the headline before it; a page that marks none has its loose blocks. The token streams of these areas, of all pages of a host,
+are then concatenated and their suffixes sorted by prefix doubling, to the depth of REPEAT tokens: equal substrings of that
+length lie side by side, so the pages that hold each are counted along the order. A longer repeat is a union of such
+substrings, so all of it is covered and no more. A shorter block repeats as a whole.
+
+A repeat goes where it stands on a share of the host's pages (SHARE) and on LEAST pages at least, more for a short block,
+which may be a subheading, and in main areas, which are mostly prose. Pages of which frequent repeats make more than COPY of
+the words give no evidence: copies of one article don't make its text boilerplate, whatever their number.
+
+A large host is dealt in chunks of about CHUNK pages. What stands on a share of all its pages stands on that share of the pages of
+one batch of chunks at least, so each batch's suffix array gives candidates, and only these are counted over the whole host:
+one row per batch and candidate. Neither a large host nor a line on all its pages meets in one task, and texts are dealt once.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -29,8 +32,8 @@ from pyspark.sql import functions as F
 from quadrille.llm.common import bound_batches, staged
 from quadrille.llm.words import WordTable, long_column, mixed, text_runs, windows
 
-#: Tokens of a repeat, at least, and of the grams that anchor it.
-REPEAT, RUN = 12, 6
+#: Tokens of a repeat, at least.
+REPEAT = 12
 #: The pages of a host that a repeat stands on: their least number, and share; and those of a whole block of fewer tokens.
 LEAST, SHARE = 2, 0.2
 SHORT_LEAST, SHORT_SHARE = 3, 0.5
@@ -38,8 +41,13 @@ SHORT_LEAST, SHORT_SHARE = 3, 0.5
 AREA_TOKENS = 5
 #: A page with a larger share of frequent words is taken for a copy.
 COPY = 0.5
+#: Pages and characters of a chunk of a large host, about; and the characters whose suffixes are sorted together.
+CHUNK, CHUNK_CHARS, BATCH_CHARS = 32, 4 << 20, 8 << 20
+#: Pages that share one copy of a large host's repeats, where these are too many to send to every task (SENT numbers).
+PAGES_PER_COPY, SENT = 256, 4_000_000
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|</?([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+)/?>|</?([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+COMMENT = re.compile(r"<!--.*()()()()\Z", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 QUOTED = re.compile("\"[^\"]*\"|'[^']*'")
 #: Names of elements, as the HTML standard has them.
@@ -103,6 +111,8 @@ def marked_blocks(page: str) -> list[tuple[int, str, bool]]:
     out: list[tuple[int, str, bool]] = []
     stack: list[tuple[str, int]] = []
     level, pieces, at, end = LOOSE, [], 0, len(page)
+    opened: Counter = Counter()
+    last = page.rfind(">")  # no tag ends behind it
 
     def flush() -> None:
         if pieces:
@@ -112,7 +122,7 @@ def marked_blocks(page: str) -> list[tuple[int, str, bool]]:
             pieces.clear()
 
     while at < end:
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(page, at) if at <= last else COMMENT.search(page, at)
         if level != GONE:
             pieces.append(page[at : m.start() if m else end])
         if not m:
@@ -130,12 +140,13 @@ def marked_blocks(page: str) -> list[tuple[int, str, bool]]:
         if closes:
             if tag not in INLINE:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if stack[i][1] != level:
+            while opened[tag]:  # else nothing to close; what is walked over is gone, so the walk is short
+                name, before = stack.pop()
+                opened[name] -= 1
+                if name == tag:
+                    if before != level:
                         flush()
-                    level = stack[i][1]
-                    del stack[i:]
+                    level = before
                     break
             continue
         if tag not in INLINE:
@@ -146,6 +157,7 @@ def marked_blocks(page: str) -> list[tuple[int, str, bool]]:
         if inside != level:
             flush()
         stack.append((tag, level))
+        opened[tag] += 1
         level = inside
     flush()
     return out
@@ -163,170 +175,253 @@ def main_area(found: list[tuple[int, str, bool]]) -> tuple[int, list[int]]:
     return best, at
 
 
-def leads(table: WordTable, texts: list[str], run: int = RUN) -> list[np.ndarray]:
-    """For each block, the numbers of its runs of so many tokens; a shorter block has one number, for all its tokens."""
-    words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-    out = []
-    for w in words:
-        index = table.indexes(w)
-        out.append(windows(table.hashes[index], min(run, len(w))).view(np.int64))
+class Streams:
+    """The token streams of pages, one after the other: a number per token (its host's own), and the block and page of each."""
+
+    def __init__(self, table: WordTable, pages: list[list[str]], hosts: np.ndarray):
+        words = [t.encode("utf-8", "surrogatepass").split() for texts in pages for t in texts]
+        self.sizes = np.array([len(w) for w in words], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.block_page = np.repeat(np.arange(len(pages)), [len(texts) for texts in pages])
+        index = table.indexes([w for ws in words for w in ws])
+        self.block = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.page = self.block_page[self.block]
+        salt = mixed(np.asarray(hosts, np.int64).view(np.uint64))
+        self.tokens = mixed(table.hashes[index] + salt[self.page]) if len(index) else np.empty(0, np.uint64)
+        table.trim()
+
+    def suffix_ranks(self) -> np.ndarray:
+        """The rank of the suffix at each place by its first REPEAT tokens; prefixes are doubled from one token on."""
+        rank, depth = np.unique(self.tokens, return_inverse=True)[1], 1
+        while depth < REPEAT and len(rank):
+            step = min(depth, REPEAT - depth)
+            rank = np.unique(rank[:-step] * (len(rank) + 1) + rank[step:], return_inverse=True)[1]
+            depth += step
+        return rank
+
+
+@dataclass(frozen=True)
+class Runs:
+    """The runs of REPEAT tokens of some streams and their whole shorter blocks: first token, length, page, group of equal ones, and the number that says the same everywhere (its last bit: a short block)."""
+
+    start: np.ndarray
+    length: np.ndarray
+    page: np.ndarray
+    group: np.ndarray
+    number: np.ndarray
+
+    @staticmethod
+    def of(s: Streams, order: bool = True) -> Runs:
+        """With ``order``, equal runs are told by the suffix order; else groups are left out and only numbers count."""
+        start = np.arange(max(0, len(s.tokens) - REPEAT + 1))
+        start = start[start + REPEAT <= (s.starts + s.sizes)[s.block[start]]]
+        number = windows(s.tokens, REPEAT)[start].view(np.int64) & ~1
+        group = s.suffix_ranks()[start] if order and len(start) else np.empty(0, np.int64)
+        parts = [(start, np.full(len(start), REPEAT), number)]
+        for k in range(1, REPEAT):
+            first = s.starts[s.sizes == k]
+            if len(first):
+                parts.append((first, np.full(len(first), k), windows(s.tokens[first[:, None] + np.arange(k)].T, k)[0].view(np.int64) | 1))
+        start, length, number = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if order:
+            short = np.unique(number[len(group) :], return_inverse=True)[1]
+            group = np.concatenate([group, short + (group.max() + 1 if len(group) else 0)])
+        return Runs(start, length, s.page[start] if len(start) else np.empty(0, np.int64), group, number)
+
+    def pages(self, key: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """For each run, how many distinct pages (by their key) hold its group, of the runs in ``which``."""
+        if not len(self.group):
+            return np.empty(0, np.int64)
+        n = int(key.max()) + 1
+        pairs = np.unique(self.group[which] * n + key[self.page[which]])
+        return np.bincount(pairs // n, minlength=int(self.group.max()) + 1)[self.group]
+
+    def covers(self, which: np.ndarray, n: int) -> np.ndarray:
+        """Which of the n tokens lie in a run of ``which``."""
+        at, to = self.start[which], self.start[which] + self.length[which]
+        return np.cumsum(np.bincount(at, minlength=n + 1) - np.bincount(to, minlength=n + 1))[:n] > 0
+
+
+def least_pages(pages, least: int, share: float):
+    """The least number of pages that a repeat must stand on."""
+    return np.maximum(least, np.ceil(np.asarray(pages) * share))
+
+
+def enough(runs: Runs, n: np.ndarray, pages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each run on n of its host's pages: whether these are enough, and whether they are enough in main areas."""
+    of = pages[runs.page]
+    wide = n >= least_pages(of, SHORT_LEAST, SHORT_SHARE)
+    return np.where(runs.number & 1 == 1, wide, n >= least_pages(of, LEAST, SHARE)), wide
+
+
+def originals(s: Streams, runs: Runs, common: np.ndarray, n_pages: int) -> np.ndarray:
+    """Which pages are no copies: common runs leave enough of them."""
+    gone = np.bincount(s.page, runs.covers(common, len(s.tokens)), n_pages)
+    return gone <= COPY * np.bincount(s.page, minlength=n_pages)
+
+
+def remains(s: Streams, runs: Runs, sure: np.ndarray, wide: np.ndarray, pages: list[list[str]], area: np.ndarray) -> list[str]:
+    """The text of each page without its repeats: in main areas only wide ones, and only from blocks of AREA_TOKENS or more."""
+    in_area = area[runs.page] if len(runs.page) else np.empty(0, bool)
+    gone = runs.covers(sure & (wide | ~in_area), len(s.tokens))
+    gone &= ~area[s.page] | (s.sizes[s.block] >= AREA_TOKENS) if len(gone) else gone
+    hit = np.zeros(len(s.sizes), bool)
+    hit[s.block[gone]] = True
+    out, at = [], 0
+    for texts in pages:
+        kept = []
+        for t in texts:
+            if hit[at]:
+                first = s.starts[at]
+                t = " ".join([w for w, g in zip(t.split(), gone[first : first + s.sizes[at]].tolist(), strict=True) if not g])
+            at += 1
+            if t:
+                kept.append(t)
+        out.append(" ".join(kept))
     return out
 
 
-def of_host(numbers: np.ndarray, host: int, short: bool = False) -> np.ndarray:
-    """Numbers of runs as those of one host; the last bit says whether they are short blocks."""
-    return short | ~1 & mixed(numbers.view(np.uint64) + mixed(np.array([host], np.int64).view(np.uint64))).view(np.int64)
-
-
-def all_runs(table: WordTable, pages: list[list[str]], hosts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(page, run, anchor) of all runs of blocks of pages, in bulk; numbers are those of the host, and the same as from ``leads``."""
-    words = [t.encode("utf-8", "surrogatepass").split() for texts in pages for t in texts]
-    sizes = np.array([len(w) for w in words], np.int64)
-    starts, page = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(pages)), [len(texts) for texts in pages])
-    hashes = table.hashes[index] if len(index := table.indexes([w for ws in words for w in ws])) else np.empty(0, np.uint64)
-    table.trim()
-    salt = mixed(hosts.astype(np.int64).view(np.uint64))
-    out = []
-    if len(hashes) >= REPEAT:
-        block = np.repeat(np.arange(len(sizes)), sizes)[: len(hashes) - REPEAT + 1]
-        at = np.flatnonzero(np.arange(len(block)) + REPEAT <= (starts + sizes)[block])
-        least = np.lib.stride_tricks.sliding_window_view(windows(hashes, RUN), REPEAT - RUN + 1).min(1)
-        out.append((page[block[at]], windows(hashes, REPEAT)[at], least[at], 0))
-    for k in range(1, REPEAT):
-        of = np.flatnonzero(sizes == k)
-        if len(of):
-            number = windows(hashes[starts[of][:, None] + np.arange(k)].T, k)[0] if k > 1 else windows(hashes[starts[of]], 1)
-            out.append((page[of], number, number, 1))
-    if not out:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    host = lambda p, x: mixed(x + salt[p]).view(np.int64) & ~1
-    return np.concatenate([p for p, *_ in out]), np.concatenate([host(p, x) | short for p, x, _, short in out]), np.concatenate([host(p, a) for p, _, a, _ in out])
-
-
-def by_page(page: np.ndarray, numbers: np.ndarray, n: int) -> list[np.ndarray]:
-    """The distinct numbers of each of n pages."""
-    order = np.lexsort((numbers, page))
-    page, numbers = page[order], numbers[order]
-    new = np.ones(len(page), bool)
-    new[1:] = (page[1:] != page[:-1]) | (numbers[1:] != numbers[:-1])
-    page, numbers = page[new], numbers[new]
-    return np.split(numbers, np.searchsorted(page, np.arange(1, n))) if n else []
-
-
-def parsed(pages: DataFrame) -> DataFrame:
-    """One row per page: the blocks of its main area (all loose ones where it has none), whether it has one, and its other blocks."""
-    bound_batches(pages.sparkSession)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in text_runs(batches, "html"):
-            rows = []
-            for page in part["html"].where(part["html"].notna(), ""):
-                found = marked_blocks(page)
-                best, at = main_area(found)
-                inside = set(at)
-                rows.append((best > LOOSE, [found[i][1] for i in at], [text for i, (_, text, _) in enumerate(found) if i not in inside]))
-            out = pd.DataFrame(rows, columns=["area", "blocks", "others"])
-            out.insert(0, "host", part["host"])
-            out.insert(0, "page_key", part["page_key"])
-            out.insert(0, "url", part["url"])
-            out.insert(0, "page_id", long_column(part["page_id"]))
-            yield out
-
+def dealt(pages: DataFrame) -> DataFrame:
+    """The pages with their host and chunk, and for hosts of more than one chunk their number of pages; equal chunks lie together, in order."""
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1), F.lit("")))
     rows = pages.select("page_id", "url", "html", F.xxhash64(F.coalesce(F.col("page_id").cast("string"), "url")).alias("page_key"), F.xxhash64(host).alias("host"))
-    return rows.mapInPandas(run, "page_id long, url string, page_key long, host long, area boolean, blocks array<string>, others array<string>").withColumn("rid", F.monotonically_increasing_id())
-
-
-def anchor_rows(table: DataFrame) -> DataFrame:
-    """(rid, anchor) of every page, each once."""
+    narrow = rows.select("host", "page_key", F.coalesce(F.length("html"), F.lit(0)).alias("chars"))
+    chunks = F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK, F.sum("chars") / CHUNK_CHARS)).cast("long").alias("chunks")
+    # Not known to be few, so the planner picks the join; a host of one chunk has no row.
+    large = staged(narrow.groupBy("host").agg(F.countDistinct("page_key").alias("pages"), chunks).filter("chunks > 1"), "op1-hosts")
+    return rows.join(large, "host", "left").withColumn("chunk", F.when(F.col("chunks") > 1, F.pmod(F.xxhash64("page_key"), F.col("chunks"))).otherwise(0))
+
+
+#: What a batch says: a page that is done, a page of a large host, or the candidates of a large host.
+DONE, OPEN, CANDIDATES = range(3)
+KINDS = "kind int, page_id long, url string, host long, page_key long, pages long, area boolean, first boolean, blocks array<string>, text string, numbers array<long>"
+
+
+def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The main blocks of each page in place of its html, and whether they are a marked area."""
+    for part in text_runs(batches, "html"):
+        rows = []
+        for page in part["html"].where(part["html"].notna(), ""):
+            found = marked_blocks(page)
+            best, at = main_area(found)
+            rows.append((best > LOOSE, [found[i][1] for i in at]))
+        yield pd.DataFrame({"page_id": long_column(part["page_id"]), "url": part["url"], "host": part["host"], "page_key": part["page_key"], "pages": part["pages"], "chunk": part["chunk"], "area": [a for a, _ in rows], "blocks": [b for _, b in rows]})
+
+
+def whole_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of about BATCH_CHARS that end where a chunk ends, if the chunk's host is a small one. ``first``: the page's first row."""
+    held: list[pd.DataFrame] = []
+    size, chunk, seen = 0, None, set()
+    for part in batches:
+        first = []
+        for h, c, key in zip(part["host"], part["chunk"], part["page_key"], strict=True):
+            if (h, c) != chunk:
+                chunk, seen = (h, c), set()
+            first.append(key not in seen)
+            seen.add(key)
+        held.append(part.assign(first=first))
+        size += sum(len(t) for texts in part["blocks"] for t in texts)
+        if size >= BATCH_CHARS:
+            whole = pd.concat(held, ignore_index=True)
+            last = whole.iloc[-1]
+            # A host of one chunk has few pages and characters, so little is kept back.
+            keep = np.flatnonzero(whole["host"] == last["host"]) if pd.isna(last["pages"]) else np.empty(0, int)
+            cut = len(whole) - len(keep)
+            if cut:
+                yield whole.iloc[:cut]
+            held = [whole.iloc[cut:]] if len(keep) else []
+            size = sum(len(t) for texts in whole["blocks"].iloc[cut:] for t in texts)
+    if held and len(whole := pd.concat(held, ignore_index=True)):
+        yield whole
+
+
+def searched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sort the suffixes of each batch: pages of small hosts lose their repeats, large hosts get candidates."""
+    words = WordTable()
+    for part in whole_chunks(batches):
+        texts, area = [list(t) for t in part["blocks"]], part["area"].to_numpy(bool)
+        s = Streams(words, texts, part["host"].to_numpy())
+        runs = Runs.of(s)
+        key = np.unique(part["page_key"], return_inverse=True)[1]
+        host, of_host = np.unique(part["host"], return_inverse=True)
+        here = np.bincount(np.unique(of_host * (int(key.max()) + 1) + key) // (int(key.max()) + 1), minlength=len(host))[of_host]
+        everywhere = np.ones(len(runs.start), bool)
+        common, _ = enough(runs, n := runs.pages(key, everywhere), here)
+        large = part["pages"].notna().to_numpy()
+        told = originals(s, runs, common, len(texts))
+        sure, wide = enough(runs, runs.pages(key, told[runs.page] if len(runs.page) else everywhere), here)
+        out = part[["page_id", "url", "host", "page_key", "pages", "area", "first"]].assign(kind=np.where(large, OPEN, DONE), page_id=long_column(part["page_id"]), pages=long_column(part["pages"]))
+        yield out.assign(blocks=[t if x else None for t, x in zip(texts, large, strict=True)], text=[None if x else t for t, x in zip(remains(s, runs, sure, wide, texts, area), large, strict=True)], numbers=None)
+        # A share of the host's pages is that share of the pages of one batch at least; LEAST says nothing about a part of the pages.
+        n_here = here[runs.page] if len(runs.page) else n
+        maybe = (n >= np.where(runs.number & 1 == 1, SHORT_SHARE, SHARE) * n_here) & (large[runs.page] if len(runs.page) else everywhere)
+        if maybe.any():
+            rows = pd.DataFrame({"host": part["host"].to_numpy()[runs.page[maybe]], "number": runs.number[maybe], "pages": part["pages"].to_numpy()[runs.page[maybe]]}).drop_duplicates(["host", "number"])
+            found = rows.groupby("host").agg(numbers=("number", list), pages=("pages", "first")).reset_index()
+            yield pd.DataFrame({"host": found["host"], "kind": CANDIDATES, "pages": long_column(found["pages"]), "numbers": found["numbers"]}).reindex(columns=[x.split()[0] for x in KINDS.split(", ")]).astype(object).where(lambda d: d.notna(), None)
+
+
+def with_numbers(pages: DataFrame, numbers: DataFrame, how: str = "inner") -> DataFrame:
+    """Join each page of a large host with its host's ``numbers`` (and ``wide``): sent to all tasks where they are few, else dealt by host and a part of its pages."""
+    columns = [c for c in numbers.columns if c not in ("host", "pages")]
+    total = numbers.agg(F.sum(F.size("numbers"))).first()[0] or 0
+    if total <= SENT:
+        return pages.join(F.broadcast(numbers.drop("pages")), "host", how)
+    copies = F.ceil(F.col("pages") / PAGES_PER_COPY)
+    each = numbers.select("host", *columns, F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("part"))
+    return pages.withColumn("part", F.pmod(F.xxhash64("page_key", F.lit(1)), copies)).join(each, ["host", "part"], how).drop("part")
+
+
+def counted(pages: DataFrame, evidence: bool) -> DataFrame:
+    """(host, numbers, wide) of the candidates in ``numbers`` that enough pages of their host hold; with ``evidence`` only pages that are no copies count."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordTable()
-        for part in batches:
-            page, _, anchor = all_runs(words, [[*t, *o] for t, o in zip(part["blocks"], part["others"], strict=True)], part["host"].to_numpy())
-            yield pd.DataFrame({"rid": part["rid"], "anchors": by_page(page, anchor, len(part))})
-
-    return table.select("rid", "host", "blocks", "others").mapInPandas(run, "rid long, anchors array<long>").select("rid", F.explode("anchors").alias("anchor"))
-
-
-def run_rows(table: DataFrame) -> DataFrame:
-    """Of pages with ``frequent`` anchors: the runs at these in the main area (``blocks``) and elsewhere, as (rid, host, page_key, area, own, others)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordTable()
-        for part in batches:
-            known, found = np.unique(np.concatenate([*part["frequent"], np.empty(0, np.int64)]).astype(np.int64)), {}
-            for name, column in (("own", "blocks"), ("others", "others")):
-                page, lead, anchor = all_runs(words, [list(t) for t in part[column]], part["host"].to_numpy())
-                hit = np.isin(anchor, known)
-                found[name] = by_page(page[hit], lead[hit], len(part))
-            yield part[["rid", "host", "page_key", "area"]].assign(**found)
-
-    return table.mapInPandas(run, "rid long, host long, page_key long, area boolean, own array<long>, others array<long>")
-
-
-def covered(texts: list[str], host: int, known: np.ndarray, table: WordTable) -> list[np.ndarray]:
-    """For each block, which of its tokens lie in known runs."""
-    out = []
-    for text, lead in zip(texts, leads(table, texts, REPEAT), strict=True):
-        n = len(text.split())
-        hit = np.flatnonzero(np.isin(of_host(lead, host, n < REPEAT), known)) if len(known) else np.empty(0, int)
-        edge = np.zeros(n + 1, int)
-        np.add.at(edge, hit, 1)
-        np.add.at(edge, np.minimum(hit + min(REPEAT, n), n), -1)
-        out.append(np.cumsum(edge)[:n] > 0)
-    return out
-
-
-def evidence(texts: list[str], host: int, known: np.ndarray, table: WordTable) -> bool:
-    """Whether frequent runs leave enough of a page, so that it is no copy."""
-    gone = covered(texts, host, known, table)
-    return sum(int(g.sum()) for g in gone) <= COPY * sum(map(len, gone))
-
-
-def uncovered(texts: list[str], host: int, known: np.ndarray, table: WordTable, tokens: int = 0) -> str:
-    """What known runs leave of blocks; blocks of less than so many tokens stay."""
-    kept = (" ".join(w for w, g in zip(t.split(), gone, strict=True) if not g) if gone.any() and len(gone) >= tokens else t for t, gone in zip(texts, covered(texts, host, known, table), strict=True))
-    return " ".join(t for t in kept if t)
-
-
-def boilerplate(table: DataFrame) -> DataFrame:
-    """(rid, gone): the runs of each page that its host repeats. A page of which no run goes has no row."""
-    seen = anchor_rows(table)
-    frequent = staged(seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST).select("anchor"), "op1-anchors")
-    of_page = staged(seen.join(frequent, "anchor").groupBy("rid").agg(F.collect_list("anchor").alias("frequent")), "op1-frequent")
-    runs = staged(run_rows(table.join(of_page, "rid").select("rid", "host", "page_key", "area", "blocks", "others", "frequent")), "op1-runs")
-    size = table.groupBy("host").agg(F.countDistinct("page_key").alias("pages"))
-
-    # Runs on enough pages, before copies are told.
+        for part in text_runs(batches, "joined"):
+            s = Streams(words, [list(t) for t in part["blocks"]], part["host"].to_numpy())
+            runs = Runs.of(s, order=False)
+            known = np.unique(np.concatenate([np.asarray(x, np.int64) for x in part.drop_duplicates("host")["numbers"]]))
+            hit = np.isin(runs.number, known)
+            counts = part["first"].to_numpy(bool)
+            if evidence:
+                counts = counts & originals(s, runs, hit, len(part))
+            at = np.flatnonzero(hit & counts[runs.page]) if len(runs.page) else np.empty(0, np.int64)
+            rows = pd.DataFrame({"page": runs.page[at], "number": runs.number[at]}).drop_duplicates()
+            rows["host"], rows["pages"] = part["host"].to_numpy()[rows["page"]], part["pages"].to_numpy()[rows["page"]]
+            yield rows.groupby(["host", "pages", "number"]).size().rename("n").reset_index()
+
+    seen = pages.withColumn("joined", F.array_join("blocks", " ")).mapInPandas(run, "host long, pages long, number long, n long").groupBy("host", "pages", "number").agg(F.sum("n").alias("n"))
     least = lambda n, share: F.greatest(F.lit(n), F.ceil(F.col("pages") * share))
-    enough = F.when(F.col("lead").bitwiseAND(F.lit(1)) == 1, least(SHORT_LEAST, SHORT_SHARE)).otherwise(least(LEAST, SHARE))
-    own = runs.select("rid", "host", "page_key", "area", F.explode("own").alias("lead"))
-    other = runs.select("host", "page_key", F.explode("others").alias("lead"))
-    count = lambda rows: rows.distinct().groupBy("host", "lead").agg(F.count(F.lit(1)).alias("n")).join(size, "host").filter(F.col("n") >= enough).select("lead", (F.col("n") >= least(SHORT_LEAST, SHORT_SHARE)).alias("wide"))
-    common = staged(count(own.select("host", "page_key", "lead").union(other)).select("lead"), "op1-common")
-    held = staged(own.join(common, "lead").groupBy("rid", "area").agg(F.collect_list("lead").alias("gone")), "op1-held")
-
-    @F.pandas_udf("boolean")
-    def tells(blocks_: pd.Series, host: pd.Series, gone: pd.Series) -> pd.Series:
-        words = WordTable()
-        return pd.Series([evidence(list(t), h, np.asarray(g, np.int64), words) for t, h, g in zip(blocks_, host, gone, strict=True)], dtype=bool)
-
-    told = table.join(held.drop("area"), "rid").select("rid", "host", "page_key", tells("blocks", "host", "gone").alias("told"), "gone")
-    told = staged(told.filter("told").select("host", "page_key", F.explode("gone").alias("lead")), "op1-told")
-    sure = staged(count(told.union(other.join(common, "lead").select("host", "page_key", "lead"))), "op1-sure")
-    return held.select("rid", "area", F.explode("gone").alias("lead")).join(sure, "lead").filter("wide OR NOT area").groupBy("rid").agg(F.collect_list("lead").alias("gone"))
+    wide, short = F.col("n") >= least(SHORT_LEAST, SHORT_SHARE), F.col("number").bitwiseAND(F.lit(1)) == 1
+    kept = seen.filter(F.when(short, wide).otherwise(F.col("n") >= least(LEAST, SHARE)))
+    return kept.groupBy("host", "pages").agg(F.collect_list("number").alias("numbers"), F.collect_list(F.when(wide, F.col("number"))).alias("wide"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row. Null and empty pages give an empty text; repeated rows repeat and are no distinct pages."""
-    table = staged(parsed(pages), "op1-parsed")
-    rest = table.select("rid", "page_id", "url", "host", "area", "blocks").join(staged(boilerplate(table), "op1-gone"), "rid", "left")
-
-    @F.pandas_udf("string")
-    def cut(blocks_: pd.Series, host: pd.Series, area: pd.Series, gone: pd.Series) -> pd.Series:
-        words = WordTable()
-        return pd.Series([" ".join(t) if g is None else uncovered(list(t), h, np.asarray(g, np.int64), words, AREA_TOKENS if a else 0) for t, h, a, g in zip(blocks_, host, area, gone, strict=True)], dtype=object)
-
-    text = F.when(F.col("gone").isNull(), F.array_join("blocks", " ")).otherwise(cut("blocks", "host", "area", "gone"))
-    return rest.select("page_id", "url", text.alias("text")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    bound_batches(pages.sparkSession)
+    rows = dealt(pages).mapInPandas(parsed, "page_id long, url string, host long, page_key long, pages long, chunk long, area boolean, blocks array<string>")
+    found = staged(rows.repartition("host", "chunk").sortWithinPartitions("host", "chunk").mapInPandas(searched, KINDS), "op1-searched")
+    open_ = found.filter(F.col("kind") == OPEN).select("page_id", "url", "host", "page_key", "pages", "area", "first", "blocks")
+    numbers = found.filter(F.col("kind") == CANDIDATES).select("host", "pages", F.explode("numbers").alias("number")).distinct().groupBy("host", "pages").agg(F.collect_list("number").alias("numbers"))
+    numbers = staged(numbers, "op1-candidates")
+    for name in ("common", "sure"):  # the second count leaves copies out
+        if not numbers.isEmpty():
+            numbers = staged(counted(with_numbers(open_, numbers), evidence=name == "sure"), f"op1-{name}")
+    if "wide" not in numbers.columns or numbers.isEmpty():
+        text = open_.select("page_id", "url", F.array_join("blocks", " ").alias("text"))
+    else:
+
+        @F.pandas_udf("string")
+        def cut(blocks_: pd.Series, host: pd.Series, area: pd.Series, sure: pd.Series, wide: pd.Series) -> pd.Series:
+            words, out = WordTable(), []
+            for i, texts in enumerate(blocks_):
+                s = Streams(words, [list(texts)], host.iloc[i : i + 1].to_numpy())
+                runs = Runs.of(s, order=False)
+                out += remains(s, runs, np.isin(runs.number, sure.iloc[i]), np.isin(runs.number, wide.iloc[i]), [list(texts)], area.iloc[i : i + 1].to_numpy(bool))
+            return pd.Series(out, dtype=object)
+
+        all_ = with_numbers(open_, numbers, "left")
+        text = all_.select("page_id", "url", F.when(F.col("numbers").isNull(), F.array_join("blocks", " ")).otherwise(cut("blocks", "host", "area", "numbers", "wide")).alias("text"))
+    both = found.filter(F.col("kind") == DONE).select("page_id", "url", "text").union(text)
+    return both.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from html.parser import HTMLParser
@@ -76,10 +77,10 @@ def test_names_of_state_and_the_bulk_of_a_page():
 
 
 def brute_unique(pages):
-    """Tokens of loose blocks that no other page of the host shares in a run of RUN; whole blocks where shorter."""
+    """Tokens of loose blocks that no other page of the host shares in a run of REPEAT; whole blocks where shorter."""
     def runs(block):
         w = block.split()
-        k = min(html_text.RUN, len(w))
+        k = min(html_text.REPEAT, len(w))
         return [(k, tuple(w[i : i + k])) for i in range(len(w) - k + 1)]
 
     where = {}
@@ -153,10 +154,56 @@ def test_repeats_go_from_main_areas_too(spark):
     assert got == want | {100 + i: f"{prose} {letter}" for i in range(5)}
 
 
-def test_leads_tell_runs_apart():
-    table = WordTable()
-    a, b, c = html_text.leads(table, ["a b c d e f g", "b c d e f g h", "x y"])
-    assert a[1] == b[0] and a[0] != b[1] and len(a) == 2 and len(c) == 1
+def test_suffix_order_counts_equal_runs():
+    rng = np.random.default_rng(4)
+    table, hosts = WordTable(), rng.integers(0, 2, 30)
+    pages = [[" ".join(map(str, rng.integers(0, 2, n))) for n in rng.integers(1, 40, 3)] for _ in range(30)]
+    streams = html_text.Streams(table, pages, hosts)
+    runs = html_text.Runs.of(streams)
+    where = {}
+    for p, texts in enumerate(pages):
+        for t in texts:
+            w = t.split()
+            k = min(html_text.REPEAT, len(w))
+            for i in range(len(w) - k + 1):
+                where.setdefault((hosts[p], tuple(w[i : i + k]), k < html_text.REPEAT), set()).add(p)
+    got = runs.pages(np.arange(30), np.ones(len(runs.start), bool))
+    flat = [w for texts in pages for t in texts for w in t.split()]
+    assert len(got) == sum(max(1, len(t.split()) - html_text.REPEAT + 1) for texts in pages for t in texts)
+    for start, length, page, n in zip(runs.start, runs.length, runs.page, got, strict=True):
+        assert len(where[hosts[page], tuple(flat[start : start + length]), length < html_text.REPEAT]) == n
+    assert len(np.unique(runs.number)) == len(np.unique(runs.group)) == len(where)
+
+
+def test_large_hosts_equal_whole_ones(spark, monkeypatch):
+    """Chunks and candidates give what one suffix array over the whole host gives."""
+    rng = random.Random(12)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    lines, article = [words(n) for n in (3, 7, 13, 20)], words(80).split()
+    rows = []
+    for i in range(300):
+        blocks = [words(30), *(x for k, x in enumerate(lines) if rng.random() < (0.15, 0.6, 0.3, 0.9)[k])]
+        if i % 9 == 0:
+            blocks = [" ".join(article[: i // 9 + 20] + words(3).split() + article[i // 9 + 20 :])]
+        tag = "article" if i % 3 else "div"
+        rows.append((i, f"http://{'big' if i % 4 else 'other'}.example/x", f"<{tag}>" + "".join(f"<p>{b}</p>" for b in blocks) + f"</{tag}>"))
+    rows += rows[:40]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    get = lambda: sorted(map(tuple, html_text.main_text(frame).collect()))
+    chunked = get()
+    monkeypatch.setattr(html_text, "SENT", 0)
+    assert get() == chunked
+    monkeypatch.setattr(html_text, "CHUNK", 10_000)
+    assert get() == chunked and len(chunked) == 340
+    text = " ".join(t for _, _, t, _ in chunked)
+    assert lines[3] not in text and " ".join(article[-20:]) in text
+
+
+def test_malformed_pages_take_linear_time():
+    for page in ("<a " * 300_000, "<p>x" * 100_000 + "</b>" * 100_000, "<!" * 400_000, "<a b=\"" * 150_000, "<!--" * 200_000, "<b>" * 200_000 + "</i>" * 50_000, "<script>" * 50_000, "&" * 400_000, "<p " * 200_000 + ">"):
+        began = time.process_time()
+        html_text.marked_blocks(page)
+        assert time.process_time() - began < 5, page[:20]
 
 
 def test_classifier_on_held_out_rows(spark):
