@@ -63,7 +63,7 @@ def known_words(text: Column) -> Column:
 def base_columns(text: Column) -> dict[str, Column]:
     """Whether and where phrases stand. A word's number is the count of words before it."""
     has = text.rlike(PHRASE)
-    before = F.substring(text, F.lit(1), F.regexp_instr(text, F.lit(PHRASE)) - 1)
+    before = F.element_at(F.split(text, PHRASE, 2), 1)
     tail = F.element_at(F.split(text, PHRASE, -1), -1)
     last = F.element_at(F.regexp_extract_all(text, F.lit(PHRASE), F.lit(0)), -1)
     label = lambda p, name: F.when(text.rlike(f"(?<!{WORD})(?i:{f'{BREAK}+'.join(p.split())})(?!{WORD})"), name)

@@ -59,7 +59,7 @@ def measures(docs: DataFrame) -> DataFrame:
     hashed = F.transform("words", lambda w: F.xxhash64(w))
     starts = F.when(
         n >= 3,
-        F.array_sort(F.zip_with(F.sequence(F.lit(0), n - 3), F.slice("hashes", 1, F.greatest(n - 2, F.lit(0))), lambda i, h: F.struct(F.xxhash64(h, F.get("hashes", i + 1), F.get("hashes", i + 2)).alias("h"), i.alias("i")))),
+        F.sort_array(F.zip_with(F.sequence(F.lit(0), n - 3), F.slice("hashes", 1, F.greatest(n - 2, F.lit(0))), lambda i, h: F.struct(F.xxhash64(h, F.get("hashes", i + 1), F.get("hashes", i + 2)).alias("h"), i.alias("i")))),
     )
     same = lambda i, j: F.get("starts", i)["h"].eqNullSafe(F.get("starts", j)["h"])
     repeated = F.transform(F.filter("starts", lambda x, k: F.when(k > 0, same(k, k - 1)).otherwise(F.lit(False)) | same(k, k + 1)), lambda x: x["i"])
@@ -130,9 +130,13 @@ def choose(counts: list[dict], risk: float = RISK, delta: float = DELTA) -> list
 
 
 def calibrate(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> list[Cutoff]:
-    """Cutoffs from the labelled rows: quality 1 is clean, 0 is bad; other labels count as neither. At most one row per stratum returns."""
+    """Cutoffs from the labelled rows: quality 1 is clean, 0 is bad; other labels count as neither. At most one row per stratum returns.
+
+    A repeated id is one trial of the binomial, however many rows it has: the least of its rows is taken.
+    """
     marks = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = measured.withColumn("stratum", stratum(F.col("lang"))).withColumns(rule_values()).join(marks, "doc_id")
+    each = measured.withColumn("stratum", stratum(F.col("lang"))).withColumns(rule_values()).join(marks, "doc_id")
+    rows = each.groupBy("doc_id").agg(F.min(F.struct("stratum", *RULES, "quality")).alias("x")).select("x.*")
     clean, bad = F.col("quality") == 1, F.col("quality") == 0
     sums = [F.count_if(clean).alias("clean")] + [F.count_if(which & (F.col(rule) > c)).alias(f"{rule}_{i}_{name}") for rule, cutoffs in RULES.items() for i, c in enumerate(cutoffs) for name, which in (("clean", clean), ("bad", bad))]
     return choose([r.asDict() for r in rows.groupBy("stratum").agg(*sums).orderBy("stratum").collect()], risk, delta)

@@ -22,6 +22,8 @@ TEXTS = [
     "don't stop believing I'll ΣΣ İstanbul 12345 <|endoftext|> x<|startoftext|>y &amp; 中文字 café \x1c z",
     "### *** $$$ %%% &&& word | pipe | <tag> " * 12,
     "THTHER!! ONERSTAN!! FOR!! " * 30,
+    "\U0001f600" * 30 + " hello MIT License and more words follow here now ok",
+    "My SSN is 123-45-6789, no. 123-45-6789 of " + "\U0001f600 " * 600 + "x@y.zz and 1.2.3.4 " + "z" * 1023 + " a@b.cc" * 40,
 ]
 
 

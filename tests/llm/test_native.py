@@ -1,4 +1,5 @@
 import re
+import time
 import textwrap
 import zlib
 from collections import Counter
@@ -72,6 +73,23 @@ def test_pii_spans_and_redaction(spark):
     assert pii.redact(docs).columns[:5] == docs.columns
 
 
+def test_many_spans_in_a_text(spark):
+    """Time grows with the text, and pieces are put together again as they were."""
+    n = 16_000
+    docs = spark.createDataFrame([(1, " a@b.co \U0001f600" * n), (2, " 10.0.0.1 x@y.zz" * 100)], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in pii.pii_digest(docs).collect()}
+    assert got[1].n_email == n and got[1].spans.startswith("email:1:7,email:10:16,") and got[2].n_ip == got[2].n_email == 100
+    red = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert red[1] == " [EMAIL] \U0001f600" * n and red[2] == " [IP] [EMAIL]" * 100
+    assert time.time() - began < 60
+
+
+def test_context_decides_on_numbers_without_checksum(spark):
+    docs = spark.createDataFrame([(1, "my ssn: 123-45-6789"), (2, "part 123-45-6789 of x"), (3, "123-45-6789 (social security)")], "doc_id long, text string")
+    assert {r.doc_id: r.spans for r in pii.pii_digest(docs).collect()} == {1: "ssn:8:19", 2: "", 3: "ssn:0:11"}
+
+
 def brute_license(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     at, labels = [], set()
