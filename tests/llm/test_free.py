@@ -124,10 +124,39 @@ def test_near_duplicates_in_chains_and_large_buckets(spark):
     assert by_key(tuple(r) for r in near_dup.near_duplicates(frame).collect()) == by_key(brute_components(rows))
 
 
+def test_near_duplicates_around_the_threshold(spark):
+    """Random pairs on both sides of 0.75, families whose members are linked without their centre, and a family of hundreds: recall and precision are 1 here."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**7)}"
+    rows = []
+
+    def edited(words, n):
+        out = list(words)
+        for at in rng.sample(range(len(out)), n):
+            out[at] = word()
+        return out
+
+    for _ in range(150):
+        words = [word() for _ in range(rng.randrange(40, 300))]
+        rows += [words, edited(words, max(1, round(len(words) * rng.uniform(0.01, 0.05))))]
+    for _ in range(2):  # excerpts of one long text, and edits of the excerpts
+        words = [word() for _ in range(400)]
+        rows.append(words)
+        for size in range(120, 400, 9):
+            rows.append(edited(words[:size], rng.randrange(0, 9)))
+    core = [word() for _ in range(200)]
+    odd = edited(core, 9)
+    rows += [edited(core, rng.randrange(1, 4)) for _ in range(500)] + [edited(odd, rng.randrange(1, 5)) for _ in range(40)]
+    rng.shuffle(rows)
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    assert by_key(map(tuple, got)) == by_key(brute_components(rows))
+
+
 def test_one_of_each_with_shared_ids(spark):
-    rows = [(1, "a b c d e f g"), (1, "A b c d e f g"), (1, "other words are in this text"), (2, "a b c d e f g"), (2, "alone but of a shared id"), (3, ""), (3, None), (None, "a b c d e f g")]
+    rows = [(1, "a b c d e f g"), (1, "A b c d e f g"), (1, "other words are in this text"), (2, "a b c d e f g"), (2, "alone but of a shared id"), (3, ""), (3, None), (None, "a b c d e f g"), (None, "no row of this has any id"), (None, "No row of this has any id"), (None, "no row of this has any id")]
     got = near_dup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((r.doc_id or 0, (r.text or "").lower()) for r in got) == [(0, "a b c d e f g"), (1, "a b c d e f g"), (1, "other words are in this text"), (2, "alone but of a shared id"), (3, ""), (3, "")]
+    assert sorted((r.doc_id or 0, (r.text or "").lower()) for r in got) == [(0, "no row of this has any id"), (1, "a b c d e f g"), (1, "other words are in this text"), (2, "alone but of a shared id"), (3, ""), (3, "")]
 
 
 def test_near_duplicates_without_ids_or_rows(spark):
