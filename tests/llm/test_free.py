@@ -195,11 +195,58 @@ def test_decontamination_equals_brute_force(spark, sf_dir, monkeypatch):
     frame, table = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     got = decontaminate.decontaminate(frame, table).collect()
     assert {r.doc_id: list(r["items"]) for r in got} == want and any(want.values())
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 400)  # several blocks, the same answers
-    assert len(list(decontaminate.blocks(table))) > 1
+    monkeypatch.setattr(decontaminate, "SENT_ROWS", 0)  # joins by shuffles, a filter that is too small: the same answers
+    monkeypatch.setattr(decontaminate, "BLOOM_LEAST", 1 << 20)
+    monkeypatch.setattr(decontaminate, "BLOOM_BITS", 1 << 20)
     assert {r.doc_id: list(r["items"]) for r in decontaminate.decontaminate(frame, table).collect()} == want
 
 
+def brute_judge(doc, item):
+    """Every place of an item against a text, word by word, without windows or filter."""
+    if not item.words:
+        return None
+    hits, k = [], min(len(item.words), decontaminate.WINDOW)
+    alike = lambda i, j: doc.words[i] == item.words[j] or doc.named[i] == item.named[j] != decontaminate.LITERAL or doc.kind[i] == item.kind[j] != decontaminate.LITERAL
+    for i in range(len(doc.words) - k + 1):
+        for at in range(len(item.words) - k + 1):
+            if all(alike(i + x, at + x) for x in range(k)):
+                plain = all(doc.words[i + x] == item.words[at + x] for x in range(k))
+                literal = any(item.kind[at + x] == decontaminate.LITERAL and doc.kind[i + x] == decontaminate.LITERAL for x in range(k)) or any(item.named[at + x] == decontaminate.LITERAL and doc.named[i + x] == decontaminate.LITERAL for x in range(k))
+                if plain or literal:
+                    hits.append((i, at, k))
+    return decontaminate.judge(doc, item, hits)
+
+
+def test_templates_equal_brute_force(spark):
+    """Items with new numbers and names, some filled inconsistently, in other words: what the joins find is what every item against every text gives."""
+    rng = random.Random(21)
+    names, nouns = "Ada Ben Cleo Dan Eva Finn Gus Hal Ida Jon".split(), "apples pears coins books cups trains roads".split()
+    made = lambda a, b, x, y, n: f"{a} has {x} {n} and gives {y} of them to {b} who sells each for {x} dollars. How much does {b} get for {y} {n}?"
+    items = [(i, made(*rng.sample(names, 2), rng.randrange(5, 500), rng.randrange(5, 500), n)) for i, n in enumerate(nouns)]
+    docs = []
+    for i in range(80):
+        n = rng.choice(nouns)
+        text = made(*rng.sample(names, 2), rng.randrange(5, 500), rng.randrange(5, 500), n)
+        if i % 4 == 1:
+            text = " ".join("44" if w.isdigit() else w for w in text.split())  # two values became one
+        if i % 4 == 2:
+            text = " ".join(str(rng.randrange(9000)) if w.isdigit() else rng.choice(names) if w in names else w for w in text.split())
+        filler = " ".join(rng.choice(["then", "it", "was", "12", "over", "Ada", "and", "gone."]) for _ in range(20))
+        docs.append((i, f"{filler} {text} {filler}"))
+    got = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    canon = decontaminate.Canon()
+    parts = [(i, decontaminate.Text(t, canon)) for i, t in items]
+    want = {d: [i for i, item in parts if brute_judge(decontaminate.Text(t, canon), item)] for d, t in docs}
+    assert {r.doc_id: list(r["items"]) for r in got} == want
+    assert all(want[d] for d in want if d % 4 in (0, 3)) and sum(not want[d] for d in want if d % 4 == 2) > 5
+
+
+def test_slots_agree_both_ways():
+    assert decontaminate.consistent([("12", "44"), ("5", "44"), ("7", "44")]) == 1
+    assert decontaminate.consistent([("12", "1"), ("5", "2"), ("12", "1"), ("7", "3")]) == 4
+    assert decontaminate.consistent([("12", "1"), ("12", "2")]) == 1 and decontaminate.consistent([]) == 0
+
+
 def test_decontamination_finds_what_is_dense_short_or_long(spark):
     rng = random.Random(4)
     long = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(100)).split()
