@@ -118,6 +118,16 @@ def row_of(docs: DataFrame) -> list[Column]:
     return [F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.xxhash64("text").alias("text_key")]
 
 
+def leaning(pairs: DataFrame) -> DataFrame:
+    """The pairs, each turned so that its centre is the end that more pairs have: copies of the text go by centres."""
+    ends = pairs.select(F.explode(F.array("node", "centre")).alias("end"))
+    many = staged(ends.groupBy("end").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > FAN), "op8-ends")
+    of = lambda side: many.select(F.col("end").alias(side), F.col("m").alias(f"{side}_m"))
+    turn = F.coalesce("node_m", F.lit(0)) > F.coalesce("centre_m", F.lit(0))
+    both = pairs.join(of("node"), "node", "left").join(of("centre"), "centre", "left")
+    return both.select(F.when(turn, F.col("centre")).otherwise(F.col("node")).alias("node"), F.when(turn, F.col("node")).otherwise(F.col("centre")).alias("centre"))
+
+
 def compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Compare the full sets of each pair (node, centre): node, centre, n, centre_n, both, linked, and extra, the hashes of the node's shingles outside the centre.
 
@@ -274,7 +284,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     labels = components(links)
     rest = staged(rest_candidates(seen, home, labels), "op8-rest")
     if not rest.isEmpty():
-        more = staged(compared(rest, nodes, docs).filter("linked").select(F.col("node").alias("a"), F.col("centre").alias("b")), "op8-more")
+        more = staged(compared(staged(leaning(rest), "op8-leaning"), nodes, docs).filter("linked").select(F.col("node").alias("a"), F.col("centre").alias("b")), "op8-more")
         if not more.isEmpty():
             labels = staged(merged(labels, more), "op8-labels")
     own = nodes.select("node", F.struct(*ROW).alias("own"))
