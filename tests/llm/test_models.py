@@ -239,10 +239,22 @@ def test_risk_is_minimised_without_negatives():
     k = len(pu_quality.FEATURES)
     good, bad = rng.normal(1, 1, (3000, k)), rng.normal(-1, 1, (3000, k))
     mix = np.vstack([good[:1400], bad[:600]])
-    marks = np.append(np.ones(700), np.zeros(300))
-    model = pu_quality.fit(good[1400:], mix, np.vstack([good[:700], bad[:300]]), marks)
-    assert abs(model.prior - 0.7) < 1e-9
-    assert (model.score(good) >= 0.5).mean() > 0.97 and (model.score(bad[600:]) < 0.5).mean() > 0.97
+    tells = pu_quality.apart(good[1400:], mix)
+    levels = np.append(-np.inf, np.quantile(tells.margin(good[1400:]), np.linspace(0, 0.99, 100)))
+    above = lambda x: (tells.margin(x)[:, None] > levels[None, :]).sum(0).astype(float)
+    prior = pu_quality.prior_of(above(mix), above(good[1400:]))
+    assert abs(prior - 0.7) < 0.08
+    model, inverse = pu_quality.started(tells, good[1400:], mix, prior)
+    x = pu_quality.design(np.vstack([mix, good[1400:]]), tells.edges, tells.mean, tells.spread)
+    u = np.arange(len(x)) < len(mix)
+    risk = lambda w: pu_quality.Risk.of(x, u, ~u, w)
+    end = pu_quality.refined(model, inverse, risk)
+    assert risk(end.weights).value(prior) <= risk(model.weights).value(prior) + 1e-6
+    assert (end.score(good) >= 0.5).mean() > 0.97 and (end.score(bad[600:]) < 0.5).mean() > 0.97
+    w, step = end.weights, 1e-6 * np.eye(len(end.weights))
+    slope = np.array([(risk(w + d).value(prior) - risk(w - d).value(prior)) / 2e-6 for d in step[:20]])
+    if risk(w).negative(prior) > 1e-3:
+        assert np.allclose(slope, (risk(w).gradient(prior, w) - risk(w).ridge() * np.append(0, w[1:]))[:20], atol=1e-4)
 
 
 def words(text):
