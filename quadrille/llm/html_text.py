@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -298,13 +299,13 @@ KINDS = "kind int, page_id long, url string, host long, page_key long, pages lon
 
 
 def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The main blocks of each page in place of its html, and whether they are a marked area."""
+    """The main blocks of each page in place of its html (lines, deflated: all of them are dealt once), and whether they are a marked area."""
     for part in text_runs(batches, "html"):
         rows = []
         for page in part["html"].where(part["html"].notna(), ""):
             found = marked_blocks(page)
             best, at = main_area(found)
-            rows.append((best > LOOSE, [found[i][1] for i in at]))
+            rows.append((best > LOOSE, zlib.compress("\n".join(found[i][1] for i in at).encode("utf-8", "surrogatepass"), 6)))
         yield pd.DataFrame({"page_id": long_column(part["page_id"]), "url": part["url"], "host": part["host"], "page_key": part["page_key"], "pages": part["pages"], "chunk": part["chunk"], "area": [a for a, _ in rows], "blocks": [b for _, b in rows]})
 
 
@@ -319,7 +320,8 @@ def whole_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 chunk, seen = (h, c), set()
             first.append(key not in seen)
             seen.add(key)
-        held.append(part.assign(first=first))
+        part = part.assign(first=first, blocks=[[t for t in zlib.decompress(b).decode("utf-8", "surrogatepass").split("\n") if t] for b in part["blocks"]])
+        held.append(part)
         size += sum(len(t) for texts in part["blocks"] for t in texts)
         if size >= BATCH_CHARS:
             whole = pd.concat(held, ignore_index=True)
@@ -400,7 +402,7 @@ def counted(pages: DataFrame, evidence: bool) -> DataFrame:
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row. Null and empty pages give an empty text; repeated rows repeat and are no distinct pages."""
     bound_batches(pages.sparkSession)
-    rows = dealt(pages).mapInPandas(parsed, "page_id long, url string, host long, page_key long, pages long, chunk long, area boolean, blocks array<string>")
+    rows = dealt(pages).mapInPandas(parsed, "page_id long, url string, host long, page_key long, pages long, chunk long, area boolean, blocks binary")
     found = staged(rows.repartition("host", "chunk").sortWithinPartitions("host", "chunk").mapInPandas(searched, KINDS), "op1-searched")
     open_ = found.filter(F.col("kind") == OPEN).select("page_id", "url", "host", "page_key", "pages", "area", "first", "blocks")
     numbers = found.filter(F.col("kind") == CANDIDATES).select("host", "pages", F.explode("numbers").alias("number")).distinct().groupBy("host", "pages").agg(F.collect_list("number").alias("numbers"))
