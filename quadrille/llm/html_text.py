@@ -192,15 +192,36 @@ class Streams:
         table.trim()
 
     def suffix_ranks(self) -> np.ndarray:
-        """The rank of the suffix at each place by its first REPEAT tokens; prefixes are doubled from one token on."""
-        rank, depth = np.unique(self.tokens, return_inverse=True)[1], 1
-        while depth < REPEAT and len(rank):
+        """For each place, where the suffixes that share its first REPEAT tokens begin in the suffix order.
+
+        Prefixes are doubled from one token on. A suffix that no other shares its prefix with has its place already and is left alone.
+        """
+        n = len(self.tokens)
+        order = np.argsort(self.tokens)
+        rank, depth = np.empty(n, np.int64), 1
+        rank[order] = _first_equal(self.tokens[order])
+        while depth < REPEAT and n:
             step = min(depth, REPEAT - depth)
-            rank = np.unique(rank[:-step] * (len(rank) + 1) + rank[step:], return_inverse=True)[1]
-            depth += step
+            live = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1)
+            if not len(live):
+                break
+            behind = np.where(live + step < n, rank[np.minimum(live + step, n - 1)] + 1, 0)
+            key = rank[live] * (n + 1) + behind
+            order = np.argsort(key)
+            moved, before = live[order], rank[live[order]]
+            after = rank.copy()
+            after[moved] = before + _first_equal(key[order]) - _first_equal(before)
+            rank, depth = after, depth + step
         return rank
 
 
+def _first_equal(ordered: np.ndarray) -> np.ndarray:
+    """For each entry of an ordered array, the place of the first equal one."""
+    new = np.ones(len(ordered), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    return np.maximum.accumulate(np.where(new, np.arange(len(ordered)), 0)) if len(ordered) else np.empty(0, np.int64)
+
+
 @dataclass(frozen=True)
 class Runs:
     """The runs of REPEAT tokens of some streams and their whole shorter blocks: first token, length, page, group of equal ones, and the number that says the same everywhere (its last bit: a short block)."""
@@ -233,9 +254,11 @@ class Runs:
         """For each run, how many distinct pages (by their key) hold its group, of the runs in ``which``."""
         if not len(self.group):
             return np.empty(0, np.int64)
-        n = int(key.max()) + 1
-        pairs = np.unique(self.group[which] * n + key[self.page[which]])
-        return np.bincount(pairs // n, minlength=int(self.group.max()) + 1)[self.group]
+        n, size = int(key.max()) + 1, int(self.group.max()) + 1
+        shared = np.bincount(self.group, minlength=size)[self.group] > 1
+        some = which & shared
+        pairs = np.unique(self.group[some] * n + key[self.page[some]])
+        return np.where(shared, np.bincount(pairs // n, minlength=size)[self.group], which.astype(np.int64))
 
     def covers(self, which: np.ndarray, n: int) -> np.ndarray:
         """Which of the n tokens lie in a run of ``which``."""
@@ -305,7 +328,7 @@ def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for page in part["html"].where(part["html"].notna(), ""):
             found = marked_blocks(page)
             best, at = main_area(found)
-            rows.append((best > LOOSE, zlib.compress("\n".join(found[i][1] for i in at).encode("utf-8", "surrogatepass"), 6)))
+            rows.append((best > LOOSE, zlib.compress("\n".join(found[i][1] for i in at).encode("utf-8", "surrogatepass"), 3)))
         yield pd.DataFrame({"page_id": long_column(part["page_id"]), "url": part["url"], "host": part["host"], "page_key": part["page_key"], "pages": part["pages"], "chunk": part["chunk"], "area": [a for a, _ in rows], "blocks": [b for _, b in rows]})
 
 
