@@ -36,6 +36,11 @@ def _enu_frame(lon: Column, lat: Column, p: Column) -> Column:
     return M.vector(-sl, cl, 0, 0, -s * cl, -s * sl, c, 0, c * cl, c * sl, s, 0, F.get(p, 0), F.get(p, 1), F.get(p, 2), 1)
 
 
+def is_earth_centred(x: Column, y: Column, z: Column) -> Column:
+    """Whether a position is at an earth radius from the centre: 6.0e6 to 7.0e6 metres."""
+    return F.sqrt(x * x + y * y + z * z).between(6.0e6, 7.0e6)
+
+
 def region_frame(lon: Column, lat: Column) -> Column:
     """Matrix from earth-centred to east, north, up at a region's centre on the ellipsoid."""
     return M.affine_inverse(enu_frame(lon, lat, F.lit(0.0)))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from quadrille.functions import text as T
+from quadrille.sources.fixed import lines
 
 #: Keys of documents that editing does not support, and extensions that it does.
 GLTF_KEYS = ("skins", "animations", "targets", "weights", "skin", "sparse")
@@ -92,9 +93,10 @@ def document_fault(doc: Column, kind: str) -> Column:
     return _faults(doc, F.lit(kind))
 
 
-def unsupported_required(required: Column) -> Column:
-    """Required extensions that a validator does not know: all but the glTF content one and those of the Khronos group."""
-    return F.array_sort(F.filter(F.coalesce(required, F.array().cast("array<string>")), lambda n: (n != "3DTILES_content_gltf") & ~n.startswith("KHR_")))
+def unsupported_required(required: Column, allowed: tuple[str, ...] | None = None) -> Column:
+    """Required extensions that a validator does not know: all but the allowed ones (by default those of the data file) and those of the Khronos group."""
+    known = lines("required_extensions") if allowed is None else allowed
+    return F.array_sort(F.filter(F.coalesce(required, F.array().cast("array<string>")), lambda n: ~n.isin(*known) & ~n.startswith("KHR_")))
 
 
 def limit_fault(bytes_: Column, vertices: Column, nodes: Column, depth: Column) -> Column:

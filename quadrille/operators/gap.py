@@ -39,16 +39,24 @@ def boxes(points: DataFrame) -> DataFrame:
 def adjacent(meshes: DataFrame, cell: float | None = None) -> DataFrame:
     """Pairs (a < b) of meshes that share a face band, with the axis between them.
 
-    Neighbours are apart on one axis by 1.6 mean extents at most (or are thin and close) and overlap on the other two. With
-    ``cell`` the meshes meet by grid cells of their grown boxes first; without it (few meshes) by one join on overlap.
+    Neighbours are apart on one axis by 1.6 mean extents at most (or are thin and close) and overlap on the other two. Meshes meet
+    by the cells of a grid in x and y that their grown boxes touch; a cell is twice the mean extent where none is given.
     """
+    if cell is None:
+        mean_ext = meshes.agg(F.avg(F.greatest("ext_x", "ext_y"))).first()[0]
+        cell = 2 * mean_ext if mean_ext else 1.0
     left, right = (meshes.select(*(F.col(c).alias(f"{s}_{c}") for c in meshes.columns)) for s in "ab")
     order = F.col("a_mesh") < F.col("b_mesh")
-    if cell is None:
-        pairs = left.join(right, order)
-    else:
-        grown = lambda s, df: df.withColumn("cells", F.explode(F.transform(F.sequence(F.floor((F.col(f"{s}_min_x") - F.col(f"{s}_ext_x") * 1.6) / cell).cast("long"), F.floor((F.col(f"{s}_max_x") + F.col(f"{s}_ext_x") * 1.6) / cell).cast("long")), lambda i: i)))
-        pairs = grown("a", left).join(grown("b", right), "cells").filter(order).drop("cells").distinct()
+
+    def grown(s: str, df: DataFrame) -> DataFrame:
+        ext = {a: F.col(f"{s}_ext_{a}") for a in AXES}
+        close = F.greatest(*ext.values(), F.lit(1.0)) * 0.5
+        for a in "xy":
+            by = F.greatest(ext[a] * 1.6, close)
+            df = df.withColumn(f"cell_{a}", F.explode(F.sequence(F.floor((F.col(f"{s}_min_{a}") - by) / cell).cast("long"), F.floor((F.col(f"{s}_max_{a}") + by) / cell).cast("long"))))
+        return df
+
+    pairs = grown("a", left).join(grown("b", right), ["cell_x", "cell_y"]).filter(order).drop("cell_x", "cell_y").distinct()
     sep = {a: F.abs(F.col(f"a_mid_{a}") - F.col(f"b_mid_{a}")) for a in AXES}
     mean = {a: (F.col(f"a_ext_{a}") + F.col(f"b_ext_{a}")) * 0.5 for a in AXES}
     over = {a: F.greatest(f"a_min_{a}", f"b_min_{a}") <= F.least(f"a_max_{a}", f"b_max_{a}") + 1e-3 for a in AXES}

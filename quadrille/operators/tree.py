@@ -1,51 +1,50 @@
 """Tile trees as rows: flattening, errors by level, probes and digests.
 
-Trees come as (key, parent, ...) rows. Depths and paths are found level by level with joins on the parent, through SQL's
-recursion where the session has it; a step touches only the rows of one level.
+Trees come as (key, parent, ...) rows. Depths and paths are found level by level with joins on the parent, until a level has no
+rows; a step touches only the rows of one level, which is checkpointed.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.operators.lineage import cut
 
-MAX_DEPTH = 128
+def flatten(nodes: DataFrame, key: str = "id", parent: str = "parent_id") -> DataFrame:
+    """Every node that a root reaches, however deep: key, parent, depth, path (sort order of a depth-first walk) and ``cycle``.
 
+    A root has a null parent. Where a key is met again on its own path the row is marked and not followed, so the walk ends.
+    """
+    edges = cut(nodes.select(key, parent))
+    name = F.col(key).cast("string")
+    level = cut(edges.filter(F.col(parent).isNull()).select(key, parent, F.lit(0).alias("depth"), F.array(name).alias("path"), F.lit(False).alias("cycle")))
+    out, depth = level, 0
+    while True:
+        depth += 1
+        up = level.filter(~F.col("cycle")).select(F.col(key).alias(parent), F.col("path").alias("above"))
+        level = cut(edges.join(up, parent).select(key, parent, F.lit(depth).alias("depth"), F.concat("above", F.array(name)).alias("path"), F.array_contains("above", name).alias("cycle")))
+        if level.isEmpty():
+            return out
+        out = out.union(level)
 
-def flatten(nodes: DataFrame, key: str = "id", parent: str = "parent_id", max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Every node that a root reaches: key, parent, depth, path (sort order of a depth-first walk) and ``cycle``.
 
-    A root has a null parent. Where a key is met again on its own path the row is marked and not followed.
-    """
-    view = f"nodes_{uuid.uuid4().hex}"
-    nodes.createOrReplaceTempView(view)
-    return nodes.sparkSession.sql(f"""
-        WITH RECURSIVE walk(k, p, depth, path, cycle) AS (
-            SELECT {key}, {parent}, 0, array(CAST({key} AS STRING)), false FROM {view} WHERE {parent} IS NULL
-            UNION ALL
-            SELECT n.{key}, n.{parent}, w.depth + 1, concat(w.path, array(CAST(n.{key} AS STRING))), array_contains(w.path, CAST(n.{key} AS STRING))
-            FROM walk w JOIN {view} n ON n.{parent} = w.k WHERE NOT w.cycle AND w.depth < {max_depth})
-        SELECT k AS {key}, p AS {parent}, depth, path, cycle FROM walk""")
-
-
-def with_world(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """id, depth and world transform of each node: parent * local down from the root. Levels are joined one after the other."""
+def with_world(nodes: DataFrame) -> DataFrame:
+    """id, depth and world transform of each node: parent * local down from the root. Levels are joined one after the other, until none is left; more levels than nodes is an error (ids that repeat in a cycle)."""
     from quadrille.functions import matrix as M
 
     local = F.coalesce("transform", M.identity())
     nodes = cut(nodes.select("id", "parent_id", "transform"))
     level = nodes.filter("parent_id IS NULL").select("id", F.lit(0).alias("depth"), local.alias("world"))
-    out = level
-    for depth in range(1, max_depth + 1):
+    out, depth, most = level, 0, nodes.count()
+    while True:
+        depth += 1
         level = cut(nodes.join(level.select(F.col("id").alias("parent_id"), F.col("world").alias("up")), "parent_id").select("id", F.lit(depth).alias("depth"), M.multiply(F.col("up"), local).alias("world")))
         if level.isEmpty():
-            break
+            return out
+        if depth > most:
+            raise ValueError("the tree has a cycle")
         out = out.union(level)
-    return out
 
 
 def error_violations(nodes: DataFrame, slack: float = 0.0) -> DataFrame:

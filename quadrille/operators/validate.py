@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.functions import text as T
+from quadrille.sources.fixed import lines
 
 #: Slack of the check that a parent's error is not below its child's.
 SLACK = 1e-9
 #: Required extensions that a tileset may name, deepest nesting, and most tilesets of one tree.
-ALLOWED_REQUIRED = ("3DTILES_content_gltf",)
+ALLOWED_REQUIRED = lines("required_extensions")
 MAX_NESTING, MAX_TILESETS = 64, 10_000
 ISSUE = "code string, path string, message string, severity string"
 

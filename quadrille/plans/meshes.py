@@ -121,7 +121,7 @@ def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def clip_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fragments of triangles in and out of the L shape."""
+    """Fragments of triangles in and out of the L shape; tests hold their areas against the whole triangles."""
     return clip.clip_triangles(triangles(spark, sf_dir), region.Region.planar(L_SHAPE)).select("id", "side", F.round("area", 6).alias("area"))
 
 

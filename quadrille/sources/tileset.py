@@ -84,19 +84,19 @@ def with_parents(tiles_: DataFrame) -> DataFrame:
 
 
 def blocks(tiles_: DataFrame, root_doc: str) -> DataFrame:
-    """Children of the root document that refer to external tilesets, with the grid place in their name, their error and their box in the world: block_id, gx, gy, ge, transform, bounds."""
+    """Children of the root document that refer to external tilesets, with the grid place in their name, their error and their box in the world: block_id, doc (the external document), gx, gy, ge, transform, bounds."""
     local = F.coalesce("transform", M.identity())
     root = tiles_.filter((F.col("doc") == root_doc) & F.col("parent_loc").isNull()).select(F.col("loc").alias("root_loc"), local.alias("root_world"))
     kids = tiles_.filter((F.col("doc") == root_doc) & F.lower(T.clean_uri(F.col("uri"))).endswith(".json")).join(F.broadcast(root), F.col("parent_loc") == F.col("root_loc"))
     world = M.multiply(F.col("root_world"), local)
     found = kids.withColumn("world", world).withColumn("uri", T.normalise_uri(F.col("uri")))
     hull = M.box_aabb(F.col("box"), F.col("world"))
-    return found.select(F.regexp_extract("uri", r"([^/]+)/[^/]*$", 1).alias("block_id"), T.tile_x(F.col("uri")).alias("gx"), T.tile_y(F.col("uri")).alias("gy"), "ge", "uri", "box", F.col("world").alias("transform"), *(F.get(hull, i).alias(n) for i, n in enumerate(("min_x", "min_y", "min_z", "max_x", "max_y", "max_z"))))
+    return found.select(F.regexp_extract("uri", r"([^/]+)/[^/]*$", 1).alias("block_id"), F.concat(F.lit(root_doc.rsplit("/", 1)[0] + "/"), T.clean_uri(F.col("uri"))).alias("doc"), T.tile_x(F.col("uri")).alias("gx"), T.tile_y(F.col("uri")).alias("gy"), "ge", "uri", "box", F.col("world").alias("transform"), *(F.get(hull, i).alias(n) for i, n in enumerate(("min_x", "min_y", "min_z", "max_x", "max_y", "max_z"))))
 
 
 def representations(tiles_: DataFrame, blocks_: DataFrame) -> DataFrame:
     """Content nodes of each block's own document in depth-first order, numbered from 0, with the accumulated transform: block_id, rep_index, ge, uri, transform."""
-    mine = tiles_.join(blocks_.select("block_id", F.col("uri").alias("block_uri"), F.col("transform").alias("block_world")), F.col("doc").endswith(F.concat(F.lit("/"), F.col("block_uri"))))
+    mine = tiles_.join(blocks_.select("block_id", "doc", F.col("transform").alias("block_world")), "doc")
     nodes = mine.select(F.col("loc").alias("id"), F.col("parent_loc").alias("parent_id"), "transform", "block_id", "block_world", "ge", "uri")
     world = tree.with_world(nodes).select("id", "world")
     order = F.transform(F.filter(F.split("id", r"/children\["), lambda x: ~F.contains(x, F.lit("#root"))), lambda x: F.regexp_replace(x, r"\]", "").try_cast("int"))
