@@ -6,14 +6,11 @@ import os
 
 from pyspark.sql import SparkSession
 
-#: Tile trees may be 128 levels deep; the recursion limit of SQL leaves room for the anchor row.
-RECURSION_LEVELS = 130
-
 
 def build_session(cpus: int | str = "*", shuffle_partitions: int | None = None, app: str = "quadrille") -> SparkSession:
     """A local session. On a cluster, pass your own session to every function instead."""
     n = shuffle_partitions or (int(cpus) if str(cpus).isdigit() else os.cpu_count() or 8)
-    return configure(
+    return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
@@ -24,9 +21,3 @@ def build_session(cpus: int | str = "*", shuffle_partitions: int | None = None,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
-
-
-def configure(spark: SparkSession) -> SparkSession:
-    """Limits that recursive tile queries need; safe on any session."""
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(RECURSION_LEVELS))
-    return spark
