@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quadrille.llm import bpe, decontaminate, hmm, html_text, licenses, near_dup, pii, pu_quality, quality_rules, sharding
 from quadrille.llm.common import table
+from quadrille.llm.oracles import ORACLE
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,4 +58,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_html_text, op2_pii, op3_licenses, op4_pu_quality, op5_bpe, op6_hmm, op7_sharding, op8_near_dup, op9_decontaminate, op10_quality_rules)}
-ORACLE: dict[str, str] = {}
+#: ORACLE has SQL for three; parsers, checksums with context, models, tokenizers, hashed slots and templates can't be put in it.
+__all__ = ["ORACLE", "QUERIES", "tokenizer_path"]
