@@ -7,8 +7,9 @@ So sequences of small numbers are what the model reads, and the counts of rare t
 Token counts are summed over partitions by 64-bit hash. The HEAVY most frequent tokens are sent to every worker (a fixed
 number); the counts of all others are joined by hash, where no key is frequent. Each Baum-Welch pass runs forward and backward
 over every training text, packed so that texts advance together; expected counts are summed in Spark, and a table of fixed
-size reaches the driver. A few passes over a small sample only give the starting point. The scaled forward recursion then
-gives the exact likelihood of every text.
+size reaches the driver. Passes end when the likelihood of the training texts gains less than GAIN, or after PASSES. A few passes
+over a small sample only give the starting point. The scaled forward recursion then gives the exact likelihood of every text.
+A very long text is walked in chunks that hand their state on, so it needs the memory of one chunk.
 """
 
 from __future__ import annotations
@@ -30,10 +31,14 @@ TOP, SHAPES, HEAVY = 1000, 1024, 500_000
 END = TOP + SHAPES
 CLASSES = END + 1
 #: Passes over all training texts, and how the starting point is found.
-PASSES, SEED_PASSES, SEED_TEXTS, SEED_TOKENS = 2, 12, 600, 2000
+PASSES, SEED_PASSES, SEED_TEXTS, SEED_TOKENS = 4, 12, 600, 2000
+#: The least gain in likelihood, as a share of it, for which another pass is made.
+GAIN = 0.01
 SMOOTH = 0.1
 #: Tokens that advance together.
 PACK = 1 << 19
+#: Tokens of a chunk of a text that is longer.
+CHUNK = 1 << 16
 #: Tokens that are sorted by length before they are packed.
 BUFFER = 1 << 24
 KEEP = 400_000
@@ -173,9 +178,14 @@ class Pack:
         out[self.order] = np.bincount(self.rank, values, len(self.order))
         return out
 
-    def forward(self, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Natural-log likelihood of each sequence (as given), the scaled forward values of all tokens, and their scales."""
+    def room_of(self, room: np.ndarray) -> np.ndarray:
+        """Sums over each sequence of a number per class."""
+        return self.per_sequence(room[self.flat])
+
+    def forward(self, model: Model, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Natural-log likelihood of each sequence (as given), the scaled forward values of all tokens, and their scales. ``first``: the states' probabilities at the first token, where they are not those of a start."""
         pi, move, emit = model
+        pi = pi if first is None else first
         alphas = emit[self.flat]
         scales = np.empty(len(self.flat))
         before = None
@@ -190,33 +200,77 @@ class Pack:
 
     def expected(self, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Expected counts of first states, moves and emissions, and the log likelihood."""
+        return self.chunk_expected(model)[:4]
+
+    def chunk_expected(self, model: Model, first: np.ndarray | None = None, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, np.ndarray]:
+        """The same where one sequence goes on before (``first``, as in ``forward``) or behind (``last``: the backward values at its last token); and what the first tokens hand back."""
         _, move, emit = model
-        ll, alphas, scales = self.forward(model)
+        ll, alphas, scales = self.forward(model, first)
         seen = emit[self.flat]
         seen /= scales[:, None]
         back, turned = np.ones_like(alphas), np.ascontiguousarray(move.T)
+        if last is not None:
+            back[-1] = last
         for t in range(len(self.active) - 1, 0, -1):
             o, p, b = self.start[t - 1], self.start[t], self.active[t]
             np.matmul(seen[p : p + b] * back[p : p + b], turned, out=back[o : o + b])
-        first = self.start[1]
+        second = self.start[1]
         seen *= back
-        earlier = np.repeat(self.start[:-2], self.active[1:]) + self.rank[first:]
-        moves = alphas[earlier].T @ seen[first:]
+        earlier = np.repeat(self.start[:-2], self.active[1:]) + self.rank[second:]
+        moves = alphas[earlier].T @ seen[second:]
         alphas *= back  # from here on the probabilities of the states
         emits = np.stack([np.bincount(self.flat, alphas[:, k], CLASSES) for k in range(len(move))], 1)
-        return alphas[:first].sum(0), moves * move, emits, float(ll.sum())
+        return alphas[:second].sum(0), moves * move, emits, float(ll.sum()), seen[0]
+
+
+class Long:
+    """One sequence of any length in chunks: as a pack of it, with the memory of one chunk and a state per chunk."""
+
+    def __init__(self, sequence: np.ndarray):
+        self.chunks = [sequence[i : i + CHUNK] for i in range(0, len(sequence), CHUNK)]
+
+    def room_of(self, room: np.ndarray) -> np.ndarray:
+        return np.array([sum(float(room[c].sum()) for c in self.chunks)])
+
+    def states(self, model: Model) -> tuple[float, list[np.ndarray]]:
+        """The log likelihood, and the forward values at the end of each chunk."""
+        ll, first, ends = 0.0, None, []
+        for chunk in self.chunks:
+            part, alphas, _ = Pack([chunk]).forward(model, first)
+            ll += float(part[0])
+            ends.append(alphas[-1].copy())
+            first = ends[-1] @ model[1]
+        return ll, ends
+
+    def forward(self, model: Model) -> tuple[np.ndarray, None, None]:
+        return np.array([self.states(model)[0]]), None, None
+
+    def expected(self, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        _, move, _ = model
+        ll, ends = self.states(model)
+        moves, emits, last, start = np.zeros_like(move), 0.0, None, None
+        for i in range(len(self.chunks) - 1, -1, -1):
+            start, inside, seen, _, lead = Pack([self.chunks[i]]).chunk_expected(model, ends[i - 1] @ move if i else None, last)
+            moves, emits = moves + inside, emits + seen
+            if i:  # the move into this chunk
+                moves = moves + np.outer(ends[i - 1], lead) * move
+                last = move @ lead
+        return start, moves, emits, ll
 
 
 Model = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def packs(rows: Iterator[pd.DataFrame]) -> Iterator[tuple[list[int], Pack]]:
+def packs(rows: Iterator[pd.DataFrame]) -> Iterator[tuple[list[int], Pack | Long]]:
     """Packs of about PACK tokens, with the row ids. Sequences are sorted by length in a buffer first, so that few steps are walked by few of them."""
     held: list[tuple[int, int, np.ndarray]] = []
     size = 0
 
     def flush() -> Iterator[tuple[list[int], Pack]]:
         held.sort(key=lambda x: (-x[0], x[1]))
+        while held and held[0][0] > CHUNK:
+            _, rid, s = held.pop(0)
+            yield [rid], Long(s)
         at = total = 0
         for i, (n, _, _) in enumerate(held):
             total += n
@@ -257,25 +311,25 @@ def seeded(table: DataFrame) -> Model:
     return model
 
 
-def baum_welch(table: DataFrame, model: Model) -> Model:
-    """One pass over all training rows. Counts are summed in Spark; one number per count reaches the driver."""
+def baum_welch(table: DataFrame, model: Model) -> tuple[Model, float]:
+    """One pass over all training rows: the next model, and the log likelihood under this one. Counts are summed in Spark; one number per count reaches the driver."""
     held = table.sparkSession.sparkContext.broadcast(model)
     s = STATES
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for _, pack in packs(batches):
-            first, moves, emits, _ = pack.expected(held.value)
-            part = np.concatenate([first, moves.ravel(), emits.ravel()])
+            first, moves, emits, ll = pack.expected(held.value)
+            part = np.concatenate([first, moves.ravel(), emits.ravel(), [ll]])
             total = part if total is None else total + part
         if total is not None:
             at = np.flatnonzero(total)
             yield pd.DataFrame({"i": at.astype(np.int32), "v": total[at]})
 
     rows = table.filter(~F.col("held_out")).select("rid", "classes").mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow().to_pandas()
-    total = np.zeros(s + s * s + CLASSES * s)
+    total = np.zeros(s + s * s + CLASSES * s + 1)
     total[rows["i"].to_numpy()] = rows["v"].to_numpy()
-    return maximised(total[:s], total[s : s + s * s].reshape(s, s), total[s + s * s :].reshape(CLASSES, s))
+    return maximised(total[:s], total[s : s + s * s].reshape(s, s), total[s + s * s : -1].reshape(CLASSES, s)), float(total[-1])
 
 
 def class_likelihood(table: DataFrame, model: Model, log_room: np.ndarray) -> DataFrame:
@@ -286,7 +340,7 @@ def class_likelihood(table: DataFrame, model: Model, log_room: np.ndarray) -> Da
         model, room = held.value
         for ids, pack in packs(batches):
             ll, _, _ = pack.forward(model)
-            rooms = pack.per_sequence(room[pack.flat])
+            rooms = pack.room_of(room)
             yield pd.DataFrame({"rid": ids, "ll": ll / np.log(10), "room": rooms})
 
     return table.select("rid", "classes").mapInPandas(run, "rid long, ll double, room double")
@@ -328,9 +382,12 @@ def score(docs: DataFrame) -> DataFrame:
     of = by_shape.sub(inside, fill_value=0).reindex(range(SHAPES), fill_value=0)
     room[TOP : TOP + SHAPES] = np.log10(of["c"].to_numpy(float) + SMOOTH * (of["v"].to_numpy(float) + 1))
 
-    model = seeded(table)
+    model, before = seeded(table), -np.inf
     for _ in range(PASSES):
-        model = baum_welch(table, model)
+        model, ll = baum_welch(table, model)
+        if ll - before < GAIN * abs(ll):
+            break
+        before = ll
 
     rare = table.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("h"), F.col("x.times").alias("m"))
     found = rare.join(counts.filter(F.col("c") < least).select("h", "c"), "h", "left").select("rid", "m", F.coalesce("c", F.lit(0)).alias("c"))
