@@ -1,32 +1,40 @@
 """Sharding by fixed virtual slots.
 
 Records hash into thousands of slots; bytes are summed per slot; a small versioned map sends each slot to a shard. The map
-is balanced by bytes (law ``bytes``) and later edited, not rebuilt: adding a shard moves slots into it and nowhere else.
-All row work is DataFrame functions. Only the map (one row per slot, a fixed number) reaches the driver.
+is balanced by bytes (law ``bytes``) and later edited, not rebuilt: adding a shard moves slots into it and nowhere else. A slot
+that outweighs HEAVY of a shard, as where one id repeats very often, is kept in parts, which are placed like slots.
+All row work is DataFrame functions. Only the map reaches the driver: one row per slot, and less than shards / HEAVY more for parts.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quadrille.llm.common import gone_at_exit, shared_dir, staged
+
 #: Bytes that each record needs besides its text.
 RECORD_OVERHEAD = 8
 SLOTS = 4096
+#: The share of a shard's even bytes from which a slot is kept in parts.
+HEAVY = 0.125
 
 
 @dataclass(frozen=True)
 class SlotMap:
-    """``shard_of[slot]`` and the bytes and rows each slot held when the map was made."""
+    """``shard_of[unit]`` and the bytes and rows each unit held when the map was made. Units are slots and, of slots in parts, their parts, in order; ``parts_of[slot]`` (one each where empty)."""
 
     version: int
     shards: int
     shard_of: tuple[int, ...]
     bytes_of: tuple[int, ...]
     rows_of: tuple[int, ...]
+    parts_of: tuple[int, ...] = ()
 
     def loads(self) -> list[int]:
         """Bytes per shard."""
@@ -64,16 +72,23 @@ class SlotMap:
             loads[new] += self.bytes_of[slot]
         return replace(self, version=self.version + 1, shards=new + 1, shard_of=tuple(shard_of))
 
+    def parts(self) -> list[int]:
+        return list(self.parts_of) or [1] * len(self.shard_of)
+
     def save(self, spark: SparkSession, path: str) -> None:
         """Write this version beside earlier ones; an existing version is never overwritten."""
-        rows = ", ".join(f"({s}, {a}, {b}L, {r}L)" for s, (a, b, r) in enumerate(zip(self.shard_of, self.bytes_of, self.rows_of, strict=True)))
-        spark.sql(f"SELECT {self.shards} AS shards, * FROM VALUES {rows} AS t(slot, shard, bytes, n_rows)").coalesce(1).write.parquet(f"{path}/version={self.version}")
+        place = [(s, p) for s, n in enumerate(self.parts()) for p in range(n)]
+        rows = ", ".join(f"({s}, {p}, {a}, {b}L, {r}L)" for (s, p), a, b, r in zip(place, self.shard_of, self.bytes_of, self.rows_of, strict=True))
+        spark.sql(f"SELECT {self.shards} AS shards, * FROM VALUES {rows} AS t(slot, part, shard, bytes, n_rows)").coalesce(1).write.parquet(f"{path}/version={self.version}")
 
     @staticmethod
     def load(spark: SparkSession, path: str, version: int) -> SlotMap:
         """Read one version."""
-        rows = spark.read.parquet(f"{path}/version={version}").orderBy("slot").collect()
-        return SlotMap(version, rows[0]["shards"], *(tuple(r[c] for r in rows) for c in ("shard", "bytes", "n_rows")))
+        rows = spark.read.parquet(f"{path}/version={version}").orderBy("slot", "part").collect()
+        parts = [0] * (rows[-1]["slot"] + 1)
+        for r in rows:
+            parts[r["slot"]] += 1
+        return SlotMap(version, rows[0]["shards"], *(tuple(r[c] for r in rows) for c in ("shard", "bytes", "n_rows")), tuple(parts) if max(parts) > 1 else ())
 
 
 def balanced(bytes_of: list[int], rows_of: list[int], shards: int, version: int = 1) -> SlotMap:
@@ -104,29 +119,55 @@ def narrowed(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     )
 
 
-def slot_map(narrow: DataFrame, shards: int, slots: int = SLOTS) -> SlotMap:
-    """Sum bytes and rows per slot (map-side first) and balance them."""
-    sums = {r["virtual_slot"]: r for r in narrow.groupBy("virtual_slot").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect()}
-    return balanced([sums[s]["b"] if s in sums else 0 for s in range(slots)], [sums[s]["n"] if s in sums else 0 for s in range(slots)], shards)
+def slot_sums(narrow: DataFrame, key: str, n: int) -> tuple[list[int], list[int]]:
+    """Bytes and rows of each of n slots or units, summed map-side first."""
+    sums = {r[key]: r for r in narrow.groupBy(key).agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect()}
+    return [sums[s]["b"] if s in sums else 0 for s in range(n)], [sums[s]["n"] if s in sums else 0 for s in range(n)]
+
+
+def unit_of(parts: list[int]) -> Column:
+    """The unit of a row: its slot's first unit, and in a slot of parts the part that the row's number falls to."""
+    at, firsts = F.col("virtual_slot"), [0]
+    for n in parts:
+        firsts.append(firsts[-1] + n)
+    part = F.pmod(F.xxhash64("row"), lookup(parts, at, "bigint")).cast("int")
+    return lookup(firsts[:-1], at, "int") + part
+
+
+def slot_map(narrow: DataFrame, shards: int, slots: int = SLOTS) -> tuple[SlotMap, DataFrame]:
+    """A balanced map, and the rows with their unit."""
+    bytes_of, rows_of = slot_sums(narrow, "virtual_slot", slots)
+    most = max(1.0, HEAVY * sum(bytes_of) / shards)
+    # A slot of one row can't be parted; one that few slots make heavy in a small table isn't worth it.
+    parts = [min(rows, math.ceil(size / most)) if size > most and rows > 1 else 1 for size, rows in zip(bytes_of, rows_of, strict=True)]
+    placed = narrow.withColumn("unit", unit_of(parts))
+    if max(parts) > 1:
+        bytes_of, rows_of = slot_sums(placed, "unit", sum(parts))
+    return replace(balanced(bytes_of, rows_of, shards), parts_of=tuple(parts) if max(parts) > 1 else ()), placed
 
 
 def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS) -> DataFrame:
     """Place every row: its shard, and ``slot``, its place in the shard, gapless from 0.
 
-    Places come from a window per virtual slot plus the rows of the shard's earlier slots, so no task holds a whole shard.
+    Places come from a window per slot or part of one plus the rows of the shard's earlier ones, so no task holds a whole shard.
+    The map is written to the shared folder as version 1 and read again, as a later run that edits it would.
     Null texts weigh 8 bytes; ties and repeated rows get places of their own; an empty table gives no rows.
     """
-    narrow = narrowed(docs, slots)
-    placed = slot_map(narrow, shards, slots)
-    within = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
-    at = F.col("virtual_slot")
-    return narrow.withColumn("within", within).select(
+    spark = docs.sparkSession
+    narrow = staged(narrowed(docs, slots).withColumn("row", F.monotonically_increasing_id()), "op7-narrow")
+    first, rows = slot_map(narrow, shards, slots)
+    path = f"{shared_dir(spark)}/quadrille/op7-map-{uuid.uuid4().hex}"
+    first.save(spark, path)
+    gone_at_exit(spark, path)
+    placed = SlotMap.load(spark, path, first.version)
+    within = F.row_number().over(Window.partitionBy("unit").orderBy("doc_id", "text_crc32", "size", "row"))
+    return rows.withColumn("within", within).select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
-        lookup(list(placed.shard_of), at, "int").alias("shard"),
-        (lookup(placed.bases(), at, "bigint") + F.col("within") - 1).alias("slot"),
+        lookup(list(placed.shard_of), F.col("unit"), "int").alias("shard"),
+        (lookup(placed.bases(), F.col("unit"), "bigint") + F.col("within") - 1).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
         "virtual_slot",
         F.lit(placed.version).alias("map_version"),
