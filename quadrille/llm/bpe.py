@@ -30,6 +30,8 @@ from quadrille.llm.common import bound_batches
 WHITE = "\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Words longer than this are not kept; as many words are kept as CACHE says.
 LONG_WORD, CACHE = 64, 300_000
+#: As many pairs of tokens are known at once; beyond that they are settled anew.
+PAIRS = 2_000_000
 #: Texts are handled in runs of about so many characters.
 RUN = 1 << 20
 
@@ -178,6 +180,8 @@ class Encoder:
         matters = second != 0xFFFFF
         matters[ends[sizes == 1] - 1] = True  # the last token of a longer word stands in the pair before it
         distinct = np.unique(codes[matters])
+        if len(self.good) + len(self.bad) > PAIRS:
+            self.good = self.bad = np.empty(0, np.int64)
         unknown = distinct[~member(self.good, distinct) & ~member(self.bad, distinct)]
         if len(unknown):
             self.settle(unknown)

@@ -324,6 +324,20 @@ def test_expected_counts_raise_the_likelihood():
         before, model = ll, (first / first.sum(), moves / moves.sum(1, keepdims=True), (emits + 1e-9) / (emits + 1e-9).sum(0))
 
 
+def test_chunks_of_a_long_text_equal_the_whole(monkeypatch):
+    rng = np.random.default_rng(3)
+    model, sequence = small_model(rng), rng.integers(0, hmm.CLASSES, 500)
+    monkeypatch.setattr(hmm, "CHUNK", 64)
+    whole, parts = hmm.Pack([sequence]), hmm.Long(sequence)
+    assert len(parts.chunks) == 8 and np.allclose(whole.forward(model)[0], parts.forward(model)[0])
+    for a, b in zip(whole.expected(model), parts.expected(model), strict=True):
+        assert np.allclose(a, b)
+    room = rng.random(hmm.CLASSES)
+    assert np.allclose(whole.room_of(room), parts.room_of(room))
+    batch = pd.DataFrame({"rid": [5, 6, 7], "classes": [s.astype("<i2").tobytes() for s in (sequence[:9], sequence, sequence[:70])]})
+    assert sorted((tuple(ids), type(p).__name__) for ids, p in hmm.packs(iter([batch]))) == [((5,), "Pack"), ((6,), "Long"), ((7,), "Long")]
+
+
 def test_token_probabilities_sum_to_one():
     h, c = np.arange(10, dtype=np.int64) * 7, np.arange(10, dtype=np.int64) + 1
     lexicon = hmm.Lexicon(h, c)

@@ -73,6 +73,15 @@ def test_pii_spans_and_redaction(spark):
     assert pii.redact(docs).columns[:5] == docs.columns
 
 
+def test_one_id_with_a_third_of_the_rows(spark):
+    """A slot that outweighs a shard is kept in parts, so that bytes stay near equal and places gapless; the map is stored with its parts."""
+    rows = [(7 if i % 3 == 0 else i, "x" * (50 + i % 100)) for i in range(12_000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).toPandas()
+    size = got.groupby("shard")["size"].sum()
+    assert len(got) == len(rows) and len(size) == 24 and size.max() < 1.02 * size.mean() and size.min() > 0.98 * size.mean()
+    assert all(sorted(s) == list(range(len(s))) for _, s in got.groupby("shard")["slot"])
+
+
 def test_many_spans_in_a_text(spark):
     """Time grows with the text, and pieces are put together again as they were."""
     n = 16_000
