@@ -123,13 +123,15 @@ def most_in_window(n: int, own: Column) -> Column:
 def wrapped_matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Every (row, template) of which a window of words, whatever its lines, contains at least ``threshold`` of the template's words, with the containment."""
     text, cells = text_of(docs), []
-    held = docs.select("doc_id", F.xxhash64(text).alias("text_key"), known_words(text).alias("held"), text.alias("block"))
+    held = docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.alias("block"))
     for name, template in TEMPLATES.items():
         known, n = words_in(template), len(re.findall(WORD + "+", template))
         least, own = math.ceil(threshold * len(known) - 1e-9), F.split(F.lit(" ".join(known)), " ")
         most = most_in_window(n, own)
-        cells.append((name, F.size(F.array_intersect("held", own)) >= least, F.when(F.array_contains("fits", name), most), least, len(known)))
-    fits = F.array_compact(F.array(*(F.when(fit, F.lit(name)) for name, fit, *_ in cells)))
+        cells.append((name, own, F.when(F.array_contains("fits", name), most), least, len(known)))
+    # The words are bound once in a lambda: a filter that is pushed down would else take them from the text again for each template.
+    fitting = lambda h: F.array_compact(F.array(*(F.when(F.size(F.array_intersect(h, own)) >= least, F.lit(name)) for name, own, _, least, _ in cells)))
+    fits = F.get(F.transform(F.array(known_words(F.col("block"))), fitting), 0)
     near = held.withColumn("fits", fits).filter(F.size("fits") > 0).withColumn("words", F.array_remove(F.split(F.lower("block"), BREAK + "+"), ""))
     each = F.array(*(F.struct(F.lit(name).alias("template"), most.alias("most"), F.lit(least).alias("least"), F.lit(size).alias("size")) for name, _, most, least, size in cells))
     return near.select("doc_id", "text_key", F.explode(each).alias("x")).filter("x.most >= x.least").select("doc_id", "text_key", "x.template", (F.col("x.most") / F.col("x.size")).alias("containment"))
