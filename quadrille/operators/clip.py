@@ -137,7 +137,7 @@ def face_frames(tri: np.ndarray, at: slice, uv: slice | None = None) -> tuple[np
 def flattened(region: Region, triangles: np.ndarray, height: float) -> dict[str, np.ndarray]:
     """Flatten what lies in the region to a height, with walls at the region's edges.
 
-    triangles: (n, 3, 3) in the region's frame. Gives kept (outside), flat and wall triangles. A wall stands where an edge of an
+    triangles: (n, 3, d), positions in the region's frame first, then any attributes. Gives kept (outside), flat and wall triangles. A wall stands where an edge of an
     inside polygon lies on an edge of the region and is off the height; where it crosses the height it is two walls.
     """
     xy = slice(0, 2)
@@ -179,7 +179,7 @@ def flattened(region: Region, triangles: np.ndarray, height: float) -> dict[str,
         below = p[:, 2] + q[:, 2] < 2 * height
         for tri in (np.stack([p, fp, fq], 1), np.stack([p, fq, q], 1)):
             made.append(np.where(below[:, None, None], tri[:, [0, 2, 1]], tri))
-    wall = np.concatenate(made) if made else np.empty((0, 3, 3))
+    wall = np.concatenate(made) if made else np.empty((0, 3, triangles.shape[2]))
     wall = wall[solid(wall, slice(0, 3))] if len(wall) else wall
     kept, _ = fans(outside)
     return {"kept": kept, "flat": flat[good], "wall": wall}

@@ -26,41 +26,75 @@ def in_reach(tiles: DataFrame, where: region.Region) -> DataFrame:
     return tiles.withColumn("__hull", hull).filter(~region.excludes_box(where, *(F.get("__hull", i) for i in (0, 1, 3, 4)))).drop("__hull")
 
 
+#: Metres from the earth's centre between which vertices of georeferenced contents lie.
+EARTH = (6.0e6, 7.0e6)
+
+
+def stacked(p: dict) -> tuple[np.ndarray, dict[str, slice]]:
+    """Vertices (n, d) of a primitive, positions first, and the columns of each further attribute."""
+    there = {"normals": p["normals"], "uvs": p["uvs"]} | p["more"]
+    parts, at, where = [p["positions"]], 3, {}
+    for name, values in there.items():
+        if values is not None:
+            parts.append(values)
+            where[name] = slice(at, at + values.shape[1])
+            at += values.shape[1]
+    return np.concatenate([np.asarray(v, float) for v in parts], axis=1), where
+
+
 def edit(content: bytes, transform: np.ndarray, where: region.Region, height: float | None) -> tuple[bytes | None, dict[str, int], list[float] | None]:
-    """The content with what lies in the region cut out (``height`` None: kept in the region only; else flattened to it), counts, and its new box in the tile's frame. Positions are rounded to 32 bits as stored, and the box is that of the rounded ones."""
-    _, centre = binary.unpack_b3dm(content)
+    """The content with what lies in the region cut out (``height`` None: kept in the region only; else flattened to it), counts, and its new box in the tile's frame.
+
+    Texture coordinates and colours are interpolated where triangles are cut, materials, textures and embedded images are kept.
+    Normals are interpolated too, but flattened triangles, walls, and primitives without normals take those of their faces.
+    Positions are rounded to 32 bits as stored, and the box is that of the rounded ones. Vertices that are not at an earth
+    radius from the centre are an error.
+    """
+    glb, centre = binary.unpack_b3dm(content)
     tile = np.eye(4)
     tile[:3, 3] = centre or (0, 0, 0)
     up = tile @ Z_UP
-    to_region = np.asarray(where.frame).reshape(4, 4).T @ np.asarray(transform, float).reshape(4, 4).T @ up
+    world = np.asarray(transform, float).reshape(4, 4).T @ up
+    to_region = np.asarray(where.frame).reshape(4, 4).T @ world
     back = np.linalg.inv(to_region)
     counts = {"before": 0, "after": 0, "flattened": 0, "walls": 0}
     out, corners = [], []
     for p in binary.read_primitives(content):
-        tri = p["positions"].astype(float)[p["indices"].reshape(-1, 3)]
+        vertices, columns = stacked(p)
+        radius = np.linalg.norm(vertices[:, :3] @ world[:3, :3].T + world[:3, 3], axis=1)
+        if not ((radius >= EARTH[0]) & (radius <= EARTH[1])).all():
+            raise binary.BinaryError("vertices are not earth-centred")
+        vertices[:, :3] = vertices[:, :3] @ to_region[:3, :3].T + to_region[:3, 3]
+        tri = vertices[p["indices"].reshape(-1, 3)]
         counts["before"] += len(tri)
-        at = tri @ to_region[:3, :3].T + to_region[:3, 3]
         if height is None:
-            kept, _ = clip.fans(clip.clipped(where, at, slice(0, 2)))
-            made = [kept]
+            kept, _ = clip.fans(clip.clipped(where, tri, slice(0, 2)))
+            made = {"kept": kept}
         else:
-            got = clip.flattened(where, at, height)
-            counts["flattened"] += len(got["flat"])
-            counts["walls"] += len(got["wall"])
-            made = list(got.values())
-        at = np.concatenate([m.reshape(-1, 3, 3) for m in made])
-        local = (at @ back[:3, :3].T + back[:3, 3]).astype(np.float32)
-        local = local[clip.solid(local.astype(float), slice(0, 3))] if len(local) else local
+            made = clip.flattened(where, tri, height)
+            counts["flattened"] += len(made["flat"])
+            counts["walls"] += len(made["wall"])
+        at = np.concatenate(list(made.values()))
+        own = np.concatenate([np.full(len(m), kind == "kept") for kind, m in made.items()])
+        local = (at[..., :3] @ back[:3, :3].T + back[:3, 3]).astype(np.float32)
+        good = clip.solid(local.astype(float), slice(0, 3)) if len(local) else np.empty(0, bool)
+        at, own, local = at[good], own[good], local[good]
         if not len(local):
             continue
         counts["after"] += len(local)
-        normal, _ = clip.face_frames(local.astype(float), slice(0, 3))
+        face, _ = clip.face_frames(local.astype(float), slice(0, 3))
+        normal = np.repeat(face[:, None], 3, 1)
+        if "normals" in columns:
+            smooth = at[..., columns["normals"]]
+            length = np.linalg.norm(smooth, axis=2, keepdims=True)
+            normal = np.where(own[:, None, None] & (length > 1e-12), smooth / np.maximum(length, 1e-12), normal)
         flat = local.reshape(-1, 3)
-        out.append({"positions": flat, "normals": np.repeat(normal, 3, 0), "indices": np.arange(len(flat))})
+        part = lambda name, at=at, columns=columns: at[..., columns[name]].reshape(len(at) * 3, -1) if name in columns else None
+        out.append({"positions": flat, "normals": normal.reshape(-1, 3), "uvs": part("uvs"), "more": {name: part(name) for name in p["more"]}, "indices": np.arange(len(flat)), "material": p["material"]})
         corners.append(flat.astype(float) @ up[:3, :3].T + up[:3, 3])
     if not out:
         return None, counts, None
-    glb = binary.write_glb(out)
+    glb = binary.write_glb(out, binary.looks(*binary.split_glb(glb)))
     data = binary.pack_b3dm(glb, centre) if content[:4] == binary.B3DM_MAGIC else glb
     lo, hi = np.concatenate(corners).min(0), np.concatenate(corners).max(0)
     half = np.maximum((hi - lo) / 2, 1e-6)

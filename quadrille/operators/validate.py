@@ -90,6 +90,11 @@ def repeated_documents(references: DataFrame) -> DataFrame:
     return references.groupBy("resolved").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.lit("CYCLE_DETECTED").alias("code"), F.col("resolved").alias("path"), F.concat(F.lit("tileset cycle detected at "), "resolved").alias("message"), F.lit("error").alias("severity"))
 
 
+def too_many(documents: DataFrame, most: int = MAX_TILESETS) -> DataFrame:
+    """One issue where a tree has more than ``most`` documents (path): the count is one aggregate."""
+    return documents.agg(F.countDistinct("path").alias("n"), F.min("path").alias("path")).filter(F.col("n") > most).select(F.lit("TOO_MANY_TILESETS").alias("code"), "path", F.concat(F.col("n").cast("string"), F.lit(f" tilesets, at most {most} are supported")).alias("message"), F.lit("error").alias("severity"))
+
+
 def unsupported(required: Column, allowed: tuple[str, ...] = ALLOWED_REQUIRED) -> Column:
     """Required extensions that are not allowed, sorted."""
     return F.array_sort(F.array_except(F.coalesce(required, F.array().cast("array<string>")), F.array(*map(F.lit, allowed))))

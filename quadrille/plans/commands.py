@@ -39,7 +39,7 @@ def validate_tileset(spark: SparkSession, folder: str, strict: bool = False) ->
         out = out.union(unknown.select(F.lit("UNSUPPORTED_EXTENSION"), "doc", F.concat(F.lit("unsupported extensionsRequired: "), F.array_join("names", ", ")), F.lit("error")))
         many = tiles.filter("n_contents > 0").select(F.lit("UNSUPPORTED_CONTENTS"), "loc", F.lit("contents[] is unsupported"), F.lit("error"))
         deep = tiles.filter(F.col("depth") > validate.MAX_NESTING).select(F.lit("NESTING_TOO_DEEP"), "loc", F.lit("tiles are nested too deep"), F.lit("error"))
-        out = out.union(many).union(deep)
+        out = out.union(many).union(deep).union(validate.too_many(tiles.select(F.col("doc").alias("path"))))
     return out
 
 

@@ -161,7 +161,7 @@ def scene_nodes(doc: dict) -> Iterator[tuple[dict, np.ndarray]]:
 
 
 def read_primitives(data: bytes) -> list[dict]:
-    """Primitives of a GLB or B3DM in its root frame (Y up as stored): positions, normals, uvs, indices, material."""
+    """Primitives of a GLB or B3DM in its root frame (Y up as stored): positions, normals, uvs, further texture coordinates and colours, indices, material."""
     glb, centre = unpack_b3dm(data)
     doc, blob = split_glb(glb)
     out = []
@@ -181,13 +181,31 @@ def read_primitives(data: bytes) -> list[dict]:
             index = prim.get("material")
             colour = (doc["materials"][index].get("pbrMetallicRoughness") or {}).get("baseColorFactor", [1.0, 1, 1, 1]) if index is not None else None
             key = "default" if index is None else f"mat{index}:" + ",".join(f"{c:.3f}" for c in colour)
-            out.append({"positions": pos.astype(np.float32), "normals": None if nor is None else nor.astype(np.float32), "uvs": get("TEXCOORD_0"), "indices": idx.astype(np.int32), "material_key": key, "centre": centre})
+            more = {name: get(name) for name in prim["attributes"] if name.startswith(("TEXCOORD_", "COLOR_")) and name != "TEXCOORD_0"}
+            out.append({"positions": pos.astype(np.float32), "normals": None if nor is None else nor.astype(np.float32), "uvs": get("TEXCOORD_0"), "more": more, "indices": idx.astype(np.int32), "material": index, "material_key": key, "centre": centre})
     return out
 
 
-def write_glb(primitives: list[dict]) -> bytes:
-    """A GLB with one node per primitive: positions (with min and max), and normals, texture coordinates and colour where given."""
-    doc = {"asset": {"version": "2.0"}, "scene": 0, "scenes": [{"nodes": []}], "nodes": [], "meshes": [], "accessors": [], "bufferViews": [], "materials": []}
+def looks(doc: dict, blob: bytes) -> tuple[dict, list[bytes | None]]:
+    """What a document's primitives look like: its materials, textures, samplers, images and the extensions they use, and each image's embedded bytes (None where it has a URI)."""
+    kept = {k: doc[k] for k in ("materials", "textures", "samplers", "images", "extensionsUsed", "extensionsRequired") if doc.get(k)}
+    data = []
+    for image in kept.get("images", []):
+        view = doc["bufferViews"][image["bufferView"]] if "bufferView" in image else None
+        at = view.get("byteOffset", 0) if view else 0
+        if view and at + view["byteLength"] > len(blob):
+            raise BinaryError("image exceeds the binary chunk")
+        data.append(blob[at : at + view["byteLength"]] if view else None)
+    return kept, data
+
+
+def write_glb(primitives: list[dict], look: tuple[dict, list[bytes | None]] | None = None) -> bytes:
+    """A GLB with one node per primitive: positions (with min and max), and normals, texture coordinates and colours where given.
+
+    With the ``looks`` of a document its materials and textures are kept, a primitive's ``material`` is its number in them, and
+    embedded images are moved to the new binary chunk; else each primitive has a material of its ``colour``.
+    """
+    doc = {"asset": {"version": "2.0"}, "scene": 0, "scenes": [{"nodes": []}], "nodes": [], "meshes": [], "accessors": [], "bufferViews": []} | (look[0] if look else {"materials": []})
     blob = bytearray()
 
     def add(values: np.ndarray, kind: int, shape: str, target: int, bounds: bool = False) -> int:
@@ -207,10 +225,25 @@ def write_glb(primitives: list[dict]) -> bytes:
             attributes["NORMAL"] = add(p["normals"], 5126, "VEC3", 34962)
         if p.get("uvs") is not None:
             attributes["TEXCOORD_0"] = add(p["uvs"], 5126, "VEC2", 34962)
-        doc["materials"].append({"pbrMetallicRoughness": {"baseColorFactor": list(p.get("colour", (1.0, 1.0, 1.0, 1.0)))}})
-        doc["meshes"].append({"primitives": [{"attributes": attributes, "indices": add(np.asarray(p["indices"]), 5125, "SCALAR", 34963), "material": len(doc["materials"]) - 1}]})
+        for name, values in p.get("more", {}).items():
+            attributes[name] = add(values, 5126, f"VEC{values.shape[1]}", 34962)
+        prim = {"attributes": attributes, "indices": add(np.asarray(p["indices"]), 5125, "SCALAR", 34963)}
+        if look is None:
+            doc["materials"].append({"pbrMetallicRoughness": {"baseColorFactor": list(p.get("colour", (1.0, 1.0, 1.0, 1.0)))}})
+            prim["material"] = len(doc["materials"]) - 1
+        elif p.get("material") is not None:
+            prim["material"] = p["material"]
+        doc["meshes"].append({"primitives": [prim]})
         doc["scenes"][0]["nodes"].append(len(doc["nodes"]))
         doc["nodes"].append({"mesh": len(doc["meshes"]) - 1})
+    if look and "images" in look[0]:
+        doc["images"] = []
+        for image, data in zip(look[0]["images"], look[1], strict=True):
+            if data is not None:
+                doc["bufferViews"].append({"buffer": 0, "byteOffset": len(blob), "byteLength": len(data)})
+                blob.extend(data + b"\0" * (-len(data) % 4))
+                image = image | {"bufferView": len(doc["bufferViews"]) - 1}
+            doc["images"].append(image)
     doc["buffers"] = [{"byteLength": len(blob) + -len(blob) % 4}]
     return join_glb(doc, bytes(blob))
 

@@ -5,7 +5,7 @@ import json
 import numpy as np
 from pyspark.sql import functions as F
 
-from quadrille.operators import contents, features, mesh, region
+from quadrille.operators import contents, features, mesh, region, validate
 from quadrille.plans import commands
 from quadrille.sources import binary, sinks
 from tests.test_operators import write_tilesets
@@ -47,6 +47,44 @@ def test_clip_and_flatten_contents(spark, tmp_path):
     assert commands.clip_contents(spark, str(tmp_path / "t"), away)["contents"].count() == 0
 
 
+def textured_plate(name="COLOR_0"):
+    """A plate of 200 m whose texture coordinates and colours follow x, with a texture of embedded bytes, written as a GLB."""
+    x = np.array([-100.0, 100, 100, -100])
+    look = ({"materials": [{"name": "plain"}, {"name": "skin", "pbrMetallicRoughness": {"baseColorTexture": {"index": 0}}}], "textures": [{"source": 0}], "images": [{"mimeType": "image/png", "bufferView": 7}]}, [b"picture"])
+    tint = np.column_stack([(x + 100) / 200, np.zeros(4), np.ones(4)])
+    prim = {"positions": np.column_stack([x, np.full(4, 5.0), [100, 100, -100, -100]]), "normals": np.tile([0.0, 1, 0], (4, 1)), "uvs": np.column_stack([(x + 100) / 200, np.zeros(4)]), "more": {name: tint}, "indices": [0, 1, 2, 0, 2, 3], "material": 1}
+    return binary.write_glb([prim], look)
+
+
+def test_edited_contents_keep_their_looks(spark, tmp_path):
+    place_mesh(tmp_path / "t")
+    (tmp_path / "t/a.b3dm").write_bytes(binary.pack_b3dm(textured_plate()))
+    for height in (None, 0.0):
+        row = commands.clip_contents(spark, str(tmp_path / "t"), square(50), height=height)["contents"].first()
+        assert row.error is None
+        doc, blob = binary.split_glb(binary.unpack_b3dm(bytes(row.content))[0])
+        assert [m["name"] for m in doc["materials"]] == ["plain", "skin"] and binary.images(doc, blob) == [("image/png", b"picture")]
+        (p,) = binary.read_primitives(bytes(row.content))
+        share = (p["positions"][:, 0] + 100) / 200
+        assert p["material"] == 1 and np.allclose(p["uvs"][:, 0], share, atol=1e-4) and np.allclose(p["more"]["COLOR_0"][:, 0], share, atol=1e-4)
+        assert np.allclose(np.linalg.norm(p["normals"], axis=1), 1, atol=1e-5)
+        assert (np.abs(p["normals"][:, 1]) < 0.1).any() == (height is not None)  # walls alone stand upright
+
+
+def test_contents_off_the_earth_are_errors(spark, tmp_path):
+    place_mesh(tmp_path / "t")
+    where = region.parse(square(50))
+    files = binary.binary_files(spark, str(tmp_path / "t")).withColumn("transform", F.array(*(F.lit(float(v)) for v in np.eye(4).ravel())))
+    row = contents.edited(files, where).first()
+    assert row.content is None and "earth-centred" in row.error
+
+
+def test_most_documents(spark):
+    docs = spark.createDataFrame([("a",), ("a",), ("b",)], "path string")
+    assert [r.code for r in validate.too_many(docs, 1).collect()] == ["TOO_MANY_TILESETS"] and validate.too_many(docs, 2).count() == 0
+    assert validate.too_many(docs.limit(0), 0).count() == 0
+
+
 def test_pruned_trees(spark):
     rows = [("r", ["r"], 1.0, None), ("a", ["r", "a"], 4.0, [0.0, 0, 0, 1, 0, 0, 0, 1, 0, 0, 0, 1]), ("b", ["r", "b"], 2.0, None), ("c", ["r", "b", "c"], 3.0, [10.0, 0, 0, 1, 0, 0, 0, 1, 0, 0, 0, 1]), ("d", ["r", "d"], 1.0, None)]
     rows = [(i, p, g, None if b is None else [float(x) for x in b]) for i, p, g, b in rows]
