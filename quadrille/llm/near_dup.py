@@ -40,6 +40,8 @@ ALIKE = 20
 BAND, BANDS = 1.1, 4
 #: Members that share one copy of their centre's text.
 FAN = 64
+#: Parts in which the pairs of an end are dealt where its count is looked up.
+SALTS = 64
 HALVES, ROWS = 12, 2
 SEEDS = mixed(np.arange(1, 2 * HALVES * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -118,13 +120,26 @@ def row_of(docs: DataFrame) -> list[Column]:
     return [F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.xxhash64("text").alias("text_key")]
 
 
+def counted(pairs: DataFrame, counts: DataFrame, side: str, other: str, name: str) -> DataFrame:
+    """The pairs with the count of their end ``side`` as ``name``, null where it is not in ``counts`` (end, m).
+
+    The join deals an end's pairs in SALTS parts by their other end; counts hold common ends only, so few rows are copied.
+    """
+    salted = counts.select(F.col("end").alias(side), F.col("m").alias(name), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("long"))
+    return dealt.join(salted, [side, "salt"], "left").drop("salt")
+
+
+def common_ends(ends: DataFrame, name: str) -> DataFrame:
+    """(end, m): the ends that more than FAN rows have, and how many."""
+    return staged(ends.groupBy("end").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > FAN), name)
+
+
 def leaning(pairs: DataFrame) -> DataFrame:
     """The pairs, each turned so that its centre is the end that more pairs have: copies of the text go by centres."""
-    ends = pairs.select(F.explode(F.array("node", "centre")).alias("end"))
-    many = staged(ends.groupBy("end").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > FAN), "op8-ends")
-    of = lambda side: many.select(F.col("end").alias(side), F.col("m").alias(f"{side}_m"))
+    many = common_ends(pairs.select(F.explode(F.array("node", "centre")).alias("end")), "op8-ends")
     turn = F.coalesce("node_m", F.lit(0)) > F.coalesce("centre_m", F.lit(0))
-    both = pairs.join(of("node"), "node", "left").join(of("centre"), "centre", "left")
+    both = counted(counted(pairs, many, "node", "centre", "node_m"), many, "centre", "node", "centre_m")
     return both.select(F.when(turn, F.col("centre")).otherwise(F.col("node")).alias("node"), F.when(turn, F.col("node")).otherwise(F.col("centre")).alias("centre"))
 
 
@@ -137,9 +152,9 @@ def compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     whole = docs.filter("text IS NOT NULL").select(*row_of(docs), "text")
     # Repeated rows become one again; the grouping keeps the join's partitioning.
     texts = staged(wanted.join(whole, ROW).groupBy(*ROW, "node").agg(F.first("text").alias("text")).select("node", "text"), "op8-texts")
-    many = staged(pairs.groupBy("centre").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > FAN), "op8-many")
+    many = common_ends(pairs.select(F.col("centre").alias("end")), "op8-many")
     fan = F.coalesce(F.ceil(F.col("members") / FAN), F.lit(1)).cast("long")
-    placed = pairs.select("node", "centre").join(many, "centre", "left").select("node", "centre", F.pmod(F.xxhash64("node"), fan).alias("part"))
+    placed = counted(pairs.select("node", "centre"), many, "centre", "node", "members").select("node", "centre", F.pmod(F.xxhash64("node"), fan).alias("part"))
     copies = placed.select("centre", "part").distinct().join(texts.select(F.col("node").alias("centre"), F.col("text").alias("centre_text")), "centre")
     sides = placed.join(texts, "node").join(copies, ["centre", "part"])
 
