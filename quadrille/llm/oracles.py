@@ -73,4 +73,41 @@ def rules_sql() -> str:
  SELECT v.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND rejected_by IS NULL AS kept, rejected_by FROM v LEFT JOIN x USING (doc_id)"""
 
 
-ORACLE = {"op3_licenses": license_sql(), "op8_near_dup": NEAR_DUP, "op10_quality_rules": rules_sql()}
+#: All phrases of up to five words are counted; parts of frequent ones are frequent.
+COLLOCATIONS = r"""WITH pieces AS (SELECT row_number() OVER () AS p, lang, piece FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+words AS (SELECT p, lang, string_split_regex(trim(piece, ' ' || chr(9)), '[ \x09]+') AS w FROM pieces WHERE trim(piece, ' ' || chr(9)) <> ''),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+sized AS (SELECT lang, w, i, unnest(range(1, 6)) AS m FROM starts),
+counts AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, m, count(*) AS f FROM sized WHERE i + m - 1 <= len(w) GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE m = 1 GROUP BY lang),
+frequent AS (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE f >= 100),
+covers AS (SELECT lang, array_to_string(w[1:m - 1], ' ') AS phrase, f FROM frequent WHERE m > 2 UNION ALL SELECT lang, array_to_string(w[2:m], ' ') AS phrase, f FROM frequent WHERE m > 2),
+kept AS (SELECT c.* FROM frequent c WHERE m > 1 AND NOT EXISTS (SELECT 1 FROM covers v WHERE v.lang = c.lang AND v.phrase = c.phrase AND 100 * v.f >= 100 * c.f)),
+cuts AS (SELECT lang, phrase, f AS a, w, m, unnest(range(1, m)) AS k FROM kept),
+scores AS (SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, t.n, ((1000::HUGEINT * c.a * t.n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c JOIN frequent x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ') JOIN frequent y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:c.m], ' ') JOIN totals t ON t.lang = c.lang),
+lowest AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000"""
+
+#: Prefixes are digests of all turns up to a depth; crc32 is taken bit by bit.
+PREFIX_TRIE = """WITH RECURSIVE ordered AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT conv_id FROM ordered),
+crc AS (SELECT conv_id, conv_id::VARCHAR AS s, 0 AS bit, 4294967295::BIGINT AS c FROM ids
+  UNION ALL SELECT conv_id, s, bit + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END
+  FROM (SELECT conv_id, s, bit, CASE WHEN bit % 8 = 0 THEN xor(c, ascii(s[bit // 8 + 1])::BIGINT) ELSE c END AS x FROM crc WHERE bit < 8 * length(s))),
+heads AS (SELECT conv_id, conv_id - conv_id % 5 AS root, xor(c, 4294967295::BIGINT) % 9 AS h FROM crc WHERE bit = 8 * length(s)),
+turns AS (SELECT h.conv_id, 0 AS part, o.pos, o.role, o.text FROM heads h JOIN ordered o ON o.conv_id = h.root AND o.pos < h.h UNION ALL SELECT h.conv_id, 1, o.pos, o.role, o.text FROM heads h JOIN ordered o ON o.conv_id = h.conv_id AND o.pos >= h.h),
+keyed AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth, sha256(length(role) || ':' || role || text) AS key, strlen(text) AS size FROM turns),
+chained AS (SELECT conv_id, depth, size, sha256(string_agg(key, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS id FROM keyed
+  UNION ALL SELECT conv_id, 0, 0, '' FROM ids),
+paths AS (SELECT *, lag(id) OVER (PARTITION BY conv_id ORDER BY depth) AS parent, lead(id) OVER (PARTITION BY conv_id ORDER BY depth) IS NULL AS ends FROM chained),
+nodes AS (SELECT id, any_value(parent) AS parent, any_value(depth) AS depth, any_value(size) AS size, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM paths GROUP BY id),
+children AS (SELECT parent AS id, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+owned AS (SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c ON c.id = n.id),
+-- A node adds to what is above it through its smallest member.
+above AS (SELECT a.id, count(*) FILTER (WHERE o.n_children = 0) AS n_leaves, sum((o.n_convs - 1) * o.size) AS saved_tokens FROM owned o JOIN paths a ON a.conv_id = o.conv_id AND a.depth <= o.depth GROUP BY a.id)
+SELECT o.conv_id, o.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, o.n_convs, o.n_children, a.n_leaves, a.saved_tokens::BIGINT AS saved_tokens, o.ends_sha256 FROM owned o JOIN above a ON a.id = o.id LEFT JOIN owned p ON p.id = o.parent"""
+
+
+ORACLE = {"op3_licenses": license_sql(), "op8_near_dup": NEAR_DUP, "op10_quality_rules": rules_sql(), "op12_collocations": COLLOCATIONS, "op13_prefix_trie": PREFIX_TRIE}

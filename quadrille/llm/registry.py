@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrille.llm import bpe, decontaminate, hmm, html_text, licenses, near_dup, pii, pu_quality, quality_rules, sharding
+from quadrille.llm import bpe, collocations, decontaminate, hmm, html_text, licenses, near_dup, pii, prefix_trie, pu_quality, quality_rules, sharding, simhash
 from quadrille.llm.common import table
 from quadrille.llm.oracles import ORACLE
 
@@ -57,6 +57,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_pii, op3_licenses, op4_pu_quality, op5_bpe, op6_hmm, op7_sharding, op8_near_dup, op9_decontaminate, op10_quality_rules)}
-#: ORACLE has SQL for three; parsers, checksums with context, models, tokenizers, hashed slots and templates can't be put in it.
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of each language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trie of all rebuilt conversations."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_pii, op3_licenses, op4_pu_quality, op5_bpe, op6_hmm, op7_sharding, op8_near_dup, op9_decontaminate, op10_quality_rules, op11_simhash, op12_collocations, op13_prefix_trie)}
+#: ORACLE has SQL for five; parsers, checksums with context, models, tokenizers, hashed slots and templates can't be put in it.
 __all__ = ["ORACLE", "QUERIES", "tokenizer_path"]
