@@ -72,11 +72,12 @@ def digest(nodes: DataFrame) -> DataFrame:
     return nodes.agg(F.count(F.lit(1)).alias("n_nodes"), F.count("uri").alias("n_contents"), F.sum(number).alias("stem_sum"))
 
 
-def emit(nodes: DataFrame) -> DataFrame:
-    """Nested JSON of a tree, bottom up: each level's children are put together per parent (a parent holds few) and join the level above.
+def emit(nodes: DataFrame, order: str = "id") -> DataFrame:
+    """Nested JSON of a tree, bottom up: each level's children are put together per parent (a parent holds few) and join the level above, which is checkpointed.
 
-    nodes: id, parent_id, depth, body (a JSON object as text). Gives id and json of the roots.
+    nodes: id, parent_id, depth, body (a JSON object as text); children come in the order of a column. Gives id and json of the roots.
     """
+    nodes = cut(nodes.withColumn("__order", F.col(order)))
     deepest = nodes.agg(F.max("depth")).first()[0]
     if deepest is None:
         return nodes.select("id", F.lit(None).cast("string").alias("json"))
@@ -84,14 +85,14 @@ def emit(nodes: DataFrame) -> DataFrame:
     for depth in range(deepest, -1, -1):
         level = nodes.filter(F.col("depth") == depth)
         if below is None:
-            done = level.select("id", "parent_id", F.col("body").alias("json"))
+            done = level.select("id", "parent_id", "__order", F.col("body").alias("json"))
         else:
-            kids = below.groupBy("parent_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "json"))), lambda c: c["json"]).alias("kids")).withColumnRenamed("parent_id", "id")
+            kids = below.groupBy("parent_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("__order", "id", "json"))), lambda c: c["json"]).alias("kids")).withColumnRenamed("parent_id", "id")
             joined = level.join(kids, "id", "left")
             inner = F.regexp_replace("body", r"\}\s*$", "")
             comma = F.when(F.trim(inner) == "{", "").otherwise(",")
-            done = joined.select("id", "parent_id", F.when(F.col("kids").isNull(), F.col("body")).otherwise(F.concat(inner, comma, F.lit('"children":['), F.array_join("kids", ","), F.lit("]}"))).alias("json"))
-        below = done
+            done = joined.select("id", "parent_id", "__order", F.when(F.col("kids").isNull(), F.col("body")).otherwise(F.concat(inner, comma, F.lit('"children":['), F.array_join("kids", ","), F.lit("]}"))).alias("json"))
+        below = cut(done)
     return below.select("id", "json")
 
 

@@ -160,8 +160,11 @@ def scene_nodes(doc: dict) -> Iterator[tuple[dict, np.ndarray]]:
         todo += [(c, world, depth + 1) for c in reversed(node.get("children", []))]
 
 
-def read_primitives(data: bytes) -> list[dict]:
-    """Primitives of a GLB or B3DM in its root frame (Y up as stored): positions, normals, uvs, further texture coordinates and colours, indices, material."""
+def read_primitives(data: bytes, strict: bool = False) -> list[dict]:
+    """Primitives of a GLB or B3DM in its root frame (Y up as stored): positions, normals, uvs, further texture coordinates and colours, indices, material.
+
+    Primitives that are no triangle lists are left out, or an error if ``strict``.
+    """
     glb, centre = unpack_b3dm(data)
     doc, blob = split_glb(glb)
     out = []
@@ -170,6 +173,8 @@ def read_primitives(data: bytes) -> list[dict]:
             continue
         for prim in doc["meshes"][node["mesh"]]["primitives"]:
             if prim.get("mode", 4) != 4 or "POSITION" not in prim.get("attributes", {}):
+                if strict:
+                    raise BinaryError("a primitive is no triangle list with positions")
                 continue
             get = lambda name, p=prim: accessor(doc, blob, p["attributes"][name]) if name in p["attributes"] else None
             pos = get("POSITION") @ world[:3, :3].T + world[:3, 3]

@@ -20,9 +20,14 @@ TILE = (
 )
 
 
+#: Reports that a rebuild leaves beside a tileset; they are no tile documents.
+REPORTS = ("rebuild_metrics.json",)
+
+
 def documents(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
-    """path and whole text of the JSON files below a folder."""
-    return spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    """path and whole text of the JSON files below a folder, reports left out."""
+    texts = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
+    return texts.select(F.input_file_name().alias("path"), F.col("value").alias("text")).filter(~F.element_at(F.split("path", "/"), -1).isin(*REPORTS))
 
 
 def _numbers(value: object) -> list[float] | None:
