@@ -1,8 +1,7 @@
-"""Indexed meshes: transforms, compaction, merging, simplification, box meshes. Numpy on one node's meshes at a time."""
+"""Indexed meshes: transforms, compaction, merging, borders, box meshes. Numpy on one node's meshes at a time."""
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,84 +53,6 @@ def border_vertices(indices: np.ndarray) -> np.ndarray:
     return np.unique(edges[counts == 1])
 
 
-def simplified(positions: np.ndarray, indices: np.ndarray, target_triangles: int, max_error: float = np.inf) -> tuple[np.ndarray, float]:
-    """Collapse edges by quadric error until the target or the error is reached: new indices into the same positions, and the largest error made (a distance).
-
-    Border vertices never move or vanish, so seams between neighbours stay closed. A collapse that would turn a face over is not made.
-    """
-    tri = indices.reshape(-1, 3).astype(int).copy()
-    p = np.asarray(positions, float)
-    if len(tri) <= target_triangles:
-        return tri.ravel(), 0.0
-    normal = np.cross(p[tri[:, 1]] - p[tri[:, 0]], p[tri[:, 2]] - p[tri[:, 0]])
-    normal /= np.maximum(np.linalg.norm(normal, axis=1, keepdims=True), 1e-300)
-    plane = np.column_stack([normal, -(normal * p[tri[:, 0]]).sum(1)])
-    quadric = np.zeros((len(p), 4, 4))
-    for k in range(3):
-        np.add.at(quadric, tri[:, k], plane[:, :, None] * plane[:, None, :])
-    locked = np.zeros(len(p), bool)
-    locked[border_vertices(tri.ravel())] = True
-    faces: list[set[int]] = [set() for _ in range(len(p))]
-    for f, corners in enumerate(tri):
-        for v in corners:
-            faces[v].add(f)
-    alive, version = len(tri), np.zeros(len(p), int)
-    dead = np.zeros(len(tri), bool)
-
-    def cost(a: int, b: int) -> float:
-        h = np.append(p[b], 1.0)
-        return float(max(0.0, h @ (quadric[a] + quadric[b]) @ h))
-
-    heap: list[tuple[float, int, int, int, int]] = []
-
-    def offer(a: int) -> None:
-        """Offer collapses of a into each neighbour, and of its neighbours into it."""
-        for b in {int(v) for f in faces[a] for v in tri[f]} - {a}:
-            for x, y in ((a, b), (b, a)):
-                if not locked[x]:
-                    heapq.heappush(heap, (cost(x, y), x, y, int(version[x]), int(version[y])))
-
-    for v in range(len(p)):
-        if faces[v] and not locked[v]:
-            offer(v)
-    worst = 0.0
-    while heap and alive > target_triangles:
-        c, a, b, va, vb = heapq.heappop(heap)
-        if version[a] != va or version[b] != vb or not faces[a] or not faces[b]:
-            continue
-        if c**0.5 > max_error:
-            break
-        shared = faces[a] & faces[b]
-        ring = ({int(v) for f in faces[a] for v in tri[f]} & {int(v) for f in faces[b] for v in tri[f]}) - {a, b}
-        if len(shared) != 2 or len(ring) != 2:
-            continue
-        turned = False
-        for f in faces[a] - shared:
-            old = p[tri[f]]
-            new = p[np.where(tri[f] == a, b, tri[f])]
-            n0, n1 = np.cross(old[1] - old[0], old[2] - old[0]), np.cross(new[1] - new[0], new[2] - new[0])
-            if n0 @ n1 <= 0.1 * np.linalg.norm(n0) * np.linalg.norm(n1):
-                turned = True
-                break
-        if turned:
-            continue
-        for f in shared:
-            dead[f] = True
-            for v in tri[f]:
-                faces[v].discard(f)
-        for f in faces[a]:
-            tri[f][tri[f] == a] = b
-            faces[b].add(f)
-        faces[a] = set()
-        quadric[b] += quadric[a]
-        alive -= len(shared)
-        worst = max(worst, c**0.5)
-        version[b] += 1
-        version[a] += 1
-        offer(b)
-    return tri[~dead].ravel(), worst
-
-
 def box_mesh(size: float, cells: int, centre: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Positions, normals, texture coordinates and indices of a cube of cells x cells quads per face."""
     u, v = np.meshgrid(np.linspace(0, 1, cells + 1), np.linspace(0, 1, cells + 1), indexing="ij")
@@ -155,30 +76,6 @@ def box_mesh(size: float, cells: int, centre: tuple[float, float, float] = (0.0,
     return np.concatenate(pos), np.concatenate(nor), np.concatenate(uvs), np.concatenate(idx)
 
 
-def build_proxies(children: DataFrame, budget: int, max_error: float = float("inf")) -> DataFrame:
-    """One simplified mesh per node: children (node, child, material, matrix to the node's frame, positions, indices) become (node, material, n_in, n_out, error, positions, indices).
-
-    Groups of a node share its triangle budget by their size, four at least. A node's meshes meet in one task, which their
-    budgets bound; very large sources should be simplified level by level.
-    """
-    schema = "node string, material string, n_in long, n_out long, error double, positions array<double>, indices array<int>"
-
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        total = sum(len(i) // 3 for i in batch["indices"])
-        rows = []
-        for material, group in batch.sort_values(["material", "child"]).groupby("material"):
-            parts = [(transformed(np.asarray(p, float).reshape(-1, 3), m), np.asarray(i, int)) for p, i, m in zip(group["positions"], group["indices"], group["matrix"], strict=True)]
-            positions, indices = merged(parts)
-            n = len(indices) // 3
-            target = max(4, int(np.floor(n / max(total, 1) * budget + 0.5)))
-            kept, error = simplified(positions, indices, target, max_error)
-            (positions,), kept = compacted([positions], kept)
-            rows.append((group["node"].iloc[0], material, n, len(kept) // 3, error, positions.ravel(), kept.astype(np.int32)))
-        return pd.DataFrame(rows, columns=["node", "material", "n_in", "n_out", "error", "positions", "indices"])
-
-    return children.groupBy("node").applyInPandas(run, schema)
-
-
 def border_table(meshes: DataFrame) -> DataFrame:
     """(mesh, x, y, z) of border points of whole meshes (mesh, positions, indices)."""
 

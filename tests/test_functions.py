@@ -11,7 +11,7 @@ from quadrille.functions import errors as E
 from quadrille.functions import geodesy as G
 from quadrille.functions import matrix as M
 from quadrille.functions import text as T
-from quadrille.operators import clip, mesh, region
+from quadrille.operators import clip, mesh, region, simplify
 from quadrille.sources import binary, scan
 
 
@@ -156,13 +156,14 @@ def test_simplify_keeps_borders():
     a = (j * (n + 1) + i).ravel()
     idx = np.column_stack([a, a + 1, a + n + 2, a, a + n + 2, a + n + 1]).ravel()
     before = mesh.border_vertices(idx)
-    kept, error = mesh.simplified(p, idx, 250)
+    points = simplify.spread(p, None, None, 0.0)
+    kept, error = simplify.collapsed(points, idx, 250)
     assert len(kept) // 3 <= 260 and error > 0
     assert set(before) <= set(mesh.border_vertices(kept))
     flat = p * [1, 1, 0]
     tri = flat[kept.reshape(-1, 3)]
     assert math.isclose(np.abs(np.cross(tri[:, 1] - tri[:, 0], tri[:, 2] - tri[:, 0])[:, 2]).sum() / 2, n * n, rel_tol=1e-6)
-    assert (mesh.simplified(p, idx, 10**6)[0] == idx).all()
+    assert (simplify.collapsed(points, idx, 10**6)[0] == idx).all()
     (q,), k = mesh.compacted([p], kept)
     assert np.allclose(q[k], p[kept]) and k[0] == 0 and len(q) == len(np.unique(kept))
 

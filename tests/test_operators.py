@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quadrille.operators import dedup, gap, grid, merge, mesh, quadtree, tasks, tree, validate
+from quadrille.operators import dedup, gap, grid, merge, quadtree, tasks, tree, validate
 from quadrille.sources import scan, tileset
 
 
@@ -166,17 +166,6 @@ def test_open_borders_have_the_known_gap(spark):
     assert gap.adjacent(gap.boxes(points), cell=3.0).count() == 1
 
 
-def test_proxies(spark):
-    pos, _, _, idx = mesh.box_mesh(10.0, 8)
-    shift = [1.0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, 20, 0, 0, 1]
-    rows = [("n", "a", "m0", [1.0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1], pos.ravel().tolist(), idx.tolist()), ("n", "b", "m0", shift, pos.ravel().tolist(), idx.tolist())]
-    rows = [(*r[:3], [float(x) for x in r[3]], *r[4:]) for r in rows]
-    got = mesh.build_proxies(spark.createDataFrame(rows, "node string, child string, material string, matrix array<double>, positions array<double>, indices array<int>"), 600).collect()
-    assert len(got) == 1 and got[0].n_in == 2 * 6 * 64 * 2 and got[0].n_out <= got[0].n_in
-    p = np.array(got[0].positions).reshape(-1, 3)
-    assert np.allclose([p.min(0), p.max(0)], [[-5, -5, -5], [25, 5, 5]])
-
-
 def test_scan(spark):
     rows = [("/d/Data/Tile_+0_+0/Tile_+0_+0.osgb", 5), ("/d/Data/Tile_+0_+0/x.OSGB", 7), ("/d/Data/Tile_+0_+0/note.txt", 9), ("/d/Data/Tile_1_1/x.osgb", 1), ("/d/Data/other/other.osgb", 2), ("/d/Data/junk/a.txt", 1), ("/d/metadata.xml", 3)]
     folders = scan.tile_folders(spark.createDataFrame(rows, "path string, length long"))
