@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.functions import matrix as M
-from quadrille.operators import clip, region
+from quadrille.operators import clip, features, region
+from quadrille.operators.clip import face_frames
 from quadrille.sources import binary
 
 #: glTF's Y-up frame in the tiles' Z-up frame.
@@ -42,15 +43,47 @@ def stacked(p: dict) -> tuple[np.ndarray, dict[str, slice]]:
     return np.concatenate([np.asarray(v, float) for v in parts], axis=1), where
 
 
+def normal_uv(material: dict | None) -> tuple[str, np.ndarray]:
+    """The texture coordinates that a material's normal map uses, and the linear part of its texture transform."""
+    texture = (material or {}).get("normalTexture") or {}
+    turn = (texture.get("extensions") or {}).get("KHR_texture_transform") or {}
+    number = turn.get("texCoord", texture.get("texCoord", 0))
+    if number not in (0, 1):
+        raise binary.BinaryError("normal maps must use texture coordinates 0 or 1")
+    (u, v), angle = turn.get("scale", (1.0, 1.0)), float(turn.get("rotation", 0.0))
+    c, s = np.cos(angle), np.sin(angle)
+    return ("uvs", "TEXCOORD_1")[number], np.array([[c * u, s * v], [-s * u, c * v]])
+
+
+def tangents(at: np.ndarray, own: np.ndarray, normal: np.ndarray, local: np.ndarray, columns: dict[str, slice], material: dict | None) -> np.ndarray:
+    """Tangents (m, 3, 4) of triangles: interpolated ones made square to the normal, and those of their faces for triangles that are new."""
+    name, linear = normal_uv(material)
+    faces, uv = local, None
+    if name in columns:
+        faces, uv = np.concatenate([local, at[..., columns[name]] @ linear.T], axis=2), slice(3, 5)
+    _, fresh = face_frames(faces, slice(0, 3), uv)
+    smooth = at[..., columns["TANGENT"]]
+    along = smooth[..., :3] - normal * (smooth[..., :3] * normal).sum(2, keepdims=True)
+    length = np.linalg.norm(along, axis=2, keepdims=True)
+    if (own[:, None] & (length[..., 0] < 1e-12)).any():
+        raise binary.BinaryError("a cut tangent has no length")
+    kept = np.concatenate([along / np.maximum(length, 1e-300), np.sign(smooth[..., 3:])], axis=2)
+    return np.where(own[:, None, None], kept, np.repeat(fresh[:, None], 3, 1))
+
+
 def edit(content: bytes, transform: np.ndarray, where: region.Region, height: float | None) -> tuple[bytes | None, dict[str, int], list[float] | None]:
     """The content with what lies in the region cut out (``height`` None: kept in the region only; else flattened to it), counts, and its new box in the tile's frame.
 
     Texture coordinates and colours are interpolated where triangles are cut, materials, textures and embedded images are kept.
-    Normals are interpolated too, but flattened triangles, walls, and primitives without normals take those of their faces.
+    Normals and tangents are interpolated too, but flattened triangles, walls, and primitives without normals take those of their
+    faces. What would be lost (other features, extensions, attributes, primitives that are no triangle lists) is an error.
     Positions are rounded to 32 bits as stored, and the box is that of the rounded ones. Vertices that are not at an earth
     radius from the centre are an error.
     """
     glb, centre = binary.unpack_b3dm(content)
+    doc, blob = binary.split_glb(glb)
+    if fault := features.content_fault(doc, len(content)):
+        raise binary.BinaryError(fault)
     tile = np.eye(4)
     tile[:3, 3] = centre or (0, 0, 0)
     up = tile @ Z_UP
@@ -59,7 +92,13 @@ def edit(content: bytes, transform: np.ndarray, where: region.Region, height: fl
     back = np.linalg.inv(to_region)
     counts = {"before": 0, "after": 0, "flattened": 0, "walls": 0}
     out, corners = [], []
-    for p in binary.read_primitives(content):
+    for p in binary.read_primitives(content, strict=True):
+        if len(p["indices"]) % 3 or (len(p["indices"]) and p["indices"].max() >= len(p["positions"])):
+            raise binary.BinaryError("indices are no triangles of the vertices")
+        if "TANGENT" in p["more"]:
+            hand = p["more"]["TANGENT"][:, 3][p["indices"].reshape(-1, 3)]
+            if (np.abs(hand) != 1).any() or (hand != hand[:, :1]).any():
+                raise binary.BinaryError("tangents of a triangle differ in handedness")
         vertices, columns = stacked(p)
         radius = np.linalg.norm(vertices[:, :3] @ world[:3, :3].T + world[:3, 3], axis=1)
         if not ((radius >= EARTH[0]) & (radius <= EARTH[1])).all():
@@ -82,19 +121,25 @@ def edit(content: bytes, transform: np.ndarray, where: region.Region, height: fl
         if not len(local):
             continue
         counts["after"] += len(local)
-        face, _ = clip.face_frames(local.astype(float), slice(0, 3))
+        face, _ = face_frames(local.astype(float), slice(0, 3))
         normal = np.repeat(face[:, None], 3, 1)
         if "normals" in columns:
             smooth = at[..., columns["normals"]]
             length = np.linalg.norm(smooth, axis=2, keepdims=True)
             normal = np.where(own[:, None, None] & (length > 1e-12), smooth / np.maximum(length, 1e-12), normal)
+        more = {}
+        if "TANGENT" in columns:
+            material = None if p["material"] is None else doc["materials"][p["material"]]
+            more["TANGENT"] = tangents(at, own, normal, local.astype(float), columns, material).reshape(-1, 4)
+        if 3 * len(local) > features.MOST_VERTICES:
+            raise binary.BinaryError("the edited primitive exceeds 1000000 vertices")
         flat = local.reshape(-1, 3)
         part = lambda name, at=at, columns=columns: at[..., columns[name]].reshape(len(at) * 3, -1) if name in columns else None
-        out.append({"positions": flat, "normals": normal.reshape(-1, 3), "uvs": part("uvs"), "more": {name: part(name) for name in p["more"]}, "indices": np.arange(len(flat)), "material": p["material"]})
+        out.append({"positions": flat, "normals": normal.reshape(-1, 3), "uvs": part("uvs"), "more": {name: part(name) for name in p["more"]} | more, "indices": np.arange(len(flat)), "material": p["material"]})
         corners.append(flat.astype(float) @ up[:3, :3].T + up[:3, 3])
     if not out:
         return None, counts, None
-    glb = binary.write_glb(out, binary.looks(*binary.split_glb(glb)))
+    glb = binary.write_glb(out, binary.looks(doc, blob))
     data = binary.pack_b3dm(glb, centre) if content[:4] == binary.B3DM_MAGIC else glb
     lo, hi = np.concatenate(corners).min(0), np.concatenate(corners).max(0)
     half = np.maximum((hi - lo) / 2, 1e-6)

@@ -48,6 +48,53 @@ def gltf_fault(doc: dict) -> str | None:
     return None
 
 
+#: Attributes that editing interpolates, with the accessor types they may have.
+ATTRIBUTES = {"POSITION": ("VEC3",), "NORMAL": ("VEC3",), "TANGENT": ("VEC4",), "TEXCOORD_0": ("VEC2",), "TEXCOORD_1": ("VEC2",), "COLOR_0": ("VEC3", "VEC4")}
+FLOAT, INDEX_TYPES = 5126, (5121, 5123, 5125)
+
+
+def content_fault(doc: dict, n_bytes: int) -> str | None:
+    """Why a payload's document can't be edited without a loss: features, limits, primitives or attributes that would vanish, references that lead nowhere."""
+    if fault := gltf_fault(doc):
+        return fault
+    if n_bytes > MOST_CONTENT:
+        return "content exceeds 128 MiB"
+    if len(doc.get("nodes") or []) > MOST_NODES:
+        return "content exceeds 100000 nodes"
+    if (doc.get("asset") or {}).get("version") != "2.0":
+        return "asset version is not 2.0"
+    if any("uri" in b for b in doc.get("buffers") or []):
+        return "a buffer lies outside the payload"
+    accessors = doc.get("accessors") or []
+    for mesh in doc.get("meshes") or []:
+        for p in mesh.get("primitives") or []:
+            if p.get("mode", 4) != 4:
+                return "a primitive is no triangle list"
+            if "material" in p and not 0 <= p["material"] < len(doc.get("materials") or []):
+                return "a primitive's material is missing"
+            used = p.get("attributes") or {}
+            if "POSITION" not in used:
+                return "a primitive has no positions"
+            for name, number in used.items():
+                a = accessors[number] if isinstance(number, int) and 0 <= number < len(accessors) else None
+                if name not in ATTRIBUTES:
+                    return f"attribute {name} would be lost"
+                if a is None or a.get("type") not in ATTRIBUTES[name]:
+                    return f"attribute {name} is malformed"
+                if name in ("POSITION", "NORMAL", "TANGENT") and a.get("componentType") != FLOAT:
+                    return f"attribute {name} is not of floats"
+            counts = {accessors[i].get("count") for i in used.values()}
+            if len(counts) != 1:
+                return "attributes differ in their counts"
+            if counts.pop() > MOST_VERTICES:
+                return "primitive exceeds 1000000 vertices"
+            if "indices" in p:
+                a = accessors[p["indices"]] if 0 <= p["indices"] < len(accessors) else {}
+                if a.get("type") != "SCALAR" or a.get("componentType") not in INDEX_TYPES or a.get("normalized"):
+                    return "indices are malformed"
+    return None
+
+
 def tileset_fault(doc: dict) -> str | None:
     """Why a tileset document can't be merged or clipped."""
     for o in _walk(doc):

@@ -200,6 +200,8 @@ def placed_primitives(data: bytes, matrix: np.ndarray, y_up: bool) -> Iterator[t
         material, images = looks(p["material"])
         p["positions"] = transformed(p["positions"].astype(float), m)
         p["normals"] = None if p["normals"] is None else transformed_normals(p["normals"].astype(float), m)
+        if "TANGENT" in p["more"]:
+            p["more"]["TANGENT"] = binary.transformed_tangents(p["more"]["TANGENT"], np.asarray(m).reshape(4, 4).T[:3, :3])
         p["indices"] = p["indices"].reshape(-1, 3).astype(np.int64)
         widths = {name: values.shape[1] for name, values in sorted(p["more"].items())}
         group = {"material": material, "more": widths, "normals": p["normals"] is not None, "uvs": p["uvs"] is not None}

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quadrille.functions import matrix as M
 from quadrille.functions import text as T
-from quadrille.operators import contents, region, tree, validate
+from quadrille.operators import contents, features, region, tree, validate
 from quadrille.operators.lineage import cut
 from quadrille.sources import binary, tileset
 
@@ -88,10 +88,15 @@ def edit_tileset(spark: SparkSession, folder: str, root_doc: str, where: dict |
     documents, the edited contents, and where flattened the contents out of reach as they are), ``counters`` and ``errors``
     (contents that can't be read; their tiles keep content and box, and nothing should be written while there are any).
     Tiles without content below are left out; where nothing is left there are no documents. Boxes are in the tile's frame and
-    hold all content below; errors are never below those of contents below. Tiles without a box are always read.
+    hold all content below; errors are never below those of contents below. Tiles without a box are always read. Documents with
+    features that an edit would break (several contents, implicit tiling, metadata classes, required extensions) are refused.
     """
     area = region.parse(where)
     docs = tileset.documents(spark, folder)
+    refused = docs.select("path", features.document_fault(F.col("text"), "tileset").alias("fault"), F.coalesce(F.get_json_object("text", "$.asset.gltfUpAxis"), F.lit("Y")).alias("axis"))
+    bad = refused.filter("fault IS NOT NULL OR axis <> 'Y'").agg(F.min(F.struct("path", F.coalesce("fault", F.lit("contents must be Y up")).alias("fault"))).alias("first")).first().first
+    if bad:
+        raise ValueError(f"unsupported document {bad.path}: {bad.fault}")
     all_ = linked(tileset.tiles(docs), root_doc)
     is_content = F.col("target").isNotNull() & ~F.lower("target").endswith(".json")
     wanted = all_.filter(is_content).select("id", F.col("target").alias("file"), "box", F.col("world").alias("transform"))

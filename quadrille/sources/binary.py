@@ -160,8 +160,15 @@ def scene_nodes(doc: dict) -> Iterator[tuple[dict, np.ndarray]]:
         todo += [(c, world, depth + 1) for c in reversed(node.get("children", []))]
 
 
+def transformed_tangents(tangents: np.ndarray, linear: np.ndarray) -> np.ndarray:
+    """Unit tangents (n, 4) through a linear map; a mirroring one turns their handedness."""
+    along = tangents[:, :3] @ linear.T
+    along /= np.maximum(np.linalg.norm(along, axis=1, keepdims=True), 1e-300)
+    return np.column_stack([along, tangents[:, 3] * (-1.0 if np.linalg.det(linear) < 0 else 1.0)])
+
+
 def read_primitives(data: bytes, strict: bool = False) -> list[dict]:
-    """Primitives of a GLB or B3DM in its root frame (Y up as stored): positions, normals, uvs, further texture coordinates and colours, indices, material.
+    """Primitives of a GLB or B3DM in its root frame (Y up as stored): positions, normals, uvs, further texture coordinates, colours and tangents, indices, material.
 
     Primitives that are no triangle lists are left out, or an error if ``strict``.
     """
@@ -187,6 +194,8 @@ def read_primitives(data: bytes, strict: bool = False) -> list[dict]:
             colour = (doc["materials"][index].get("pbrMetallicRoughness") or {}).get("baseColorFactor", [1.0, 1, 1, 1]) if index is not None else None
             key = "default" if index is None else f"mat{index}:" + ",".join(f"{c:.3f}" for c in colour)
             more = {name: get(name) for name in prim["attributes"] if name.startswith(("TEXCOORD_", "COLOR_")) and name != "TEXCOORD_0"}
+            if "TANGENT" in prim["attributes"]:
+                more["TANGENT"] = transformed_tangents(get("TANGENT"), world[:3, :3])
             out.append({"positions": pos.astype(np.float32), "normals": None if nor is None else nor.astype(np.float32), "uvs": get("TEXCOORD_0"), "more": more, "indices": idx.astype(np.int32), "material": index, "material_key": key, "centre": centre})
     return out
 
