@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.operators.grid import upper_median
 from quadrille.operators.lineage import cut
+from quadrille.operators.running import element
 
 AXES = ("x", "y", "z")
 
@@ -116,18 +116,26 @@ def gap_metrics(points: DataFrame, pairs: DataFrame) -> DataFrame:
     sided = band_points(pairs, points)
     a, b = sided.filter("side = 'a'").drop("side"), sided.filter("side = 'b'").drop("side")
     both = nearest(a, b, ["a", "b"]).select("a", "b", "d").union(nearest(b, a, ["a", "b"]).select("a", "b", "d"))
-    return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("max_gap"), p95(F.col("d")).alias("p95_gap"))
+    both = cut(both)
+    rank = element(both, ["a", "b"], "d", p95_index).withColumnRenamed("d", "p95_gap")
+    return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("max_gap")).join(rank, ["a", "b"])
+
+
+def p95_index(n: Column) -> Column:
+    """The place of the 95th percentile among n sorted values."""
+    return F.floor((n - 1) * 0.95 + 0.5)
 
 
 def p95(value: Column) -> Column:
-    """The element at index round((n - 1) * 0.95) of the sorted values; 0 of none. A group holds one seam's samples."""
+    """The element at index round((n - 1) * 0.95) of the sorted values, as an aggregate for small groups; 0 of none."""
     sorted_ = F.sort_array(F.collect_list(value))
     return F.coalesce(F.get(sorted_, F.floor((F.size(sorted_) - 1) * 0.95 + 0.5).cast("int")), F.lit(0.0))
 
 
 def overall(pair_metrics: DataFrame) -> DataFrame:
     """One row: the widest gap, the 95th percentile of the pairs' percentiles, and the pairs."""
-    return pair_metrics.agg(F.coalesce(F.max("max_gap"), F.lit(0.0)).alias("max_gap"), p95(F.col("p95_gap")).alias("p95_gap"), F.count(F.lit(1)).alias("n_pairs"))
-
+    pair_metrics = cut(pair_metrics)
+    rank = element(pair_metrics, [], "p95_gap", p95_index).agg(F.coalesce(F.max("p95_gap"), F.lit(0.0)).alias("p95_gap"))
+    all_ = pair_metrics.agg(F.coalesce(F.max("max_gap"), F.lit(0.0)).alias("max_gap"), F.count(F.lit(1)).alias("n_pairs"))
+    return all_.join(F.broadcast(rank)).select("max_gap", "p95_gap", "n_pairs")
 
-__all__ = ["adjacent", "band_points", "border_edges", "border_points", "boxes", "gap_metrics", "nearest", "overall", "p95", "upper_median"]

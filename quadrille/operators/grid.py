@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrille.operators.lineage import cut
+from quadrille.operators.running import element
+
 #: Spacings below this mean that two cells have one centre; cells below CELL are none.
 COLLAPSED, CELL = 1e-3, 1e-6
 #: A centre may be off by this share of a cell, and by one metre anyway.
@@ -37,10 +40,7 @@ def spacings(blocks: DataFrame) -> DataFrame:
 
 def upper_median(df: DataFrame, key: str, value: str) -> DataFrame:
     """(key, median) with the element at index n / 2 of the sorted values, from counts per value."""
-    counts = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(key).orderBy(value)
-    ranked = counts.select(key, value, F.sum("n").over(w).alias("upto"), F.sum("n").over(Window.partitionBy(key)).alias("total"))
-    return ranked.filter(F.col("upto") > F.floor(F.col("total") / 2)).groupBy(key).agg(F.min(value).alias("median"))
+    return element(df, [key], value, lambda n: F.floor(n / 2)).withColumnRenamed(value, "median")
 
 
 def cell_sizes(blocks: DataFrame) -> DataFrame:
@@ -71,11 +71,25 @@ def residuals(blocks: DataFrame) -> DataFrame:
 def missing_cells(blocks: DataFrame, expected: DataFrame | None = None) -> DataFrame:
     """Expected cells that no block fills; by default every cell of the blocks' own rectangle."""
     if expected is None:
-        box = blocks.agg(*(f(f"g{a}").alias(f"{n}{a}") for a in "xy" for n, f in (("lo", F.min), ("hi", F.max)))).filter("lox IS NOT NULL")
-        expected = box.select(F.explode(F.sequence("lox", "hix")).alias("gx"), "loy", "hiy").select("gx", F.explode(F.sequence("loy", "hiy")).alias("gy"))
+        return gaps(blocks.select("gx", "gy").distinct())
     return expected.join(blocks.select("gx", "gy").distinct(), ["gx", "gy"], "left_anti")
 
 
+def gaps(cells: DataFrame) -> DataFrame:
+    """(gx, gy) of the rectangle's cells that are not among distinct ones: what lies between neighbours of a column, and the columns without any. Full columns cost nothing."""
+    cells = cut(cells)
+    box = cells.agg(*(f(f"g{a}").alias(f"{n}{a}") for a in "xy" for n, f in (("lo", F.min), ("hi", F.max)))).filter("lox IS NOT NULL")
+    column = Window.partitionBy("gx").orderBy("gy")
+    at = cells.join(F.broadcast(box)).select("gx", "gy", "loy", "hiy", F.lag("gy").over(column).alias("before"), F.lead("gy").over(column).alias("after"))
+    below = at.select("gx", F.coalesce(F.col("before") + 1, "loy").alias("first"), (F.col("gy") - 1).alias("last"))
+    above = at.filter("after IS NULL").select("gx", (F.col("gy") + 1).alias("first"), F.col("hiy").alias("last"))
+    filled = cells.select("gx").distinct()
+    columns = filled.join(F.broadcast(box)).select("gx", "hix", F.lead("gx").over(Window.orderBy("gx")).alias("next"), "loy", "hiy")
+    empty = columns.filter("next > gx + 1").select(F.explode(F.sequence(F.col("gx") + 1, F.col("next") - 1)).alias("gx"), F.col("loy").alias("first"), F.col("hiy").alias("last"))
+    spans = below.union(above).union(empty).filter("first <= last")
+    return spans.select("gx", F.explode(F.sequence("first", "last")).alias("gy"))
+
+
 def lost(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """Keys that were in the input and are not in the output."""
     return before.select(key).distinct().join(after.select(key), key, "left_anti")

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrille.operators.running import running
+
 #: Milliseconds between emitted progress events.
 THROTTLE_MS = 400
 LOG_BYTES, TAIL_LINES, TAIL_LINES_MOST, STDERR_LINES, STDERR_BYTES = 200_000, 500, 5000, 100, 64 * 1024
@@ -125,22 +127,15 @@ def tail(lines: DataFrame, n: int = TAIL_LINES) -> DataFrame:
 
 
 def budget_tail(lines: DataFrame, key: str, order: str, size: Column, most_lines: int = STDERR_LINES, most_bytes: int = STDERR_BYTES) -> DataFrame:
-    """Per key the longest run of last lines within both limits; a line costs its size and one more."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return lines.select("*", F.row_number().over(w).alias("from_end"), F.sum(size + 1).over(w).alias("bytes_from_end")).filter((F.col("from_end") <= most_lines) & (F.col("bytes_from_end") <= most_bytes))
+    """Per key the longest run of last lines within both limits; a line costs its size and one more. A key's lines are the work of many tasks."""
+    upto = running(lines, [key], [F.desc(order)], {"from_end": F.lit(1), "bytes_from_end": size + 1})
+    return upto.filter((F.col("from_end") <= most_lines) & (F.col("bytes_from_end") <= most_bytes))
 
 
 def evict(entries: DataFrame, capacity: int, key: str, mtime: str, size: str) -> DataFrame:
-    """Which cache entries stay: the oldest go until the rest fits. ``kept`` and the sum of the newer ones.
-
-    A running total needs one order over all entries, so sizes are first summed per time slice, the few sums are accumulated,
-    and a window within each slice does the rest.
-    """
-    slices = entries.withColumn("__slice", F.floor(F.col(mtime).cast("double") / 86_400).cast("long"))
-    sums = slices.groupBy("__slice").agg(F.sum(size).alias("__sum"))
-    newer = sums.select("__slice", (F.sum("__sum").over(Window.orderBy(F.desc("__slice"))) - F.col("__sum")).alias("__newer"))
-    inside = F.sum(size).over(Window.partitionBy("__slice").orderBy(F.desc(mtime), F.desc(key)))
-    return slices.join(newer, "__slice").withColumn("__in", inside).withColumn("bytes_upto", F.col("__newer") + F.col("__in")).withColumn("kept", F.col("bytes_upto") <= capacity).drop("__slice", "__newer", "__in")
+    """Which cache entries stay: the oldest go until the rest fits. ``kept`` and the sum from the newest down to this one."""
+    upto = running(entries, [], [F.desc(mtime), F.desc(key)], {"bytes_upto": F.col(size)})
+    return upto.withColumn("kept", F.col("bytes_upto") <= capacity)
 
 
 def transitions(states: DataFrame, task: str = "task_id", seq: str = "seq") -> DataFrame:

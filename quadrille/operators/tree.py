@@ -1,23 +1,51 @@
 """Tile trees as rows: flattening, errors by level, probes and digests.
 
-Trees come as (key, parent, ...) rows. Depths and paths are found level by level with joins on the parent, until a level has no
-rows; a step touches only the rows of one level, which is checkpointed.
+Trees come as (key, parent, ...) rows. Depths, paths and products along paths are found by pointers that double their reach from
+round to round, each of which is checkpointed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadrille.functions import matrix as M
 from quadrille.operators.lineage import cut
 
+
+def jumped(nodes: DataFrame, key: str, up: str, combine: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
+    """What lies on each node's way up, put together: ``combine`` says how a column of what is above joins the node's own.
+
+    nodes: unique keys, ``up`` the parent (null at roots), and the columns. Pointers double: a node takes over all that its
+    pointer has gathered, so rounds grow with the logarithm of the depth. Nodes that no root reaches are left out.
+    """
+    names = list(combine)
+    state, before = cut(nodes.select(key, up, *names)), -1
+    while True:
+        todo, done = state.filter(F.col(up).isNotNull()), state.filter(F.col(up).isNull())
+        n_todo, n_done = state.agg(F.count_if(F.col(up).isNotNull()), F.count_if(F.col(up).isNull())).first()
+        # As long as a root is farther than the pointers reach, each round brings some nodes there; what is left then are cycles.
+        if not n_todo or n_done == before:
+            return done
+        before = n_done
+        above = state.select(F.col(key).alias("__key"), F.col(up).alias("__up"), *(F.col(n).alias(f"__{n}") for n in names))
+        joined = todo.join(above, F.col(up) == F.col("__key")).select(key, F.col("__up").alias(up), *(f(F.col(f"__{n}"), F.col(n)).alias(n) for n, f in combine.items()))
+        state = cut(done.union(joined))
+
+
 def flatten(nodes: DataFrame, key: str = "id", parent: str = "parent_id") -> DataFrame:
     """Every node that a root reaches, however deep: key, parent, depth, path (sort order of a depth-first walk) and ``cycle``.
 
     A root has a null parent. Where a key is met again on its own path the row is marked and not followed, so the walk ends.
+    Unique keys are a tree, whose paths double from round to round; keys with several parents are walked level by level.
     """
     edges = cut(nodes.select(key, parent))
     name = F.col(key).cast("string")
+    if edges.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        rows = jumped(edges.select(key, F.col(parent).alias("__above"), F.array(name).alias("path"), parent), key, "__above", {"path": lambda a, b: F.concat(a, b), parent: lambda a, b: b})
+        return rows.select(key, parent, (F.size("path") - 1).alias("depth"), "path", F.lit(False).alias("cycle"))
     level = cut(edges.filter(F.col(parent).isNull()).select(key, parent, F.lit(0).alias("depth"), F.array(name).alias("path"), F.lit(False).alias("cycle")))
     out, depth = level, 0
     while True:
@@ -30,21 +58,11 @@ def flatten(nodes: DataFrame, key: str = "id", parent: str = "parent_id") -> Dat
 
 
 def with_world(nodes: DataFrame) -> DataFrame:
-    """id, depth and world transform of each node: parent * local down from the root. Levels are joined one after the other, until none is left; more levels than nodes is an error (ids that repeat in a cycle)."""
-    from quadrille.functions import matrix as M
-
-    local = F.coalesce("transform", M.identity())
-    nodes = cut(nodes.select("id", "parent_id", "transform"))
-    level = nodes.filter("parent_id IS NULL").select("id", F.lit(0).alias("depth"), local.alias("world"))
-    out, depth, most = level, 0, nodes.count()
-    while True:
-        depth += 1
-        level = cut(nodes.join(level.select(F.col("id").alias("parent_id"), F.col("world").alias("up")), "parent_id").select("id", F.lit(depth).alias("depth"), M.multiply(F.col("up"), local).alias("world")))
-        if level.isEmpty():
-            return out
-        if depth > most:
-            raise ValueError("the tree has a cycle")
-        out = out.union(level)
+    """id, depth and world transform of each node that a root reaches: parent * local down from the root. Products double with the pointers; ids must be unique."""
+    rows = cut(nodes.select("id", "parent_id", F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("depth"), F.coalesce("transform", M.identity()).alias("world")))
+    if not rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        raise ValueError("an id stands twice in the tree")
+    return jumped(rows, "id", "parent_id", {"depth": lambda a, b: a + b, "world": M.multiply}).select("id", "depth", "world")
 
 
 def error_violations(nodes: DataFrame, slack: float = 0.0) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quadrille.operators import dedup, gap, grid, merge, quadtree, tasks, tree, validate
+from quadrille.operators import dedup, gap, grid, merge, quadtree, running, tasks, tree, validate
 from quadrille.sources import scan, tileset
 
 
@@ -233,3 +233,70 @@ def test_throttle_equals_the_loop(spark, seed):
     rng.shuffle(rows)
     got = tasks.throttle(spark.createDataFrame(rows, "task_id long, seq long, at_ms long, completed long, total long"))
     assert {(r.task_id, r.seq) for r in got.collect()} == want
+
+
+def test_deep_trees_take_few_rounds(spark, monkeypatch):
+    """A chain of 100,000 nodes, each shifted by one, with a branch and a cycle beside it."""
+    rounds = []
+    monkeypatch.setattr(tree, "cut", lambda df, own=tree.cut: (rounds.append(1), own(df))[1])
+    n = 100_000
+    chain = spark.range(n).select(F.col("id"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"))
+    beside = spark.createDataFrame([(n, 5), (n + 1, n + 2), (n + 2, n + 1), (n + 3, 10**9)], "id long, parent_id long")
+    step = F.array(*(F.lit(1.0 if i % 5 == 0 or i == 12 else 0.0) for i in range(16)))
+    found = tree.with_world(chain.union(beside).withColumn("transform", step))
+    bad = found.filter((F.col("id") < n) & ((F.col("depth") != F.col("id")) | (F.get("world", 12) != F.col("id") + 1)))
+    assert found.count() == n + 1 and bad.count() == 0 and found.filter(F.col("id") == n).first().depth == 6
+    assert len(rounds) - 2 < 20  # two of them come before the rounds
+    with pytest.raises(ValueError, match="twice"):
+        tree.with_world(spark.createDataFrame([(1, None), (1, None)], "id long, parent_id long").withColumn("transform", step))
+
+
+def test_flatten_marks_cycles_of_keys_with_several_parents(spark):
+    edges = [("r", None), ("a", "r"), ("b", "a"), ("a", "b"), ("b", "r")]
+    got = {("/".join(r.path), r.cycle) for r in tree.flatten(spark.createDataFrame(edges, "id string, parent_id string")).collect()}
+    assert got == {("r", False), ("r/a", False), ("r/b", False), ("r/a/b", False), ("r/b/a", False), ("r/a/b/a", True), ("r/b/a/b", True)}
+
+
+def test_running_sums_of_one_key_on_many_tasks(spark):
+    rng = random.Random(2)
+    rows = [(None if k == 3 else k, i, rng.randrange(10)) for k, n in ((1, 4000), (2, 3), (3, 40)) for i in rng.sample(range(10**6), n)]
+    df = spark.createDataFrame(rows, "k long, at long, v long")
+    got = running.running(df, ["k"], [F.desc("at")], {"upto": F.col("v"), "nth": F.lit(1)}, ranges=16)
+    want, sums = [], {}
+    for k, at, v in sorted(rows, key=lambda r: -r[1]):
+        s, n = sums.get(k, (0, 0))
+        sums[k] = s + v, n + 1
+        want.append((k, at, v, *sums[k]))
+    key = lambda r: (r[1], r[2])
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+    whole = running.running(df.drop("k"), [], [F.col("at"), F.col("v")], {"upto": F.col("v")}, ranges=8)
+    assert whole.agg(F.max("upto")).first()[0] == sum(r[2] for r in rows)
+    assert running.running(df.limit(0), ["k"], [F.col("at")], {"upto": F.col("v")}).collect() == []
+    # The ranges of one key are many tasks (where small ones aren't joined again, as here).
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        spread = running.running(df, ["k"], [F.desc("at")], {"upto": F.col("v")}, ranges=16).withColumn("p", F.spark_partition_id()).filter("k = 1")
+        assert spread.select("p").distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_elements_by_rank(spark):
+    rng = random.Random(3)
+    groups = {"a": [rng.randrange(50) / 7 for _ in range(500)], "b": [1.0], "c": [2.0, 1.0], None: [5.0, 4.0, 4.0]}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in [*vs, None]], "k string, v double")
+    got = {r.k: r.v for r in running.element(df, ["k"], "v", gap.p95_index).collect()}
+    assert got == {k: sorted(vs)[int((len(vs) - 1) * 0.95 + 0.5)] for k, vs in groups.items()}
+    assert {r.k: r.median for r in grid.upper_median(df, "k", "v").collect()} == {k: sorted(vs)[len(vs) // 2] for k, vs in groups.items()}
+    assert running.element(df, [], "v", lambda n: n - 1).first().v == max(v for vs in groups.values() for v in vs)
+
+
+def test_gaps_of_grids(spark):
+    rng = random.Random(5)
+    cells = {(rng.randrange(-3, 9), rng.randrange(4, 12)) for _ in range(30)} | {(-3, 4), (8, 11)}
+    cells = {c for c in cells if c[0] not in (2, 3)}
+    x, y = [c[0] for c in cells], [c[1] for c in cells]
+    want = {(a, b) for a in range(min(x), max(x) + 1) for b in range(min(y), max(y) + 1)} - cells
+    df = spark.createDataFrame([*cells, *cells], "gx int, gy int")
+    assert sorted(map(tuple, grid.missing_cells(df).collect())) == sorted(want)
+    assert grid.missing_cells(df.limit(0)).count() == 0 and grid.missing_cells(spark.createDataFrame([(1, 1)], "gx int, gy int")).count() == 0
