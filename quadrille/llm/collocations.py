@@ -2,9 +2,9 @@
 
 Words that are too rare separate, and so do pairs of neighbours that are too rare. Around each word, the pivot, stands a fragment:
 what can be reached to both sides without meeting a rarer word, four words at most. A phrase belongs to the fragments of its
-rarest word (of equal ones the first), so each occurrence is in one fragment as its own. Fragments are dealt by their pivot, equal
-ones as one row with a number; each task counts the phrases that hold the pivot, which are whole counts there. Pivots with more
-than a share of all words are dealt in parts by fragment, and their counts are added up.
+rarest word (of equal ones the first), so each occurrence is in one fragment as its own. Fragments go to their pivot, equal ones
+with a number, all of a worker's in one row; there the phrases that hold the pivot are counted, and only the frequent ones come
+out. Pivots with more than PART words are dealt in parts by fragment, and their counts are added up.
 
 What tasks must know of all words is bounded: the order of words and the rare ones come from TABLE counters by hash, which hold
 the count of the most frequent word there; rare pairs from a bitmap. Clashes in these keep more fragments, and change no result:
@@ -30,8 +30,8 @@ from quadrille.llm.words import MIX, WordTable, mixed, text_runs
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Bits of a hash that find a word's counter (16 MB in all), and a pair's bit (4 MB).
 TABLE, PAIRS = 22, 25
-#: A pivot with more than this share of all words, and more than PART words, is dealt in parts.
-SHARE, PART = 1000, 10_000
+#: Occurrences of a pivot that are mined at once; fragments in a row.
+PART, ROW = 500_000, 5_000
 #: Entries that a worker holds before it gives them out.
 HELD = 400_000
 NO_LANG = "und"
@@ -171,21 +171,25 @@ def windows_of(run: list[bytes], f: np.ndarray, hashes: np.ndarray, bits: np.nda
     return at, left[at], right[at], order[at]
 
 
-def fragments(docs: DataFrame, known, bits, share: int) -> DataFrame:
-    """(lang, pivot, parts, part, before, words, n): equal fragments of a worker's runs as one row; ``before`` words stand left of the pivot."""
+def fragments(docs: DataFrame, known, bits, share: int = 0) -> DataFrame:
+    """(lang, pivot, parts, part, before, words, n): the fragments of a pivot in a worker's runs, equal ones once; ``before`` words stand left of the pivot."""
+    share = share or PART
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, held = Words(), {}
 
         def out() -> Iterator[pd.DataFrame]:
             for lang, counts in held.items():
-                rows = list(counts.items())
-                for i in range(0, len(rows), 50_000):
-                    (pivots, before, words), n = zip(*(k for k, _ in rows[i : i + 50_000])), [v for _, v in rows[i : i + 50_000]]
-                    pivots = np.array(pivots, np.uint64)
-                    parts = 1 + (pivots >> np.uint64(32)).astype(np.int64) // share
-                    part = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % parts
-                    yield pd.DataFrame({"lang": lang, "pivot": pivots.view(np.int64), "parts": parts, "part": part, "before": before, "words": [w.decode("utf-8", "surrogatepass") for w in words], "n": n})
+                by_pivot: dict[tuple[int, int, int], list] = {}
+                for (pivot, before, words), n in counts.items():
+                    parts = 1 + (pivot >> 32) // share
+                    by_pivot.setdefault((pivot, parts, zlib.crc32(words) % parts), []).append((before, words.decode("utf-8", "surrogatepass"), n))
+                rows = [(key, part[i : i + ROW]) for key, part in by_pivot.items() for i in range(0, len(part), ROW)]
+                for i in range(0, len(rows), 5_000):
+                    some = rows[i : i + 5_000]
+                    pivots = np.array([k[0] for k, _ in some], np.uint64).view(np.int64)
+                    lists = {name: [[f[j] for f in part] for _, part in some] for j, name in enumerate(("before", "words", "n"))}
+                    yield pd.DataFrame({"lang": lang, "pivot": pivots, "parts": [k[1] for k, _ in some], "part": [k[2] for k, _ in some]} | lists)
             held.clear()
 
         for lang, run_ in by_lang(batches):
@@ -202,23 +206,57 @@ def fragments(docs: DataFrame, known, bits, share: int) -> DataFrame:
                 yield from out()
         yield from out()
 
-    return docs.select("lang", "text").mapInPandas(run, "lang string, pivot long, parts long, part long, before int, words string, n long")
+    return docs.select("lang", "text").mapInPandas(run, "lang string, pivot long, parts long, part long, before array<int>, words array<string>, n array<long>")
 
 
 def mined(found: DataFrame) -> DataFrame:
     """(lang, phrase, size, a): the phrases of LEAST occurrences that hold their fragment's pivot.
 
-    Fragments meet by pivot and part, and phrases are counted where they meet.
+    A task gets its pivots one after the other and holds the phrases of one. Those of a pivot in parts, or of one with more than
+    HELD phrases, come out as partial counts, which are added up.
     """
+    least, held = LEAST, HELD
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, whole, counts, rows = None, True, Counter(), []
+
+        def close() -> None:
+            for phrase, a in counts.items():
+                if not whole or a >= least:
+                    rows.append((last[0], " ".join(phrase), len(phrase), a, whole))
+            counts.clear()
+
+        def given() -> pd.DataFrame:
+            frame = pd.DataFrame(rows, columns=["lang", "phrase", "size", "a", "whole"])
+            rows.clear()
+            return frame
+
+        for batch in batches:
+            for lang, pivot, parts, part, before, words, n in batch.itertuples(index=False):
+                if (lang, pivot, part) != last:
+                    if counts:
+                        close()
+                    last, whole = (lang, pivot, part), parts == 1
+                for p, text, times in zip(before.tolist(), words, n.tolist()):
+                    w = text.split(" ")
+                    for i in range(p + 1):
+                        for j in range(max(p + 1, i + 2), min(len(w), i + LONGEST) + 1):
+                            counts[tuple(w[i:j])] += times
+                if len(counts) > held:
+                    whole = False
+                    close()
+                if len(rows) > 20_000:
+                    yield given()
+        if counts:
+            close()
+        if rows:
+            yield given()
+
     keys = ["lang", "pivot", "part"]
-    words = found.repartition(*keys).select(*keys, "parts", "n", F.split("words", " ").alias("w"), "before")
-    first = words.select("*", F.explode(F.sequence(F.lit(0), F.col("before"))).alias("i")).filter("i < size(w) - 1")
-    both = first.select("*", F.explode(F.sequence(F.greatest("before", F.col("i") + 1), F.least(F.size("w") - 1, F.col("i") + LONGEST - 1))).alias("j"))
-    size = F.col("j") - F.col("i") + 1
-    each = both.select(*keys, "parts", "n", size.alias("size"), F.array_join(F.slice("w", F.col("i") + 1, size), " ").alias("phrase"))
-    counts = staged(each.groupBy(*keys, "parts", "phrase", "size").agg(F.sum("n").alias("a")).filter((F.col("parts") > 1) | (F.col("a") >= LEAST)), "op12-counts")
-    split = counts.filter("parts > 1").groupBy("lang", "phrase", "size").agg(F.sum("a").alias("a")).filter(F.col("a") >= LEAST)
-    return counts.filter("parts = 1").select("lang", "phrase", "size", "a").union(split)
+    dealt = found.repartition(*keys).sortWithinPartitions(*keys).select("lang", "pivot", "parts", "part", "before", "words", "n")
+    counts = staged(dealt.mapInPandas(run, "lang string, phrase string, size int, a long, whole boolean"), "op12-counts")
+    split = counts.filter("NOT whole").groupBy("lang", "phrase", "size").agg(F.sum("a").alias("a")).filter(F.col("a") >= LEAST)
+    return counts.filter("whole").select("lang", "phrase", "size", "a").union(split)
 
 
 def scored(candidates: DataFrame, words: DataFrame, totals: DataFrame) -> DataFrame:
@@ -259,8 +297,7 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
     bound_batches(spark)
     words = staged(word_counts(docs), "op12-words")
     totals = staged(words.groupBy("lang").agg(F.sum("f").alias("n")), "op12-totals")
-    total = totals.agg(F.sum("n")).collect()[0][0] or 0
     known = spark.sparkContext.broadcast(counters(words))
     bits = spark.sparkContext.broadcast(pair_bits(counted_pairs(docs, known)))
-    candidates = staged(mined(fragments(docs, known, bits, max(PART, total // SHARE))), "op12-candidates")
+    candidates = staged(mined(fragments(docs, known, bits)), "op12-candidates")
     return ranked(scored(candidates, words, totals), top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -138,11 +138,12 @@ def prose(n, seed=11):
     return out
 
 
-@pytest.mark.parametrize("share", [10_000, 20])
-def test_collocations_equal_brute_force(spark, monkeypatch, share):
-    """Also with pivots dealt in parts (a share of 20 words)."""
+@pytest.mark.parametrize("part,held", [(500_000, 400_000), (20, 400_000), (500_000, 10)])
+def test_collocations_equal_brute_force(spark, monkeypatch, part, held):
+    """Also with pivots dealt in parts (of 20 words), and with more phrases of a pivot than are held."""
     monkeypatch.setattr(collocations, "LEAST", 4)
-    monkeypatch.setattr(collocations, "PART", share)
+    monkeypatch.setattr(collocations, "PART", part)
+    monkeypatch.setattr(collocations, "HELD", held)
     rows = [*prose(260), *[(900 + i, "one rare phrase of words stands here whole", "en", "s", 1) for i in range(9)], (None, None, None, None, None), (7, "", "en", "s", 0)]
     found = collocations.collocations(spark.createDataFrame(rows, DOC), top=30)
     assert sorted(map(tuple, found.collect())) == phrases([(r[1], r[2]) for r in rows], 4, 30)
