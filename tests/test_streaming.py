@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -68,3 +69,50 @@ def test_throttle_equals_batch(spark, tmp_path):
     q.stop()
     want = {(str(r.task_id), r.seq) for r in tasks.throttle(spark.createDataFrame(rows, schema)).collect()}
     assert {(r.task_id, r.seq) for r in spark.sql("SELECT * FROM throttle").collect()} == want
+
+
+def test_late_events_of_a_later_batch_are_folded_by_seq(spark, tmp_path):
+    """The same events dealt to files in any order give the batch fold's rows."""
+    src = tmp_path / "log"
+    src.mkdir()
+    rows = write_log(tmp_path, 0)
+    rng = random.Random(7)
+    rng.shuffle(rows)
+    for i in range(4):
+        f = src / f"{i}.jsonl"
+        f.write_text("\n".join(json.dumps(e) for e in rows[i * 30 : (i + 1) * 30]))
+        os.utime(f, (1_700_000_000 + i * 100,) * 2)
+    q = events.folded(events.parsed(events.lines(spark, str(src), 1))).writeStream.outputMode("update").format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    last = {}
+    for r in spark.sql("SELECT * FROM late").collect():
+        if r.task_id not in last or r.n_events > last[r.task_id].n_events:
+            last[r.task_id] = r
+    batch = {r.task_id: r for r in tasks.fold(events.parsed(spark.read.text(str(src)))).collect()}
+    assert {t: r.asDict() for t, r in last.items()} == {t: {c: r[c] for c in last[t].asDict()} for t, r in batch.items()}
+
+
+def test_ended_tasks_leave_no_state(spark, tmp_path):
+    """A task with a result loses its state after the grace time: its next event starts anew; one without keeps it."""
+    src = tmp_path / "log"
+    src.mkdir()
+    event = lambda task, seq, kind: json.dumps({"taskId": task, "seq": seq, "type": kind, "path": "/o", "stage": "scan"})
+    stream = events.folded(events.parsed(events.lines(spark, str(src), 1)), grace_ms=1, idle_ms=10**9)
+    steps = [[event("done", 0, "stage"), event("done", 1, "result"), event("open", 0, "stage")], [event("tick", 0, "warning")], [event("done", 5, "warning"), event("open", 5, "warning")]]
+    q = stream.writeStream.outputMode("update").format("memory").queryName("ended").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        rows = 0
+        for i, lines in enumerate(steps):
+            (tmp_path / f"{i}.part").write_text("\n".join(lines))
+            os.utime(tmp_path / f"{i}.part", (1_700_000_000 + i * 100,) * 2)
+            os.replace(tmp_path / f"{i}.part", src / f"{i}.jsonl")
+            rows, end = rows + len(lines), time.time() + 40
+            # Such a stream never comes to rest: wait until the lines have been read.
+            while sum(p["numInputRows"] for p in q.recentProgress) < rows and time.time() < end:
+                time.sleep(0.2)
+    finally:
+        q.stop()
+    last = {r.task_id: r for r in spark.sql("SELECT * FROM ended").collect()}
+    assert last["done"].n_events == 1 and last["done"].result_path is None
+    assert last["open"].n_events == 2 and last["open"].stage == "scan"
