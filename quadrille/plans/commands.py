@@ -10,6 +10,7 @@ from quadrille.functions import matrix as M
 from quadrille.functions import text as T
 from quadrille.operators import contents, features, grid, merge, quadtree, region, tree, validate
 from quadrille.sources import binary, scan, tileset
+from quadrille.sources import headers as payloads
 
 
 def scan_dataset(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -35,6 +36,9 @@ def validate_tileset(spark: SparkSession, folder: str, strict: bool = False) ->
     documents = tiles.filter(F.lower(T.clean_uri(F.col("uri"))).endswith(".json")).select(T.resolve_path(inside(F.col("base")), F.col("uri")).alias("resolved"))
     out = out.union(validate.repeated_documents(documents))
     if strict:
+        # What the JSON chunk tells, from ranged reads; the headers above have told the rest.
+        inner = payloads.headers(spark, folder).filter("fault RLIKE '^(GLB_JSON|GLB_BIN|GLB_CHUNK|GLB_MAGIC|BUFFER_VIEW)'")
+        out = out.union(inner.select(F.regexp_extract("fault", "^([A-Z0-9_]+)", 1), "path", "fault", F.lit("error")))
         unknown = tiles.filter("parent_loc IS NULL").withColumn("names", features.unsupported_required(F.col("required"))).filter(F.size("names") > 0)
         out = out.union(unknown.select(F.lit("UNSUPPORTED_EXTENSION"), "doc", F.concat(F.lit("unsupported extensionsRequired: "), F.array_join("names", ", ")), F.lit("error")))
         many = tiles.filter("n_contents > 0").select(F.lit("UNSUPPORTED_CONTENTS"), "loc", F.lit("contents[] is unsupported"), F.lit("error"))

@@ -23,4 +23,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from quadrille.plans import meshes, rules, spatial, stores, texts  # noqa: E402, F401  (they fill the tables)
+from quadrille.plans import meshes, rebuilds, rules, spatial, stores, texts  # noqa: E402, F401  (they fill the tables)
