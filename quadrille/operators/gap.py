@@ -40,23 +40,29 @@ def adjacent(meshes: DataFrame, cell: float | None = None) -> DataFrame:
     """Pairs (a < b) of meshes that share a face band, with the axis between them.
 
     Neighbours are apart on one axis by 1.6 mean extents at most (or are thin and close) and overlap on the other two. Meshes meet
-    by the cells of a grid in x and y that their grown boxes touch; a cell is twice the mean extent where none is given.
+    in x and y by a grid for each size: a mesh is at home where a cell is as wide as its grown box, so in four cells at most, and
+    visits the coarser grids that others are at home in. A pair meets in the coarser one's home and is reported by one cell alone,
+    so extents may differ by any factor. ``cell`` is the least width of a cell, where given.
     """
-    if cell is None:
-        mean_ext = meshes.agg(F.avg(F.greatest("ext_x", "ext_y"))).first()[0]
-        cell = 2 * mean_ext if mean_ext else 1.0
-    left, right = (meshes.select(*(F.col(c).alias(f"{s}_{c}") for c in meshes.columns)) for s in "ab")
-    order = F.col("a_mesh") < F.col("b_mesh")
-
-    def grown(s: str, df: DataFrame) -> DataFrame:
-        ext = {a: F.col(f"{s}_ext_{a}") for a in AXES}
-        close = F.greatest(*ext.values(), F.lit(1.0)) * 0.5
-        for a in "xy":
-            by = F.greatest(ext[a] * 1.6, close)
-            df = df.withColumn(f"cell_{a}", F.explode(F.sequence(F.floor((F.col(f"{s}_min_{a}") - by) / cell).cast("long"), F.floor((F.col(f"{s}_max_{a}") + by) / cell).cast("long"))))
-        return df
-
-    pairs = grown("a", left).join(grown("b", right), ["cell_x", "cell_y"]).filter(order).drop("cell_x", "cell_y").distinct()
+    close = F.greatest("ext_x", "ext_y", "ext_z", F.lit(1.0)) * 0.5
+    by = {a: F.greatest(F.col(f"ext_{a}") * 1.6, close) for a in "xy"}
+    low, high = {a: F.col(f"min_{a}") - by[a] for a in "xy"}, {a: F.col(f"max_{a}") + by[a] for a in "xy"}
+    level = F.ceil(F.log2(F.greatest(high["x"] - low["x"], high["y"] - low["y"], F.lit(float(cell or 0.0))))).cast("int")
+    boxed = cut(meshes.select(F.struct(*meshes.columns).alias("m"), level.alias("home"), *(low[a].alias(f"low_{a}") for a in "xy"), *(high[a].alias(f"high_{a}") for a in "xy")))
+    # One row: a double has no more than some two thousand exponents.
+    levels = boxed.agg(F.collect_set("home").alias("levels"))
+    at = boxed.join(F.broadcast(levels)).withColumn("level", F.explode(F.filter("levels", lambda x: x >= F.col("home")))).drop("levels")
+    place = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level"))).cast("long")
+    for a in "xy":
+        at = at.withColumn(f"first_{a}", place(f"low_{a}")).withColumn(f"cell_{a}", F.explode(F.sequence(F.col(f"first_{a}"), place(f"high_{a}"))))
+    keys = ["level", "cell_x", "cell_y"]
+    own = at.filter("level = home").select(*keys, F.col("m").alias("o"), F.col("first_x").alias("own_x"), F.col("first_y").alias("own_y"))
+    visits = at.select(*keys, "m", "home", "first_x", "first_y")
+    once = (F.col("cell_x") == F.greatest("own_x", "first_x")) & (F.col("cell_y") == F.greatest("own_y", "first_y"))
+    met = own.join(visits, keys).filter(once & ((F.col("home") < F.col("level")) | (F.col("o.mesh") < F.col("m.mesh"))) & (F.col("o.mesh") != F.col("m.mesh")))
+    first = F.col("o.mesh") < F.col("m.mesh")
+    sides = met.select(F.when(first, F.col("o")).otherwise(F.col("m")).alias("a"), F.when(first, F.col("m")).otherwise(F.col("o")).alias("b"))
+    pairs = sides.select(*(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in meshes.columns))
     sep = {a: F.abs(F.col(f"a_mid_{a}") - F.col(f"b_mid_{a}")) for a in AXES}
     mean = {a: (F.col(f"a_ext_{a}") + F.col(f"b_ext_{a}")) * 0.5 for a in AXES}
     over = {a: F.greatest(f"a_min_{a}", f"b_min_{a}") <= F.least(f"a_max_{a}", f"b_max_{a}") + 1e-3 for a in AXES}
@@ -70,7 +76,7 @@ def adjacent(meshes: DataFrame, cell: float | None = None) -> DataFrame:
     mid = pick(lambda a: (F.col(f"a_mid_{a}") + F.col(f"b_mid_{a}")) * 0.5)
     band = pick(lambda a: F.greatest((F.col(f"a_ext_{a}") + F.col(f"b_ext_{a}")) * 0.15, F.lit(0.5)))
     size = F.greatest(sum((F.col(f"{s}_ext_{a}") for s in "ab" for a in AXES if (s, a) != ("a", "x")), F.col("a_ext_x")) / 6, F.lit(1.0))
-    return found.select(F.col("a_mesh").alias("a"), F.col("b_mesh").alias("b"), "axis", mid.alias("mid"), band.alias("band"), size.alias("cell"))
+    return cut(found.select(F.col("a_mesh").alias("a"), F.col("b_mesh").alias("b"), "axis", mid.alias("mid"), band.alias("band"), size.alias("cell")))
 
 
 def band_points(pairs: DataFrame, points: DataFrame) -> DataFrame:
@@ -79,7 +85,7 @@ def band_points(pairs: DataFrame, points: DataFrame) -> DataFrame:
     at = F.when(F.col("axis") == "x", F.col("x")).when(F.col("axis") == "y", F.col("y")).otherwise(F.col("z"))
     both = sided.join(points, "mesh").withColumn("inside", F.abs(at - F.col("mid")) <= F.col("band"))
     full = both.groupBy("a", "b").agg(F.count_if(F.col("inside") & (F.col("side") == "a")).alias("na"), F.count_if(F.col("inside") & (F.col("side") == "b")).alias("nb"))
-    return both.join(full, ["a", "b"]).filter(F.col("inside") | (F.col("na") == 0) | (F.col("nb") == 0)).select("a", "b", "side", "cell", "point_id", "x", "y", "z")
+    return cut(both.join(full, ["a", "b"]).filter(F.col("inside") | (F.col("na") == 0) | (F.col("nb") == 0)).select("a", "b", "side", "cell", "point_id", "x", "y", "z"))
 
 
 def distance(p: str = "", q: str = "q") -> Column:

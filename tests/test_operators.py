@@ -300,3 +300,32 @@ def test_gaps_of_grids(spark):
     df = spark.createDataFrame([*cells, *cells], "gx int, gy int")
     assert sorted(map(tuple, grid.missing_cells(df).collect())) == sorted(want)
     assert grid.missing_cells(df.limit(0)).count() == 0 and grid.missing_cells(spark.createDataFrame([(1, 1)], "gx int, gy int")).count() == 0
+
+
+def test_adjacent_meshes_of_all_sizes(spark):
+    """Boxes whose extents differ by six orders of magnitude, against all pairs."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(160):
+        ext = [10 ** rng.uniform(-3, 3) for _ in range(3)]
+        scale = max(ext[:2])
+        low = [rng.choice([-1, 1]) * rng.uniform(0, 40 * scale) * rng.choice([0.0, 0.05, 1]) for _ in range(3)]
+        rows += [(i, 8 * i + k, *(low[j] + (k >> j & 1) * ext[j] for j in range(3))) for k in range(8)]
+    boxes = gap.boxes(spark.createDataFrame(rows, "mesh int, point_id int, x double, y double, z double"))
+    b = {r.mesh: r.asDict() for r in boxes.collect()}
+    want = set()
+    for i in b:
+        for j in b:
+            if i < j:
+                p, q = b[i], b[j]
+                sep = {a: abs(p[f"mid_{a}"] - q[f"mid_{a}"]) for a in "xyz"}
+                mean = {a: (p[f"ext_{a}"] + q[f"ext_{a}"]) * 0.5 for a in "xyz"}
+                over = {a: max(p[f"min_{a}"], q[f"min_{a}"]) <= min(p[f"max_{a}"], q[f"max_{a}"]) + 1e-3 for a in "xyz"}
+                for k, a in enumerate("xyz"):
+                    c, d = "xyz"[(k + 1) % 3], "xyz"[(k + 2) % 3]
+                    near = sep[a] <= mean[a] * 1.6 + 1e-3 or (mean[a] < 0.05 and sep[a] <= max(mean[c], mean[d], 1.0) * 0.5)
+                    if near and sep[a] > 1e-6 and over[c] and over[d]:
+                        want.add((i, j, a))
+                        break
+    got = [(r.a, r.b, r.axis) for r in gap.adjacent(boxes).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
