@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quadrille.functions import errors as E
 from quadrille.functions import matrix as M
+from quadrille.operators.lineage import cut
 from quadrille.plans import rebuild
 from quadrille.plans.registry import query
 from quadrille.plans.spatial import LEVELS_SQL, blocks
@@ -30,7 +31,7 @@ ERRORS_SQL = """leaf AS (SELECT t.id, t.gx, t.gy, CASE WHEN s_acctbal > 0 THEN s
 def tree_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(nodes with their errors, blocks) over suppliers, whose account is the error of their content."""
     placed = blocks(spark, sf_dir).withColumn("block_id", F.col("block_id").cast("string"))
-    nodes = rebuild.tree_nodes(placed)
+    nodes = cut(rebuild.tree_nodes(placed))
     source = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("block_id"), "s_acctbal")
     leaf = nodes.filter("level = 0").join(source, "block_id").select("id", E.leaf_error(F.col("s_acctbal"), F.col("diagonal")).alias("ge"))
     error = nodes.filter("level > 0").select("id", ((F.col("gx") * 7 + F.col("gy")) % 5 * 0.5).alias("error"))
