@@ -8,7 +8,7 @@ length lie side by side, so the pages that hold each are counted along the order
 substrings, so all of it is covered and no more. A shorter block repeats as a whole.
 
 A repeat goes where it stands on a share of the host's pages (SHARE) and on LEAST pages at least, more for a short block,
-which may be a subheading, and in main areas, which are mostly prose. Pages of which frequent repeats make more than COPY of
+which may be a subheading, and in main areas, which are mostly prose: there a block must be a repeat for the most part. Pages of which frequent repeats make more than COPY of
 the words give no evidence: copies of one article don't make its text boilerplate, whatever their number.
 
 A large host is dealt in chunks of about CHUNK pages. What stands on a share of all its pages stands on that share of the pages of
@@ -38,8 +38,9 @@ REPEAT = 12
 #: The pages of a host that a repeat stands on: their least number, and share; and those of a whole block of fewer tokens.
 LEAST, SHARE = 2, 0.2
 SHORT_LEAST, SHORT_SHARE = 3, 0.5
-#: In a main area every repeat must stand on as many pages as a short block, and has so many tokens at least.
-AREA_TOKENS = 5
+#: In a main area every repeat must stand on as many pages as a short block, in a block of so many tokens at least, of which
+#: repeats make this share: a phrase in the middle of prose is no boilerplate.
+AREA_TOKENS, AREA_SHARE = 5, 0.8
 #: A page with a larger share of frequent words is taken for a copy.
 COPY = 0.5
 #: Pages and characters of a chunk of a large host, about; and the characters whose suffixes are sorted together.
@@ -61,12 +62,17 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 #: Words in class and id that mark boilerplate, or a content area.
 BAD_NAMES = frozenset("ad ads advert advertisement advertising adsense banner cookie cookies consent notice gdpr sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus share sharing social related promo sponsored sponsor newsletter subscribe popup modal overlay widget toolbar pagination pager skip login signup".split())
 HEAD_NAMES = frozenset("header topbar siteheader".split())
+#: Words beside a bad one with which a name is still nothing but boilerplate, as in comment-list or site-footer.
+FRAME_NAMES = frozenset("article author avatar bar block body bottom box btn button buttons card col column container count entry form global group holder icon icons info inner item items left link links list lists main meta outer page panel post posts primary reply right row secondary section site slot stories text thread title top unit wrap wrapper zone".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 GOOD_NAMES = frozenset("article content post entry story main maincontent articlebody".split())
 #: Words that make a name a state of its element, as in has-sidebar or comments-open.
 STATES = frozenset("has have no not with without is open closed enabled disabled allow allowed".split())
 LOOSE, AREA, MAIN, ARTICLE = range(4)
-#: SOFT is boilerplate by a part of a name only: an article or main inside is none.
-BAD, GONE, SOFT = -1, -2, -3
+#: SOFT is boilerplate by a name with other words in it: an article or main inside is none. DOUBT is such by a part of a name only.
+BAD, GONE, SOFT, DOUBT = -1, -2, -3, -4
+#: What a part of a name marks is prose all the same from so many words on, if no more than this share of its characters are links.
+PROSE_WORDS, PROSE_LINKS = 60, 0.25
 #: The least share of a page's words (boilerplate aside) that a main area holds, by its level.
 BULK = {AREA: 0.5, MAIN: 0.25, ARTICLE: 0.25}
 
@@ -77,16 +83,20 @@ def level_of(tag: str, attributes: str, now: int) -> int:
         return GONE
     names: set[str] = set()
     whole: set[str] = set()
+    framed: set[str] = set()
     role = ""
     if attributes and "=" in attributes:
         for name, *values in ATTRIBUTE.findall(attributes):
             value = "".join(values).lower()
-            if name.lower() in ("class", "id"):
+            # The id of a heading is its title.
+            if name.lower() == "class" or name.lower() == "id" and tag not in HEADINGS:
                 for name_ in value.split():
                     parts = set(re.split(r"[^a-z0-9]+", name_))
                     if not (parts & STATES and parts & BAD_NAMES):
                         names |= parts
                         whole.add(name_)
+                        if parts & BAD_NAMES and all(p in BAD_NAMES or p in FRAME_NAMES or not p or p.isdigit() for p in parts):
+                            framed |= parts
             elif name.lower() == "role":
                 role = value
             elif name.lower() == "style" and "display:none" in value.replace(" ", ""):
@@ -94,10 +104,18 @@ def level_of(tag: str, attributes: str, now: int) -> int:
     if "hidden" in (attributes or "") and re.search(r"(?:^|\s)hidden(?:\s|=|$)", QUOTED.sub("", attributes)):
         return GONE
     area = tag in ("article", "main") or role == "main"
-    if now == BAD or tag in BOILERPLATE or role in ROLES or (whole & BAD_NAMES and tag not in ("body", "html")) or (tag == "header" or names & HEAD_NAMES and not area) and now < AREA:
+    root = tag in ("body", "html")
+    head = tag == "header" or names & HEAD_NAMES and not area and tag not in HEADINGS
+    if now == BAD or tag in BOILERPLATE or role in ROLES or (whole & BAD_NAMES and not root) or head and now < AREA:
         return BAD
-    if not area and (now == SOFT or names & BAD_NAMES and tag not in ("body", "html")):
-        return SOFT
+    if framed and not root and (now >= AREA and not area or area and framed & {"comment", "comments"}):
+        return BAD
+    if not area:
+        if now == SOFT or framed and not root:
+            return SOFT
+        # In an article a part of a name says nothing: related-work, social-impact, share-price.
+        if now == DOUBT or now < AREA and names & BAD_NAMES and not (root or tag in HEADINGS or tag in INLINE or tag == "p"):
+            return DOUBT
     found = ARTICLE if tag == "article" else MAIN if tag == "main" or role == "main" else AREA if names & GOOD_NAMES and tag not in ("body", "html") else LOOSE
     return max(now, found)
 
@@ -112,20 +130,30 @@ def marked_blocks(page: str) -> list[tuple[int, str, bool]]:
     out: list[tuple[int, str, bool]] = []
     stack: list[tuple[str, int]] = []
     level, pieces, at, end = LOOSE, [], 0, len(page)
+    doubts: list[list[int]] = []  # of each element in doubt: words, characters, those in links, and its blocks
+    linked = 0
     opened: Counter = Counter()
     last = page.rfind(">")  # no tag ends behind it
 
     def flush() -> None:
+        nonlocal linked
         if pieces:
             text = " ".join(entities.unescape("".join(pieces)).split())
             if text:
-                out.append((BAD if level == SOFT else level, text, any(t == "h1" for t, _ in stack[-8:])))
+                if level == DOUBT:
+                    doubt = doubts[-1]
+                    doubt[:3] = doubt[0] + len(text.split()), doubt[1] + sum(map(len, pieces)), doubt[2] + linked
+                    doubt.append(len(out))
+                out.append((BAD if level in (SOFT, DOUBT) else level, text, any(t == "h1" for t, _ in stack[-8:])))
             pieces.clear()
+        linked = 0
 
     while at < end:
         m = TOKEN.search(page, at) if at <= last else COMMENT.search(page, at)
         if level != GONE:
             pieces.append(page[at : m.start() if m else end])
+            if opened["a"]:
+                linked += len(pieces[-1])
         if not m:
             break
         at = m.end()
@@ -157,10 +185,16 @@ def marked_blocks(page: str) -> list[tuple[int, str, bool]]:
         inside = level_of(tag, m[2] or m[4] or "", level)
         if inside != level:
             flush()
+            if inside == DOUBT:
+                doubts.append([0, 0, 0])
         stack.append((tag, level))
         opened[tag] += 1
         level = inside
     flush()
+    for n, chars, links, *places in doubts:
+        if n >= PROSE_WORDS and links <= PROSE_LINKS * chars:
+            for i in places:
+                out[i] = (LOOSE, *out[i][1:])
     return out
 
 
@@ -285,10 +319,12 @@ def originals(s: Streams, runs: Runs, common: np.ndarray, n_pages: int) -> np.nd
 
 
 def remains(s: Streams, runs: Runs, sure: np.ndarray, wide: np.ndarray, pages: list[list[str]], area: np.ndarray) -> list[str]:
-    """The text of each page without its repeats: in main areas only wide ones, and only from blocks of AREA_TOKENS or more."""
+    """The text of each page without its repeats: in main areas only wide ones, and only from blocks of AREA_TOKENS or more that are repeats for the most part."""
     in_area = area[runs.page] if len(runs.page) else np.empty(0, bool)
     gone = runs.covers(sure & (wide | ~in_area), len(s.tokens))
-    gone &= ~area[s.page] | (s.sizes[s.block] >= AREA_TOKENS) if len(gone) else gone
+    if len(gone):
+        share = np.bincount(s.block, gone, len(s.sizes)) / np.maximum(s.sizes, 1)
+        gone &= ~area[s.page] | ((s.sizes >= AREA_TOKENS) & (share >= AREA_SHARE))[s.block]
     hit = np.zeros(len(s.sizes), bool)
     hit[s.block[gone]] = True
     out, at = [], 0
@@ -333,7 +369,10 @@ def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def whole_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Batches of about BATCH_CHARS that end where a chunk ends, if the chunk's host is a small one. ``first``: the page's first row."""
+    """Batches of about BATCH_CHARS that end where a chunk ends, so that no batch has a handful of a large host's pages. ``first``: the page's first row.
+
+    Only a chunk that is longer than a batch by itself is cut, as where one page's rows repeat very often.
+    """
     held: list[pd.DataFrame] = []
     size, chunk, seen = 0, None, set()
     for part in batches:
@@ -349,12 +388,9 @@ def whole_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if size >= BATCH_CHARS:
             whole = pd.concat(held, ignore_index=True)
             last = whole.iloc[-1]
-            # A host of one chunk has few pages and characters, so little is kept back.
-            keep = np.flatnonzero(whole["host"] == last["host"]) if pd.isna(last["pages"]) else np.empty(0, int)
-            cut = len(whole) - len(keep)
-            if cut:
-                yield whole.iloc[:cut]
-            held = [whole.iloc[cut:]] if len(keep) else []
+            cut = len(whole) - int(((whole["host"] == last["host"]) & (whole["chunk"] == last["chunk"])).sum()) or len(whole)
+            yield whole.iloc[:cut]
+            held = [whole.iloc[cut:]] if cut < len(whole) else []
             size = sum(len(t) for texts in whole["blocks"].iloc[cut:] for t in texts)
     if held and len(whole := pd.concat(held, ignore_index=True)):
         yield whole
@@ -378,8 +414,11 @@ def searched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = part[["page_id", "url", "host", "page_key", "pages", "area", "first"]].assign(kind=np.where(large, OPEN, DONE), page_id=long_column(part["page_id"]), pages=long_column(part["pages"]))
         yield out.assign(blocks=[t if x else None for t, x in zip(texts, large, strict=True)], text=[None if x else t for t, x in zip(remains(s, runs, sure, wide, texts, area), large, strict=True)], numbers=None)
         # A share of the host's pages is that share of the pages of one batch at least; LEAST says nothing about a part of the pages.
-        n_here = here[runs.page] if len(runs.page) else n
-        maybe = (n >= np.where(runs.number & 1 == 1, SHORT_SHARE, SHARE) * n_here) & (large[runs.page] if len(runs.page) else everywhere)
+        # A page whose rows repeat counts in the batch of its first row.
+        firsts = part["first"].to_numpy(bool)
+        n_here = np.bincount(of_host[firsts], minlength=len(host))[of_host]
+        n, n_here = (runs.pages(key, firsts[runs.page]), n_here[runs.page]) if len(runs.page) else (n, n)
+        maybe = (n > 0) & (n >= np.where(runs.number & 1 == 1, SHORT_SHARE, SHARE) * n_here) & (large[runs.page] if len(runs.page) else everywhere)
         if maybe.any():
             rows = pd.DataFrame({"host": part["host"].to_numpy()[runs.page[maybe]], "number": runs.number[maybe], "pages": part["pages"].to_numpy()[runs.page[maybe]]}).drop_duplicates(["host", "number"])
             found = rows.groupby("host").agg(numbers=("number", list), pages=("pages", "first")).reset_index()
@@ -426,7 +465,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row. Null and empty pages give an empty text; repeated rows repeat and are no distinct pages."""
     bound_batches(pages.sparkSession)
     rows = dealt(pages).mapInPandas(parsed, "page_id long, url string, host long, page_key long, pages long, chunk long, area boolean, blocks binary")
-    found = staged(rows.repartition("host", "chunk").sortWithinPartitions("host", "chunk").mapInPandas(searched, KINDS), "op1-searched")
+    found = staged(rows.repartition("host", "chunk").sortWithinPartitions("host", "chunk", "page_key").mapInPandas(searched, KINDS), "op1-searched")
     open_ = found.filter(F.col("kind") == OPEN).select("page_id", "url", "host", "page_key", "pages", "area", "first", "blocks")
     numbers = found.filter(F.col("kind") == CANDIDATES).select("host", "pages", F.explode("numbers").alias("number")).distinct().groupBy("host", "pages").agg(F.collect_list("number").alias("numbers"))
     numbers = staged(numbers, "op1-candidates")

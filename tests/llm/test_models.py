@@ -76,6 +76,51 @@ def test_names_of_state_and_the_bulk_of_a_page():
     assert area("<header><h1>Site</h1></header><article><h1>T</h1>body</article><p>more</p>") == ["T", "body"]
 
 
+def test_parts_of_names_in_main_areas_and_beside_them():
+    """In an article only whole names and names of nothing but boilerplate words count; a heading's id never does."""
+    area = lambda page: " ".join((lambda found: [found[i][1] for i in html_text.main_area(found)[1]])(html_text.marked_blocks(page)))
+    kept = ('<h2 id="related-work">a</h2>', '<section id="social-impact"><p>b</p></section>', '<h2 id="comment-on-results">c</h2>', '<div class="menu-planning">d</div>', '<p class="ad-hoc">e</p>', '<p>f <span class="share-price">g</span></p>', '<h3 id="comments">h</h3>')
+    gone = ('<div class="comments">x</div>', '<ol class="comment-list"><li><article class="comment-body">x</article></li></ol>', '<ul class="share-buttons"><li>x</li></ul>', '<div id="ad-slot-3">x</div>', '<div class="related-posts">x</div>', '<article class="comment-body depth-1">x</article>', '<section class="newsletter-signup">x</section>')
+    for tag in ("article", "main"):
+        assert area(f"<{tag}>" + "".join(kept + gone) + f"</{tag}>") == "a b c d e f g h"
+    prose = " ".join(f"w{i}" for i in range(html_text.PROSE_WORDS))
+    assert area(f'<div id="social-impact"><p>{prose}</p></div><p>end</p>') == f"{prose} end"
+    assert area(f'<div id="social-impact"><p>short</p></div><div class="x-menu"><a href="/">{prose}</a></div><div class="site-sidebar">{prose}</div><p>end</p>') == "end"
+    assert area('<h1 class="page-header">T</h1><p>end</p>') == "T end"
+
+
+def test_rests_of_large_hosts_are_no_batches(monkeypatch):
+    """Batches end with a chunk, so random prose of a large host gives no candidates, however the rows are cut; repeats do."""
+    rng = random.Random(3)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    foot = words(15)
+    rows = [(i, "u", 1, i, 90, c, False, zlib.compress("\n".join([words(60), *([foot] if i % 2 else [])]).encode())) for c in range(3) for i in range(30 * c, 30 * c + 30)]
+    rows[40:40] = [rows[40]] * 100  # one page's rows
+    frame = pd.DataFrame(rows, columns="page_id url host page_key pages chunk area blocks".split())
+    for size in (8 << 20, 9_000, 3_000):
+        monkeypatch.setattr(html_text, "BATCH_CHARS", size)
+        cut = [frame.iloc[i : i + 7] for i in range(0, len(frame), 7)]
+        batches = list(html_text.whole_chunks(iter(cut)))
+        assert sum(map(len, batches)) == len(frame) and sum(b["first"].sum() for b in batches) == 90
+        found = [set(x) for out in html_text.searched(iter(cut)) if "numbers" in out and (out["kind"] == html_text.CANDIDATES).all() for x in out["numbers"]]
+        assert found and set.intersection(*found)
+        if size > 3_000:
+            assert set.union(*found) == set.intersection(*found) and len(found[0]) == 4
+
+
+def test_phrases_in_prose_stay(spark):
+    """What half of a host's pages share goes where it is a block of its own, and stays where a paragraph says it."""
+    rng = random.Random(10)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    phrase, rows, want = words(14), [], {}
+    for i in range(12):
+        body = f"{words(20)} {phrase} {words(20)}"
+        rows.append((i, "http://a.example/x", f"<article><p>{body}</p><p>{phrase}</p></article>"))
+        want[i] = body
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def brute_unique(pages):
     """Tokens of loose blocks that no other page of the host shares in a run of REPEAT; whole blocks where shorter."""
     def runs(block):
