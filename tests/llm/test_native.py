@@ -1,3 +1,4 @@
+import random
 import re
 import time
 import textwrap
@@ -148,6 +149,30 @@ def test_wrapped_notices_are_found(spark):
     assert got[1000].labels == ""
 
 
+def test_windows_equal_brute_force(spark):
+    """Every window of twice a template's words, a template's words apart; only A to Z lose their case (a Kelvin sign is no k)."""
+    rng = random.Random(6)
+    texts = ["This wor\u212a is licensed under the GNU General Public License", "", None]
+    templates = list(licenses.TEMPLATES.values())
+    for _ in range(60):
+        words = []
+        for t in rng.choices(templates, k=3):
+            part = t.split()
+            cut = rng.randrange(len(part) // 4 + 1)
+            words += [f"x{rng.randrange(9)}" for _ in range(rng.randrange(30))] + [w for w in part[cut:] if rng.random() > 0.1]
+        texts.append(rng.choice([" ", "\n", "\n * "]).join(words))
+    want = {}
+    for i, text in enumerate(texts):
+        words = re.findall(licenses.WORD + "+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        for name, t in licenses.TEMPLATES.items():
+            n, own = len(re.findall(licenses.WORD + "+", t)), set(licenses.words_in(t))
+            most = max((len(own & set(words[k : k + 2 * n])) for k in range(0, len(words), n)), default=0)
+            if most >= licenses.THRESHOLD * len(own) - 1e-9:
+                want[i, name] = most / len(own)
+    got = licenses.wrapped_matches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.template): r.containment for r in got} == want and len(want) > 60
+
+
 def brute_rules(text):
     text = text or ""
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
