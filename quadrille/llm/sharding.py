@@ -3,6 +3,7 @@
 Records hash into thousands of slots; bytes are summed per slot; a small versioned map sends each slot to a shard. The map
 is balanced by bytes (law ``bytes``) and later edited, not rebuilt: adding a shard moves slots into it and nowhere else. A slot
 that outweighs HEAVY of a shard, as where one id repeats very often, is kept in parts, which are placed like slots.
+A store keeps all versions of a map: a run reads the last one, moves only the slots that new sizes call for, and writes the next.
 All row work is DataFrame functions. Only the map reaches the driver: one row per slot, and less than shards / HEAVY more for parts.
 """
 
@@ -23,6 +24,8 @@ RECORD_OVERHEAD = 8
 SLOTS = 4096
 #: The share of a shard's even bytes from which a slot is kept in parts.
 HEAVY = 0.125
+#: A stored map is left as it is while every shard's bytes are within this share of the mean.
+TOLERANCE = 0.01
 
 
 @dataclass(frozen=True)
@@ -72,6 +75,33 @@ class SlotMap:
             loads[new] += self.bytes_of[slot]
         return replace(self, version=self.version + 1, shards=new + 1, shard_of=tuple(shard_of))
 
+    def edited(self, shards: int, bytes_of: list[int], rows_of: list[int]) -> SlotMap:
+        """This map for new sums and as many shards or more: the same version where nothing moves, else the next. Units go from the fullest to the lightest shard until all are within TOLERANCE or no move helps."""
+        if shards < self.shards:
+            raise ValueError(f"the stored map has {self.shards} shards, more than {shards}")
+        now = replace(self, bytes_of=tuple(bytes_of), rows_of=tuple(rows_of))
+        while now.shards < shards:
+            now = now.grown()
+        loads, shard_of = now.loads(), list(now.shard_of)
+        mean, held = sum(loads) / len(loads), [set() for _ in loads]
+        for unit, s in enumerate(shard_of):
+            held[s].add(unit)
+        while max(loads) > (1 + TOLERANCE) * mean or min(loads) < (1 - TOLERANCE) * mean:
+            giver, taker = loads.index(max(loads)), loads.index(min(loads))
+            gap = loads[giver] - loads[taker]
+            # A move of less than the gap brings the two closer, so this ends.
+            fit = [u for u in held[giver] if 0 < now.bytes_of[u] < gap]
+            if not fit:
+                break
+            unit = min(fit, key=lambda u: (abs(2 * now.bytes_of[u] - gap), u))
+            held[giver].remove(unit)
+            held[taker].add(unit)
+            shard_of[unit] = taker
+            loads[giver] -= now.bytes_of[unit]
+            loads[taker] += now.bytes_of[unit]
+        same = now.shards == self.shards and tuple(shard_of) == self.shard_of
+        return replace(now, shard_of=tuple(shard_of), version=self.version + (not same))
+
     def parts(self) -> list[int]:
         return list(self.parts_of) or [1] * len(self.shard_of)
 
@@ -91,6 +121,23 @@ class SlotMap:
         return SlotMap(version, rows[0]["shards"], *(tuple(r[c] for r in rows) for c in ("shard", "bytes", "n_rows")), tuple(parts) if max(parts) > 1 else ())
 
 
+def latest(spark: SparkSession, path: str) -> SlotMap | None:
+    """The last version in a store; None where there is none."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return SlotMap.load(spark, path, spark.read.parquet(path).agg(F.max("version")).first()[0])
+
+
+def grow(spark: SparkSession, path: str) -> SlotMap:
+    """Edit the last version in a store to one more shard and write it as the next; of two that do so at once, the later fails."""
+    last = latest(spark, path)
+    if last is None:
+        raise ValueError(f"no map in {path}")
+    last.grown().save(spark, path)
+    return SlotMap.load(spark, path, last.version + 1)
+
+
 def balanced(bytes_of: list[int], rows_of: list[int], shards: int, version: int = 1) -> SlotMap:
     """A first map: slots from the largest down, each to the shard with the fewest bytes."""
     heap = [(0, s) for s in range(shards)]
@@ -146,20 +193,33 @@ def slot_map(narrow: DataFrame, shards: int, slots: int = SLOTS) -> tuple[SlotMa
     return replace(balanced(bytes_of, rows_of, shards), parts_of=tuple(parts) if max(parts) > 1 else ()), placed
 
 
-def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS) -> DataFrame:
-    """Place every row: its shard, and ``slot``, its place in the shard, gapless from 0.
+def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, store: str | None = None) -> DataFrame:
+    """Place every row: its shard, and ``slot``, its place in the shard, gapless from 0. ``next_shard``: its shard once the map is edited to one more.
 
     Places come from a window per slot or part of one plus the rows of the shard's earlier ones, so no task holds a whole shard.
-    The map is written to the shared folder as version 1 and read again, as a later run that edits it would.
+    With a ``store`` (a folder) its last map is edited to these rows and written as the next version if slots move; without one,
+    the map and its edit to one more shard are versions 1 and 2 of a store that lasts as long as the session.
     Null texts weigh 8 bytes; ties and repeated rows get places of their own; an empty table gives no rows.
     """
     spark = docs.sparkSession
     narrow = staged(narrowed(docs, slots).withColumn("row", F.monotonically_increasing_id()), "op7-narrow")
-    first, rows = slot_map(narrow, shards, slots)
-    path = f"{shared_dir(spark)}/quadrille/op7-map-{uuid.uuid4().hex}"
-    first.save(spark, path)
-    gone_at_exit(spark, path)
-    placed = SlotMap.load(spark, path, first.version)
+    path = store or f"{shared_dir(spark)}/quadrille/op7-map-{uuid.uuid4().hex}"
+    known = latest(spark, store) if store else None
+    if known is None:
+        first, rows = slot_map(narrow, shards, slots)
+        first.save(spark, path)
+        placed = SlotMap.load(spark, path, first.version)
+    else:
+        parts = known.parts()
+        if len(parts) != slots:
+            raise ValueError(f"the stored map has {len(parts)} slots, not {slots}")
+        rows = narrow.withColumn("unit", unit_of(parts))
+        placed = known.edited(shards, *slot_sums(rows, "unit", sum(parts)))
+        if placed.version > known.version:
+            placed.save(spark, path)
+    if store is None:
+        gone_at_exit(spark, path)
+    after = placed.grown() if store else grow(spark, path)
     within = F.row_number().over(Window.partitionBy("unit").orderBy("doc_id", "text_crc32", "size", "row"))
     return rows.withColumn("within", within).select(
         "doc_id",
@@ -171,4 +231,5 @@ def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"),
         "virtual_slot",
         F.lit(placed.version).alias("map_version"),
+        lookup(list(after.shard_of), F.col("unit"), "int").alias("next_shard"),
     )

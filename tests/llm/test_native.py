@@ -217,6 +217,35 @@ def test_shards(spark, sf_dir):
     assert max(loads.values()) - min(loads.values()) <= max(r.size for r in got)
 
 
+def test_a_stored_map_is_edited_from_run_to_run(spark, tmp_path):
+    """Equal rows move nothing; more rows, or another shard, move few slots and write the next version; a replay of the map gives every row's shard."""
+    store = str(tmp_path / "maps")
+    docs = lambda n: spark.createDataFrame([(i, "x" * (40 + i % 60)) for i in range(n)], "doc_id long, text string")
+    of = lambda df: {r.doc_id: r for r in df.collect()}
+    even = lambda rows: (lambda c: max(c.values()) / min(c.values()))(sum((Counter({r.shard: r.size}) for r in rows.values()), Counter()))
+    assert sharding.latest(spark, store) is None
+    first = of(sharding.shard(docs(6000), 6, 512, store))
+    again = of(sharding.shard(docs(6000), 6, 512, store))
+    assert again == first and sharding.latest(spark, store).version == 1
+    more = of(sharding.shard(docs(9000), 6, 512, store))
+    moved = sum(more[i].shard != r.shard for i, r in first.items())
+    assert moved < 1200 and even(more) < 1.03
+    wider = of(sharding.shard(docs(9000), 7, 512, store))
+    assert {r.map_version for r in wider.values()} == {sharding.latest(spark, store).version} and even(wider) < 1.03
+    assert sum(r.shard != more[i].shard and r.shard != 6 for i, r in wider.items()) < 900
+    for rows, version in ((first, 1), (wider, sharding.latest(spark, store).version)):
+        replayed = sharding.SlotMap.load(spark, store, version)
+        assert all(r.shard == replayed.shard_of[r.virtual_slot] for r in rows.values())
+        for s in range(replayed.shards):
+            assert sorted(r.slot for r in rows.values() if r.shard == s) == list(range(sum(r.shard == s for r in rows.values())))
+    assert all(r.next_shard in (r.shard, 6) for r in first.values()) and any(r.next_shard == 6 for r in first.values())
+    for bad in ((5, 512), (7, 256)):
+        with pytest.raises(ValueError):
+            sharding.shard(docs(10), *bad, store)
+    with pytest.raises(ValueError):
+        sharding.grow(spark, str(tmp_path / "none"))
+
+
 def test_growing_moves_slots_only_into_the_new_shard(spark, tmp_path):
     first = sharding.balanced([100 + 7 * (s % 31) for s in range(512)], [1] * 512, 8)
     second = first.grown()
