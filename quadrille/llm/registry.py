@@ -10,22 +10,27 @@ from quadrille.llm.oracles import ORACLE
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
 def op4_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every document, learnt from the folds that aren't held out."""
     return pu_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document, learnt from those that aren't held out."""
     return hmm.score(table(spark, sf_dir, "documents"))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and places of personal data in every document."""
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
@@ -37,22 +42,27 @@ def tokenizer_path() -> str:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document."""
     return bpe.tokens(table(spark, sf_dir, "documents"), tokenizer_path(), digest=True)
 
 
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document."""
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items found in every document."""
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard and place of every document, and its shard after growth."""
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, and the verdict of the certified rules on every document."""
     judged = quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
 
