@@ -9,9 +9,13 @@ least, so each choice of so many groups makes a key, and every pair within reach
 Manhattan distance and then by the fingerprints. More groups give smaller cells and more keys: 6 give 20 keys of 24 bits of
 evidence, 8 give 56 keys of 30.
 
-Cells of more than CELL fingerprints, as families of copies fill them, are not paired. Their fingerprints list the points within
+Cells of more than CELL fingerprints, as families of copies fill them, are not paired. Their fingerprints meet anew in a finer
+grid, of FINEST groups, as in a large corpus cells are also full by chance. Those in crowded cells there list the points within
 one bit; where a point has several, these are linked with the least of them, and so is each that is two bits away. A pair within
 three bits has such a point between, so the same fingerprints are connected, with rows in proportion to the fingerprints.
+
+Spark takes exploded rows to be as small as the fingerprints that they come from, so nothing exploded is left to its choice of
+join: a broadcast would gather 2,016 points for each fingerprint in the driver.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ SEED = 42
 #: Fingerprints link at so many differing bits or fewer.
 LIMIT = 3
 GROUPS = 6
+#: Fingerprints in crowded cells meet again with so many groups before their points are listed.
+FINEST = 8
 CELL = 64
 #: The first and the second bit of every segment.
 FIRST, SECOND = 0x5555555555555555, 0xAAAAAAAAAAAAAAAA - (1 << 64)
@@ -115,22 +121,24 @@ def crowded_links(nodes: DataFrame) -> DataFrame:
     bit = lambda c: F.expr(f"shiftleft(1L, {c})")
     near = nodes.select("fp", F.explode(F.concat(F.array(F.lit(0).cast("long")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)))).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
     hubs = staged(near.groupBy("point").agg(F.min("fp").alias("hub"), F.count(F.lit(1)).alias("m")), "op11-points")
-    by_one = near.join(hubs.filter("m > 1"), "point").select("fp", "hub")
+    by_one = near.hint("merge").join(hubs.filter("m > 1"), "point").select("fp", "hub")
     pairs = nodes.select("fp", F.explode(F.sequence(F.lit(0), F.lit(62))).alias("i")).select("fp", "i", F.explode(F.sequence(F.col("i") + 1, F.lit(63))).alias("j"))
-    by_two = pairs.select(F.col("fp"), F.col("fp").bitwiseXOR(bit("i").bitwiseOR(bit("j"))).alias("point")).join(hubs, "point").select("fp", "hub")
+    by_two = pairs.select(F.col("fp"), F.col("fp").bitwiseXOR(bit("i").bitwiseOR(bit("j"))).alias("point")).hint("merge").join(hubs, "point").select("fp", "hub")
     return by_one.union(by_two).filter((F.col("fp") != F.col("hub")) & (apart("fp", "hub") <= LIMIT)).distinct().select(F.col("fp").alias("a"), F.col("hub").alias("b"))
 
 
 def links(nodes: DataFrame, groups: int = GROUPS) -> DataFrame:
     """(a, b): fingerprints within LIMIT bits; between them they connect all that such pairs connect."""
     cells = staged(keyed(nodes, groups).groupBy("at", "cell").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "op11-cells")
-    shared = staged(keyed(nodes, groups).join(cells, ["at", "cell"]), "op11-shared")
+    shared = staged(keyed(nodes, groups).hint("merge").join(cells, ["at", "cell"]), "op11-shared")
     sparse = shared.filter(F.col("m") <= CELL).drop("m")
     other = sparse.select("at", "cell", F.col("fp").alias("fp2"), F.col("e").alias("e2"))
     found = sparse.join(other, ["at", "cell"]).filter(F.col("fp") < F.col("fp2")).filter(apart("e", "e2") <= LIMIT).filter(apart("fp", "fp2") <= LIMIT)
     out = found.select(F.col("fp").alias("a"), F.col("fp2").alias("b")).distinct()
     crowded = staged(shared.filter(F.col("m") > CELL).select("fp").distinct(), "op11-crowded")
-    return out if crowded.isEmpty() else out.union(crowded_links(crowded))
+    if crowded.isEmpty():
+        return out
+    return out.union(links(crowded, FINEST) if groups < FINEST else crowded_links(crowded))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

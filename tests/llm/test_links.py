@@ -90,6 +90,33 @@ def test_simhash_links_connect_what_all_pairs_connect(spark, monkeypatch, cell,
     assert group == [min(g) for g in reached(values)]
 
 
+def test_exploded_fingerprints_are_not_broadcast(spark, monkeypatch):
+    """Spark takes the points of a fingerprint for no more than itself; gathered in the driver they would be two thousand times as much."""
+    nodes = spark.range(0, 40).selectExpr("id * 7 AS fp")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan(simhash.crowded_links(nodes))
+    seen = []
+    monkeypatch.setattr(simhash, "staged", lambda df, name, put=simhash.staged: (seen.append((name, plan(df))), put(df, name))[1])
+    simhash.links(nodes)
+    assert [("Broadcast" in p) for name, p in seen if name == "op11-shared"] == [False]
+
+
+def test_crowded_cells_meet_in_a_finer_grid_before_points_are_listed(spark, monkeypatch):
+    """80 fingerprints agree in three groups of six and in no five of eight; of these, none needs its points, and two are linked."""
+    rng = random.Random(8)
+    values = {(rng.getrandbits(32) << 32) | 0x55555555 for _ in range(80)}
+    values |= {min(values) ^ 7 << 40}
+    signed = [v - (1 << 64) if v >> 63 else v for v in sorted(values)]
+    listed, points = [], simhash.crowded_links
+    monkeypatch.setattr(simhash, "crowded_links", lambda nodes: (listed.append(nodes.count()), points(nodes))[1])
+    nodes = spark.createDataFrame([(v,) for v in signed], "fp long")
+    assert simhash.keyed(nodes).groupBy("at", "cell").count().filter(f"count > {simhash.CELL}").count() > 0
+    linked = {frozenset((r.a, r.b)) for r in simhash.links(nodes).collect()}
+    mask = (1 << 64) - 1
+    assert linked == {frozenset((x, y)) for i, x in enumerate(signed) for y in signed[:i] if ((x ^ y) & mask).bit_count() <= 3} != set()
+    assert listed == []
+
+
 def test_embedding_distance_is_a_lower_bound(spark):
     rng = random.Random(1)
     pairs = [(a, a ^ sum(1 << b for b in set(rng.choices(range(63), k=rng.randrange(9))))) for a in (rng.getrandbits(63) for _ in range(200))]
