@@ -16,6 +16,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -32,8 +33,8 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 TABLE, PAIRS = 22, 25
 #: Occurrences of a pivot that are mined at once; fragments in a row.
 PART, ROW = 500_000, 5_000
-#: Entries that a worker holds before it gives them out.
-HELD = 400_000
+#: Entries that a worker holds before it gives them out; words that it knows, of all languages; fragments that it puts in one frame.
+HELD, KNOWN, FRAME = 400_000, 150_000, 50_000
 NO_LANG = "und"
 MARK = b"\xff"
 SEPARATORS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", MARK * 10)
@@ -53,18 +54,17 @@ def by_lang(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, list[bytes]]
             yield lang, tokens(rows["text"].tolist())
 
 
-class Words(dict):
-    """For each language a word table; ``hashes`` gives the tokens' 64 bits, which differ by language."""
+class Words:
+    """The tokens' 64 bits, which differ by language. One table has the words of all languages, and starts anew beyond KNOWN."""
+
+    def __init__(self) -> None:
+        self.table = WordTable()
 
     def hashes(self, lang: str, words: list[bytes]) -> np.ndarray:
-        if lang not in self:
-            if len(self) > 32:
-                self.clear()
-            self[lang] = WordTable()
-        table = self[lang]
-        index = table.indexes(words)
-        out = mixed(table.hashes ^ np.uint64(xxhash.xxh64_intdigest(lang)))[index]
-        table.trim()
+        index = self.table.indexes(words)
+        out = mixed(self.table.hashes[index] ^ np.uint64(xxhash.xxh64_intdigest(lang)))
+        if len(self.table) > KNOWN:
+            self.table = WordTable()
         return out
 
 
@@ -114,9 +114,14 @@ def counted_pairs(docs: DataFrame, known) -> DataFrame:
         words, held, size = Words(), [], 0
 
         def out() -> Iterator[pd.DataFrame]:
-            pairs, n = np.unique(np.concatenate(held), return_counts=True)
-            for i in range(0, len(pairs), 500_000):
-                yield pd.DataFrame({"pair": pairs[i : i + 500_000].view(np.int64), "n": n[i : i + 500_000]})
+            # Sorted in place: np.unique would hold several copies.
+            flat = np.concatenate(held)
+            held.clear()
+            flat.sort()
+            first = np.append(np.flatnonzero(np.append(True, flat[1:] != flat[:-1])[: len(flat)]), len(flat))
+            for i in range(0, len(first) - 1, 500_000):
+                some = first[i : i + 500_001]
+                yield pd.DataFrame({"pair": flat[some[:-1]].view(np.int64), "n": np.diff(some)})
 
         for lang, run_ in by_lang(batches):
             h = words.hashes(lang, run_)
@@ -125,7 +130,7 @@ def counted_pairs(docs: DataFrame, known) -> DataFrame:
             size += len(held[-1])
             if size > 8 * HELD:
                 yield from out()
-                held, size = [], 0
+                size = 0
         if size:
             yield from out()
 
@@ -178,18 +183,36 @@ def fragments(docs: DataFrame, known, bits, share: int = 0) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, held = Words(), {}
 
+        def rows(counts: Counter) -> Iterator[tuple[int, int, int, list]]:
+            for head, keys in groupby(sorted(counts), lambda key: key[:8]):
+                pivot = int.from_bytes(head, "big")
+                parts, dealt = 1 + (pivot >> 32) // share, {}
+                for key in keys:
+                    dealt.setdefault(zlib.crc32(key[9:]) % parts, []).append(key)
+                for part, own in dealt.items():
+                    for i in range(0, len(own), ROW):
+                        yield pivot, parts, part, own[i : i + ROW]
+
+        def frame(lang: str, counts: Counter, some: list) -> pd.DataFrame:
+            lists = {
+                "before": [[key[8] for key in own] for *_, own in some],
+                "words": [[key[9:].decode("utf-8", "surrogatepass") for key in own] for *_, own in some],
+                "n": [[counts[key] for key in own] for *_, own in some],
+            }
+            pivots = np.array([r[0] for r in some], np.uint64).view(np.int64)
+            return pd.DataFrame({"lang": lang, "pivot": pivots, "parts": [r[1] for r in some], "part": [r[2] for r in some]} | lists)
+
         def out() -> Iterator[pd.DataFrame]:
             for lang, counts in held.items():
-                by_pivot: dict[tuple[int, int, int], list] = {}
-                for (pivot, before, words), n in counts.items():
-                    parts = 1 + (pivot >> 32) // share
-                    by_pivot.setdefault((pivot, parts, zlib.crc32(words) % parts), []).append((before, words.decode("utf-8", "surrogatepass"), n))
-                rows = [(key, part[i : i + ROW]) for key, part in by_pivot.items() for i in range(0, len(part), ROW)]
-                for i in range(0, len(rows), 5_000):
-                    some = rows[i : i + 5_000]
-                    pivots = np.array([k[0] for k, _ in some], np.uint64).view(np.int64)
-                    lists = {name: [[f[j] for f in part] for _, part in some] for j, name in enumerate(("before", "words", "n"))}
-                    yield pd.DataFrame({"lang": lang, "pivot": pivots, "parts": [k[1] for k, _ in some], "part": [k[2] for k, _ in some]} | lists)
+                some, size = [], 0
+                for row in rows(counts):
+                    some.append(row)
+                    size += len(row[-1])
+                    if size >= FRAME:
+                        yield frame(lang, counts, some)
+                        some, size = [], 0
+                if some:
+                    yield frame(lang, counts, some)
             held.clear()
 
         for lang, run_ in by_lang(batches):
@@ -200,8 +223,10 @@ def fragments(docs: DataFrame, known, bits, share: int = 0) -> DataFrame:
             joined = b" ".join(run_)
             ends = np.cumsum(np.fromiter(map(len, run_), np.int64, len(run_)) + 1) - 1
             starts = np.concatenate([[0], ends[:-1] + 1])
-            words = [joined[a:b] for a, b in zip(starts[at - left].tolist(), ends[at + right].tolist())]
-            held.setdefault(lang, Counter()).update(zip(pivot.tolist(), left.tolist(), words))
+            # A key is the pivot (8 bytes), the words before it (1) and the words: one object, as very many are held.
+            heads = np.column_stack([pivot.astype(">u8").view(np.uint8).reshape(-1, 8), left.astype(np.uint8)]).tobytes()
+            cuts = zip(range(0, len(heads), 9), starts[at - left].tolist(), ends[at + right].tolist())
+            held.setdefault(lang, Counter()).update(heads[i : i + 9] + joined[a:b] for i, a, b in cuts)
             if sum(map(len, held.values())) > HELD:
                 yield from out()
         yield from out()
@@ -223,7 +248,7 @@ def mined(found: DataFrame) -> DataFrame:
         def close() -> None:
             for phrase, a in counts.items():
                 if not whole or a >= least:
-                    rows.append((last[0], " ".join(phrase), len(phrase), a, whole))
+                    rows.append((last[0], phrase, phrase.count(" ") + 1, a, whole))
             counts.clear()
 
         def given() -> pd.DataFrame:
@@ -238,10 +263,12 @@ def mined(found: DataFrame) -> DataFrame:
                         close()
                     last, whole = (lang, pivot, part), parts == 1
                 for p, text, times in zip(before.tolist(), words, n.tolist()):
-                    w = text.split(" ")
+                    at = [0]
+                    for w in text.split(" "):
+                        at.append(at[-1] + len(w) + 1)
                     for i in range(p + 1):
-                        for j in range(max(p + 1, i + 2), min(len(w), i + LONGEST) + 1):
-                            counts[tuple(w[i:j])] += times
+                        for j in range(max(p + 1, i + 2), min(len(at) - 1, i + LONGEST) + 1):
+                            counts[text[at[i] : at[j] - 1]] += times
                 if len(counts) > held:
                     whole = False
                     close()

@@ -184,6 +184,44 @@ def test_collocations_of_edge_texts(spark, monkeypatch):
     assert collocations.collocations(edge.frame(spark).filter("text IS NULL")).collect() == []
 
 
+def test_workers_hold_bounded_words_fragments_and_frames(monkeypatch):
+    """Words of many languages share one table; a flush gives out frames of bounded size, and a fragment is held as one object."""
+    monkeypatch.setattr(collocations, "KNOWN", 500)
+    words, plain = collocations.Words(), {}
+    for k in range(40):
+        run = [b"w%d" % (i % 90 + 7 * k) for i in range(200)]
+        for w, h in zip(run, words.hashes(f"l{k % 20}", run).tolist(), strict=True):
+            assert plain.setdefault((k % 20, w), h) == h
+        assert len(words.table) <= 500
+    assert len(set(plain.values())) == len(plain)
+
+
+@pytest.mark.parametrize("share", [0, 40])
+def test_fragments_leave_in_bounded_frames(spark, monkeypatch, share):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(" ".join(rng.choices(["b", "\xe9", "d", "\U0001f600", "f"], [9, 5, 3, 2, 1], k=60)), ["en", "de"][i % 2]) for i in range(60)], "text string, lang string")
+    monkeypatch.setattr(collocations, "LEAST", 5)
+    words = collocations.word_counts(docs)
+    known = spark.sparkContext.broadcast(collocations.counters(words))
+    pairs = collocations.counted_pairs(docs, known)
+    bits = spark.sparkContext.broadcast(collocations.pair_bits(pairs))
+    everything = defaultdict(Counter)
+    for frame in (None, 3):
+        if frame:
+            monkeypatch.setattr(collocations, "FRAME", frame)
+            monkeypatch.setattr(collocations, "HELD", 50)
+            monkeypatch.setattr(collocations, "ROW", 4)
+        for r in collocations.fragments(docs, known, bits, share).collect():
+            assert len(r.words) == len(r.before) == len(r.n) <= collocations.ROW and 0 <= r.part < r.parts
+            everything[frame].update({(r.lang, r.pivot, r.parts, r.part, b, w): n for b, w, n in zip(r.before, r.words, r.n, strict=True)})
+    assert everything[None] == everything[3] and len(everything[3]) > 100
+    plain = Counter()
+    for text, lang in docs.collect():
+        w = text.split()
+        plain.update((lang, *p) for p in zip(w, w[1:]))
+    assert sorted(n for (n,) in pairs.select("n").collect()) == sorted(plain.values())
+
+
 def test_scores_pass_64_bits_exactly(spark):
     n, a, l, r = 9_999_999_999_999_999, 3_333_333_333_333_331, 3_333_333_333_333_333, 3_333_333_333_333_337
     words = spark.createDataFrame([("en", "x", l), ("en", "y", r)], "lang string, word string, f long")
