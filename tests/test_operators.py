@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quadrille.operators import dedup, gap, grid, merge, quadtree, running, tasks, tree, validate
+from quadrille.operators import dedup, gap, grid, kdtree, merge, quadtree, running, tasks, tree, validate
 from quadrille.sources import scan, tileset
 
 
@@ -150,6 +150,38 @@ def test_gaps_are_exact(spark):
     assert np.allclose([got[i] for i in range(60)], d.min(1)) and np.allclose([back[i] for i in range(50)], d.min(0))
 
 
+def squares(a, b):
+    d = a[:, None] - b[None]
+    return d[..., 0] ** 2 + d[..., 1] ** 2 + d[..., 2] ** 2
+
+
+@pytest.mark.parametrize("limit", [7, 40, 1 << 16])
+def test_nearest_in_chunks_equals_brute_force(spark, limit):
+    """Sets of several chunks and of one, copies, far outliers, flat sets, and points that share an id or lack a coordinate."""
+    rng = np.random.default_rng(12)
+    a, b = [rng.normal(size=(n, 3)) for n in (300, 90, 60)], [rng.normal(size=(n, 3)) for n in (400, 150, 5)]
+    b[0][:200] = b[0][0]
+    b[1][:, 2] = 0.0
+    a[1][:30] *= 100
+    frame = lambda sets: spark.createDataFrame([(f"s{k}", i, *map(float, q)) for k, p in enumerate(sets) for i, q in enumerate(p)], "k string, point_id long, x double, y double, z double")
+    odd = spark.createDataFrame([("s0", 9000, 1.0, None, 2.0), ("s0", 1, *map(float, b[0][7])), ("none", 1, 1.0, 1.0, 1.0)], "k string, point_id long, x double, y double, z double")
+    targets = frame(b).union(spark.createDataFrame([("s2", 50, float("nan"), 0.0, 0.0), ("s2", 51, None, 0.0, 0.0)], odd.schema))
+    rows = gap.nearest(frame(a).union(odd), targets, ["k"], limit=limit).collect()
+    want = {(f"s{k}", i): d for k in range(3) for i, d in enumerate(np.sqrt(squares(a[k], b[k]).min(1)))} | {("s0", 1): 0.0, ("s0", 9000): None}
+    assert len(rows) == len(want) and {(r.k, r.point_id): r.d for r in rows} == want
+
+
+def test_points_look_at_few_of_many_targets(monkeypatch):
+    """In two sets of one place and size, where a cell as wide as a set holds all pairs."""
+    rng = np.random.default_rng(13)
+    a, b = rng.normal(size=(500, 3)), rng.normal(size=(20000, 3))
+    seen, to_leaf = [], kdtree.Tree.to_leaf
+    monkeypatch.setattr(kdtree.Tree, "to_leaf", lambda self, node, at: seen.append(len(node) * self.leaves[0].shape[1]) or to_leaf(self, node, at))
+    got = kdtree.Tree(b).nearest(a, np.full(len(a), np.inf))
+    assert (got == squares(a, b).min(1)).all() and sum(seen) < 100 * len(a)
+    assert (kdtree.Tree(b[:1]).nearest(a[:9], np.full(9, 0.5)) == np.minimum(squares(a[:9], b[:1])[:, 0], 0.5)).all()
+
+
 def test_percentile_rank(spark):
     for n in (1, 2, 12, 19, 20, 33):
         got = spark.range(1, n + 1).select(F.col("id").cast("double").alias("v")).agg(gap.p95(F.col("v"))).first()[0]
