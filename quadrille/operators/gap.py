@@ -237,7 +237,9 @@ def gap_metrics(points: DataFrame, pairs: DataFrame) -> DataFrame:
     sided = band_points(pairs, points)
     facing = sided.withColumn("side", F.when(F.col("side") == "a", "b").otherwise("a"))
     both = cut(nearest(sided, facing, ["a", "b", "side"]).select("a", "b", "d"))
-    rank = element(both, ["a", "b"], "d", p95_index).withColumnRenamed("d", "p95_gap")
+    # Samples without a distance are last in the order.
+    ordered = both.withColumn("d", F.coalesce("d", F.lit(float("nan"))))
+    rank = element(ordered, ["a", "b"], "d", p95_index).select("a", "b", F.when(~F.isnan("d"), F.col("d")).alias("p95_gap"))
     return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("max_gap")).join(rank, ["a", "b"])
 
 

@@ -3,12 +3,15 @@
 import json
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quadrille.operators import dedup, gap, grid, kdtree, merge, quadtree, running, tasks, tree, validate
+from quadrille.plans import registry
 from quadrille.sources import scan, tileset
+from tests import oracle
 
 
 def square_blocks(spark, n, x0=0, y0=0, skip=()):
@@ -182,6 +185,18 @@ def test_points_look_at_few_of_many_targets(monkeypatch):
     assert (kdtree.Tree(b[:1]).nearest(a[:9], np.full(9, 0.5)) == np.minimum(squares(a[:9], b[:1])[:, 0], 0.5)).all()
 
 
+@pytest.mark.parametrize("name", ["nearest_border", "gap_p95"])
+def test_gaps_of_odd_rows_equal_their_sql(spark, tmp_path, name):
+    """Embeddings without some of the numbers, and ids that stand twice."""
+    rng = np.random.default_rng(14)
+    rows = [(i, i % 3, [float(x) for x in rng.normal(size=3)]) for i in range(90)]
+    rows += [(200, 0, [0.1, None, 0.2]), (201, 1, [None, 0.1, 0.2]), (202, 2, [0.3]), (203, 1, None), (3, 0, [0.0, 0.0, 0.0]), (4, 1, [0.1, 0.0, 0.0])]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert oracle.compare(spark, con, name, registry.QUERIES[name], registry.ORACLE[name], str(tmp_path)) is None
+
+
 def test_percentile_rank(spark):
     for n in (1, 2, 12, 19, 20, 33):
         got = spark.range(1, n + 1).select(F.col("id").cast("double").alias("v")).agg(gap.p95(F.col("v"))).first()[0]
