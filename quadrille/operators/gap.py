@@ -184,7 +184,7 @@ def at_home(asked: DataFrame, boxes: Broadcast) -> DataFrame:
 
 
 def answered(asked: DataFrame, here: DataFrame, limit: int, boxes: Broadcast | None = None) -> DataFrame:
-    """(__set, __chunk, __id, x, y, z, __d2): the squared distance of each place to its chunk's nearest point or the bound it came with (no __chunk), and with boxes the other chunks that may hold a nearer one (no less than a row for each).
+    """(__set, __chunk, __id, x, y, z, __d2): the squared distance of each place to its chunk's nearest point or the bound it came with (no __chunk), and with boxes a row for each other chunk that may hold a nearer one.
 
     Rows come to a task sorted, a chunk's points before the places asked, which may be in parts, so a task holds one chunk and one batch.
     """
